@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, toxicity, url_filter
+from . import decontaminate, line_dedup, lm_score, mixing, near_dup, quality, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_decontaminate": decontaminate.query,
+        "op2_quality": quality.query,
+        "op5_near_dup_join": near_dup.query,
         "op6_mix_sources": mixing.query,
         "op7_url_filter": url_filter.query,
+        "op8_lm_score": lm_score.query,
         "op9_toxicity": toxicity.query,
         "op10_line_dedup": line_dedup.query,
     }
