@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bm25, decontaminate, line_dedup, lm_score, mixing, near_dup, quality, toxicity, url_filter
+from . import bm25, decontaminate, line_dedup, lm_score, mixing, near_dup, quality, suffix_dedup, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_quality": quality.query,
+        "op3_suffix_dedup": suffix_dedup.query,
         "op4_bm25_top_k": bm25.query,
         "op5_near_dup_join": near_dup.query,
         "op6_mix_sources": mixing.query,
