@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .queries import learning, numbers, sequences, spatial, words  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 
