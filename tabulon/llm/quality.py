@@ -68,7 +68,9 @@ class Net:
         both = np.concatenate([np.add.reduceat(h, first) / n[:, None], top], axis=1)
         g = ((1 / (1 + np.exp(-np.clip(both @ self.out + self.bias[0], -30, 30))) - y) * weight / len(y)).astype(np.float32)
         d_both = g[:, None] * self.out
-        d = d_both[of, :FILTERS] / n[of, None] + d_both[of, FILTERS:] * (h == top[of])
+        best = h == top[of]
+        ties = np.add.reduceat(best.astype(np.float32), first)
+        d = d_both[of, :FILTERS] / n[of, None] + d_both[of, FILTERS:] * best / ties[of]
         d = d * (h > 0)
         rows = w[np.arange(len(w))[:, None], at]  # chunk, filter, window
         d_filters = np.einsum("cf,cfk->kf", d, rows, optimize=True)
