@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..storage import shared_path
 
@@ -25,7 +26,8 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
 
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema.add("_batch", "int") if mode != "append" else stream.schema).parquet(out)
+    schema = StructType(stream.schema.fields + ([StructField("_batch", IntegerType())] if mode != "append" else []))
+    return spark.read.schema(schema).parquet(out)
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
