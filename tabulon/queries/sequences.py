@@ -58,9 +58,9 @@ def wi6(spark, d):
     return _events(spark, d).select("event_id", windows.ready(F.col("event_type") != "error", _KEYS, _ORD).alias("ready"))
 
 
-@query("wi7_smoothing", "SELECT event_id, round(CASE WHEN count(value) OVER w >= 3 THEN 0.7 * value + 0.3 * avg(value) OVER w ELSE value END, 3) AS z FROM events WINDOW w AS (PARTITION BY user_id, event_type)")
+@query("wi7_smoothing", "SELECT event_id, floor(CASE WHEN count(value) OVER w >= 3 THEN 0.7 * value + 0.3 * avg(value) OVER w ELSE value END * 1000 + 0.01)::BIGINT AS z FROM events WINDOW w AS (PARTITION BY user_id, event_type)")
 def wi7(spark, d):
-    return _events(spark, d).select("event_id", F.round(windows.smooth(F.col("value"), ["user_id", "event_type"], own=0.7), 3).alias("z"))
+    return _events(spark, d).select("event_id", F.floor(windows.smooth(F.col("value"), ["user_id", "event_type"], own=0.7) * 1000 + 0.01).alias("z"))
 
 
 @query("wi8_length_outlier", "SELECT p_partkey, count(*) OVER w >= 3 AND abs(length(p_name) - median(length(p_name)) OVER w) >= 2 AS outlier FROM part WINDOW w AS (PARTITION BY p_brand)")

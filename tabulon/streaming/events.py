@@ -27,7 +27,7 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start()
     q.awaitTermination()
     schema = StructType(stream.schema.fields + ([StructField("_batch", IntegerType())] if mode != "append" else []))
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(out).select(*schema.names)  # without the folder's batch number
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
