@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, join_hot
 from .graph import components
-from .tokens import groups, mix, shingles
+from .tokens import groups, mix, shingles, slices
 
 TRIES, DEPTH = 16, 8
 
@@ -46,7 +46,7 @@ def _low(text: str) -> bytes:
 
 def _profile(n: int, prefix: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_pylist()
             for at, held in groups(map(_low, batch.column(1).to_pylist())):
                 c1, c2, size, keys = [], [], [], []
@@ -71,7 +71,7 @@ def _profile(n: int, prefix: int):
 
 def _sets(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rest = batch.column_names.index("text")
             for at, held in groups(map(_low, batch.column(rest).to_pylist())):
                 part = batch.slice(at, len(held))
@@ -110,9 +110,8 @@ def _verify(threshold: float):
         """Links in one pair of blocks of a candidate group: for each document, how many documents it is linked to, and
         the least document of the part it falls into by these links."""
         a, b = key[1].as_py(), key[2].as_py()
-        docs = np.array(table.column("doc").to_pylist(), np.int64)
-        copies = np.array(table.column("copies").to_pylist(), np.float64)
-        block = np.array(table.column("block").to_pylist())
+        docs, copies, block = (table.column(c).to_numpy() for c in ("doc", "copies", "block"))
+        copies = copies.astype(np.float64)
         found = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
         order = np.argsort(docs)
         docs, copies, block, found = docs[order], copies[order], block[order], [found[i] for i in order]

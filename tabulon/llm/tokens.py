@@ -34,6 +34,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batches, rows: int = 256):
+    """Record batches in pieces, so that few texts stand in Python's memory at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def runs(batches, names: list[str], most: int):
+    """Rows across batches in runs of about `most` characters of `text`, each as a list a column."""
+    held, size = [[] for _ in names], 0
+    at = names.index("text")
+    for batch in slices(batches, 64):
+        rows = [batch.column(n).to_pylist() for n in names]
+        for row in zip(*rows, strict=True):
+            if size and size + len(row[at]) > most:
+                yield held
+                held, size = [[] for _ in names], 0
+            for h, v in zip(held, row, strict=True):
+                h.append(v)
+            size += len(row[at]) + 1
+    if size:
+        yield held
+
+
 def groups(texts, most: int = 1 << 20):
     """Runs of texts (as bytes) with about `most` bytes together; a longer text stands alone. Yields (first, list)."""
     at, held, size = 0, [], 0
