@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, id_back, id_of, partitions, remainder
-from .tokens import groups, mix, word_hashes
+from .common import cut, id_back, id_of, partitions, remainder
+from .tokens import mix, runs, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _P = 0x9E3779B97F4A7C15
@@ -145,112 +146,111 @@ def _frequent(part: int):
     """Words that hold 1/part or more of a run of texts, with their counts there; the empty word counts the bytes."""
 
     def run(batches):
-        for batch in batches:
+        for (texts,) in runs(batches, ["text"], 1 << 20):
             word, n = [], []
-            for _, held in groups(map(_low, batch.column("text").to_pylist()), 2 << 20):
-                h, _, start = word_hashes(held)
-                data = b"\n".join(held)
-                if len(h):
-                    _, at, count = np.unique(h, return_index=True, return_counts=True)
-                    for i, c in zip(at[count * part >= len(h)], count[count * part >= len(h)], strict=True):
-                        word.append(data[start[i] : start[i] + 5000].split(None, 1)[0])
-                        n.append(int(c))
-                word.append(b"")
-                n.append(len(data))
+            held = [_low(t) for t in texts]
+            h, _, start = word_hashes(held)
+            data = b"\n".join(held)
+            if len(h):
+                _, at, count = np.unique(h, return_index=True, return_counts=True)
+                for i, c in zip(at[count * part >= len(h)], count[count * part >= len(h)], strict=True):
+                    word.append(data[start[i] : start[i] + 5000].split(None, 1)[0])
+                    n.append(int(c))
+            word.append(b"")
+            n.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
     return run
 
 
-_BLOB = ["bucket int", "words binary", "doc binary", "th binary", "train binary", "tokens binary", "pd binary", "pw binary", "pn binary"]
+_RUN = "run string, bucket int, words binary, times binary, doc binary, train binary, tokens binary, pd binary, pw binary, pn binary"
 
 
 def _words_of(blob: bytes) -> list[bytes]:
     return blob.split(b" ") if blob else []
 
 
-def _blobs(buckets: int, hot: list[bytes]):
-    """Texts in runs; for each bucket of word hashes one row with the run's words there and (document, word, count)
-    triples. Frequent words and the numbers of tokens go to buckets of their own, by runs of documents."""
-    names = [x.split()[0] for x in _BLOB]
+def _word_at(data: bytes, at: int) -> bytes:
+    word = data[at : at + 64].split(None, 1)[0]
+    return word if len(word) < 64 else data[at:].split(None, 1)[0]
+
+
+def _runs_of(buckets: int, hot: list[bytes]):
+    """Texts in runs. For each bucket of word hashes a row with the run's distinct words there and how often its training
+    texts have each; and one row (bucket -1) with the run's documents and (document, word, count) triples, in which words
+    are numbered in order of their buckets, frequent words first."""
+    names = [x.split()[0] for x in _RUN.split(", ")]
+    kinds = [pa.string(), pa.int32()] + [pa.binary()] * 8
 
     def run(batches):
-        hot_hash, _, _ = word_hashes(list(hot)) if hot else (np.zeros(0, np.uint64), 0, 0)
+        hot_hash = word_hashes(list(hot))[0] if hot else np.zeros(0, np.uint64)
         rank = np.argsort(hot_hash)
-        for batch in batches:
-            ids, ths, trains = (np.array(batch.column(c).to_pylist()) for c in ("doc", "th", "train"))
-            for low, held in groups(map(_low, batch.column("text").to_pylist()), 4 << 20):
-                high = low + len(held)
-                doc, th, train = ids[low:high].astype(np.int64), ths[low:high].astype(np.int64), trains[low:high].astype(np.uint8)
-                h, of, start = word_hashes(held)
-                data = b"\n".join(held)
-                tokens = np.bincount(of, minlength=len(held)).astype(np.int64)
-                distinct, at, number = np.unique(h, return_index=True, return_inverse=True)
-                pair, count = np.unique(of.astype(np.int64) * max(len(distinct), 1) + number, return_counts=True)
-                pd, pw = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-                place = np.searchsorted(hot_hash[rank], distinct) if len(hot) else np.zeros(len(distinct), np.int64)
-                is_hot = (hot_hash[rank][np.minimum(place, len(hot) - 1)] == distinct) if len(hot) else np.zeros(len(distinct), bool)
-                bucket = np.where(is_hot, -1, (distinct >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
-                rows = []
-                order = np.argsort(bucket[pw], kind="stable")
-                pd, pw, count = pd[order], pw[order], count[order]
-                edges = np.flatnonzero(np.diff(bucket[pw], prepend=-2))
-                spans = {int(bucket[pw[a]]): (a, b) for a, b in zip(edges, np.append(edges[1:], len(pw)), strict=True)}
-                a, b = spans.pop(-1, (0, 0))
-                local = rank[place[pw[a:b]]] if b > a else np.zeros(0, np.int64)
-                rows.append((buckets + int(mix(th[:1].view(np.uint64))[0] % np.uint64(buckets)), b"", doc, th, train, tokens, pd[a:b], local, count[a:b]))
-                for k, (a, b) in spans.items():
-                    docs, d = np.unique(pd[a:b], return_inverse=True)
-                    words, w = np.unique(pw[a:b], return_inverse=True)
-                    text = b" ".join(data[s : s + 64].split(None, 1)[0] if len(data[s : s + 64].split(None, 1)[0]) < 64 else data[s:].split(None, 1)[0] for s in start[at[words]].tolist())
-                    rows.append((k, text, doc[docs], th[docs], train[docs], np.zeros(0, np.int64), d, w, count[a:b]))
-                cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())]
-                for c, kind in zip(range(2, 9), (np.int64, np.int64, np.uint8, np.int64, np.uint32, np.uint32, np.uint32), strict=True):
-                    cols.append(pa.array([np.asarray(r[c]).astype(kind).tobytes() for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for ids, trains, texts in runs(batches, ["doc", "train", "text"], 2 << 20):
+            held = [_low(t) for t in texts]
+            train = np.array(trains).astype(np.uint8)
+            h, of, start = word_hashes(held)
+            data = b"\n".join(held)
+            tokens = np.bincount(of, minlength=len(held)).astype(np.int64)
+            distinct, at, number = np.unique(h, return_index=True, return_inverse=True)
+            size = max(len(distinct), 1)
+            pair, count = np.unique(of.astype(np.int64) * size + number, return_counts=True)
+            pd, pw = pair // size, pair % size
+            bucket = ((distinct >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.zeros(len(distinct), np.int64)
+            place[order] = np.arange(len(distinct)) + len(hot)
+            if len(hot):
+                near = np.minimum(np.searchsorted(hot_hash[rank], distinct), len(hot) - 1)
+                is_hot = hot_hash[rank][near] == distinct
+                place[is_hot] = rank[near[is_hot]]
+                order = order[~is_hot[order]]
+                place[order] = np.arange(len(order)) + len(hot)
+            learnt = np.bincount(place[pw], count * train[pd], len(hot) + len(order)).astype(np.uint32)
+            name = uuid.uuid4().hex
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cols = [[] for _ in names]
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[k] : edges[k + 1]]
+                text = b" ".join(_word_at(data, i) for i in start[at[own]].tolist())
+                row = (name, k, text, learnt[len(hot) + edges[k] : len(hot) + edges[k + 1]].tobytes())
+                for c, v in zip(cols, row + (None,) * 6, strict=True):
+                    c.append(v)
+            whole = [np.array(ids, np.int64), train, tokens, pd.astype(np.uint32), place[pw].astype(np.uint32), count.astype(np.uint32)]
+            for c, v in zip(cols, (name, -1, b"", learnt[: len(hot)].tobytes(), *(x.tobytes() for x in whole)), strict=True):
+                c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return run
 
 
-_MERGED = "bucket int, hot boolean, words binary, c binary, doc binary, th binary, train binary, tokens binary, pd binary, pw binary, pn binary"
-
-
-def _merge(buckets: int, n_hot: int):
-    def run(key, table):
-        """One row a bucket: its words, how often training documents have each, and all triples."""
-        bucket = key[0].as_py()
-        hot = bucket >= buckets
-        number: dict[bytes, int] = {}
-        held = {k: [] for k in ("doc", "th", "train", "tokens", "pd", "pw", "pn")}
-        n_docs = 0
-        for r in table.to_pylist():
-            words = _words_of(r["words"])
-            own = {k: np.frombuffer(r[k], t) for k, t in (("doc", np.int64), ("th", np.int64), ("train", np.uint8), ("tokens", np.int64), ("pd", np.uint32), ("pw", np.uint32), ("pn", np.uint32))}
-            if not hot:
-                own["pw"] = np.array([number.setdefault(w, len(number)) for w in words], np.uint32)[own["pw"]]
-            own["pd"] = own["pd"] + np.uint32(n_docs)
-            n_docs += len(own["doc"])
-            for k, v in own.items():
-                held[k].append(v)
-        all_ = {k: np.concatenate(v) for k, v in held.items()}
-        size = n_hot if hot else len(number)
-        learn = all_["train"][all_["pd"]] == 1 if len(all_["pd"]) else np.zeros(0, bool)
-        c = np.bincount(all_["pw"][learn], all_["pn"][learn], size).astype(np.int64)
-        row = [bucket, hot, b" ".join(number), c.tobytes()] + [all_[k].tobytes() for k in ("doc", "th", "train", "tokens", "pd", "pw", "pn")]
-        kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 9
-        names = [x.split()[0] for x in _MERGED.split(", ")]
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+_BUCKET = "bucket int, words binary, c binary, run array<string>, idx array<binary>"
 
-    return run
+
+def _merge(key, table):
+    """One row a bucket: its distinct words, how often training texts have each, and where each run's words stand."""
+    number: dict[bytes, int] = {}
+    names, places, times = table.column("run").to_pylist(), [], []
+    for i in range(table.num_rows):
+        words = _words_of(table.column("words")[i].as_py())
+        places.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+        times.append(np.frombuffer(table.column("times")[i].as_py(), np.uint32))
+    c = np.zeros(len(number), np.int64)
+    for p, n in zip(places, times, strict=True):
+        c[p] += n  # a run has each word once
+    row = [[key[0].as_py()], [b" ".join(number)], [c.tobytes()], [names], [[p.tobytes() for p in places]]]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.binary())]
+    return pa.table([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in _BUCKET.split(", ")])
 
 
 def _stats(batches):
+    """Totals of the words' counts, of the frequent words', and of training documents."""
     for batch in batches:
         k, v = [], []
-        for r in batch.to_pylist():
-            c = np.frombuffer(r["c"], np.int64)
-            if r["hot"]:
-                k += [f"h{i}" for i in np.flatnonzero(c)] + ["docs"]
+        for i in range(batch.num_rows):
+            r = {n: batch.column(n)[i].as_py() for n in ("bucket", "c", "train")}
+            c = np.frombuffer(r["c"], np.int64 if r["bucket"] >= 0 else np.uint32)
+            if r["bucket"] < 0:
+                k += [f"h{j}" for j in np.flatnonzero(c)] + ["docs"]
                 v += [*c[c > 0].tolist(), int(np.frombuffer(r["train"], np.uint8).sum())]
             else:
                 k += ["total", "distinct", "once"]
@@ -263,9 +263,9 @@ def _expect(shared):
         lattice = Lattice(*shared.value)
         for batch in batches:
             used = np.zeros(len(lattice.pieces))
-            for r in batch.to_pylist():
-                c = np.frombuffer(r["c"], np.int64)
-                words = [w for w, n in zip(_words_of(r["words"]), c, strict=False) if n == 1]
+            for i in range(batch.num_rows):
+                c = np.frombuffer(batch.column("c")[i].as_py(), np.int64)
+                words = [w for w, n in zip(_words_of(batch.column("words")[i].as_py()), c, strict=False) if n == 1]
                 if words:
                     used += lattice.expected(words)
             at = np.flatnonzero(used)
@@ -274,81 +274,104 @@ def _expect(shared):
     return run
 
 
-def _score(shared, hot: list[bytes], hot_c: list[int], n: int, n_docs: int, rest: float):
-    """Sums of each document's words in a bucket. A known word has (1 - rest) of its share of the training tokens; every
-    word has `rest` times its lattice probability; the end of a text has its share."""
-    total = max(n, 1)
+def _value(lattice: Lattice, words: list[bytes], c: np.ndarray, n: int, rest: float) -> np.ndarray:
+    """log10 probability of each word: (1 - rest) of its share of the training tokens, and `rest` times the lattice's."""
+    word = np.exp(lattice.marginal(words)) if words else np.zeros(0)
+    return np.log10((1 - rest) * c / max(n, 1) + rest * np.maximum(word, 1e-300))
 
-    def values(lattice, words, c):
-        word = np.exp(lattice.marginal(words)) if words else np.zeros(0)
-        return np.log10(c + 0.5), np.log10((1 - rest) * c / total + rest * np.maximum(word, 1e-300)), c > 0
+
+def _tell(shared, n: int, rest: float):
+    """For each run of a bucket the counts and probabilities of its words there."""
 
     def run(batches):
         lattice = Lattice(*shared.value)
-        of_hot = values(lattice, hot, np.array(hot_c, np.int64))
-        end = math.log10((n_docs or 0.5) * (1 - rest) / total)
         for batch in batches:
-            for r in batch.to_pylist():
-                read = {k: np.frombuffer(r[k], t) for k, t in (("c", np.int64), ("doc", np.int64), ("th", np.int64), ("tokens", np.int64), ("pd", np.uint32), ("pw", np.uint32), ("pn", np.uint32))}
-                base, own, known = of_hot if r["hot"] else values(lattice, _words_of(r["words"]), read["c"])
-                size, times = len(read["doc"]), read["pn"].astype(float)
-                sums = [np.bincount(read["pd"], times * v[read["pw"]], size) if len(times) else np.zeros(size) for v in (base, own, known)]
-                rows = 1 if r["hot"] else 0
-                if rows:
-                    sums[0] = sums[0] + math.log10(n_docs + 0.5)
-                    sums[1] = sums[1] + end
-                    sums[2] = sums[2] + (n_docs > 0)
-                tokens = read["tokens"] + 1 if rows else np.zeros(size, np.int64)
-                cols = [pa.array(read["doc"]), pa.array(read["th"]), pa.array(np.full(size, rows)), pa.array(tokens), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "th", "rows", "n_tokens", "n_known", "base", "score"])
+            for i in range(batch.num_rows):
+                c = np.frombuffer(batch.column("c")[i].as_py(), np.int64)
+                value = _value(lattice, _words_of(batch.column("words")[i].as_py()), c, n, rest)
+                names, places = batch.column("run")[i], batch.column("idx")[i]
+                for low in range(0, len(names), 64):
+                    part = [np.frombuffer(places[j].as_py(), np.uint32) for j in range(low, min(low + 64, len(names)))]
+                    cols = [pa.array([names[low + j].as_py() for j in range(len(part))], pa.string()), pa.array([batch.column("bucket")[i].as_py()] * len(part), pa.int32())]
+                    cols += [pa.array([c[p].astype(np.uint32).tobytes() for p in part], pa.binary()), pa.array([value[p].tobytes() for p in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["run", "bucket", "c", "value"])
 
     return run
 
 
-def score_texts(docs: DataFrame, train, pieces: tuple[list[bytes], np.ndarray], rounds: int = 2, bucket_bytes: int = 32 << 20, n_hot: int = 1000) -> DataFrame:
+_SCORES = "doc long, n_tokens long, n_known long, base double, score double"
+
+
+def _sum(hot_c: np.ndarray, hot_value: np.ndarray, n: int, n_docs: int, rest: float):
+    def run(key, texts, told):
+        """Each document's sums over its words and its end."""
+        order = np.argsort(told.column("bucket").to_numpy(), kind="stable").tolist()
+        c = np.concatenate([hot_c.astype(np.float64), *(np.frombuffer(told.column("c")[i].as_py(), np.uint32) for i in order)])
+        value = np.concatenate([hot_value, *(np.frombuffer(told.column("value")[i].as_py(), np.float64) for i in order)])
+        base, known = np.log10(c + 0.5), c > 0
+        end = math.log10((n_docs or 0.5) * (1 - rest) / max(n, 1))
+        out = []
+        for i in range(texts.num_rows):
+            read = {k: np.frombuffer(texts.column(k)[i].as_py(), t) for k, t in (("doc", np.int64), ("tokens", np.int64), ("pd", np.uint32), ("pw", np.uint32), ("pn", np.uint32))}
+            size, times = len(read["doc"]), read["pn"].astype(float)
+            sums = [np.bincount(read["pd"], times * v[read["pw"]], size) if len(times) else np.zeros(size) for v in (base, value, known)]
+            cols = [read["doc"], read["tokens"] + 1, np.rint(sums[2]).astype(np.int64) + (n_docs > 0), sums[0] + math.log10(n_docs + 0.5), sums[1] + end]
+            out.append(pa.table([pa.array(x) for x in cols], names=[x.split()[0] for x in _SCORES.split(", ")]))
+        if not out:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
+        return pa.concat_tables(out)
+
+    return run
+
+
+def score_texts(docs: DataFrame, train, pieces: tuple[list[bytes], np.ndarray], rounds: int = 2, bucket_bytes: int = 16 << 20, n_hot: int = 1000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; `train` is the condition of the
     rows to learn from.
 
     Tokens are words (A-Z lower-cased, white space between) and one end. Training words are counted over all training
     texts, by buckets of word hashes; the vocabulary's piece weights are then fitted to the training words seen once (the
-    best likeness of unseen ones) by `rounds` steps of expectation maximisation over all segmentations. A word's probability is its share of the training
-    tokens, discounted by the share of words seen once, plus that share times the lattice's marginal probability.
+    best likeness of unseen ones) by `rounds` steps of expectation maximisation over all segmentations. A word's
+    probability is its share of the training tokens, discounted by the share of words seen once, plus that share times
+    the lattice's marginal probability.
+
+    Texts lie in runs of 2 MB, written once. Runs send their distinct words to the buckets and get back each word's count
+    and probability; documents' own counts stay in their runs, so what moves follows the input whatever the number of
+    buckets, and a frequent word goes to its bucket once a run. The most frequent words (at most n_hot) are summed by
+    themselves.
 
-    Words that hold much of the text (at most n_hot) are kept with their documents, so no bucket gets a row of each
-    document. Null texts are empty, having only the end. Rows that repeat an id and text each get the same row; a null
-    doc_id stays null.
+    Null texts are empty, having only the end. Rows that repeat an id get a row each; a null doc_id stays null.
     """
     spark = docs.sparkSession
-    rows = docs.select(id_of().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
-    rows = rows.withColumn("th", F.xxhash64("text")).select("doc", "th", "train", "text")
-    seen = rows.mapInArrow(_frequent(2000), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(id_of().alias("doc"), train.alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seen = rows.select("text").mapInArrow(_frequent(2000), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     seen = seen.orderBy((F.length("word") > 0), F.col("n").desc(), "word").limit(n_hot + 1).collect()
     size = sum(r["n"] for r in seen if not r["word"])
     hot = sorted(bytes(r["word"]) for r in seen if r["word"])
     buckets = max(-(-size // bucket_bytes), min(6, partitions(spark)))
-    blobs = rows.mapInArrow(_blobs(buckets, hot), ", ".join(_BLOB))
-    # one partition a bucket, at most
-    merged = cut(blobs.repartition(2 * buckets, "bucket").groupBy("bucket").applyInArrow(_merge(buckets, len(hot)), _MERGED), "buckets")
-    stats = {r["k"]: r["v"] for r in merged.select("hot", "c", "train").mapInArrow(_stats, "k string, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-    hot_c = [stats.get(f"h{i}", 0) for i in range(len(hot))]
+    held = cut(rows.mapInArrow(_runs_of(buckets, hot), _RUN), "runs")
+    words = held.where("bucket >= 0").select("run", "bucket", "words", "times")
+    merged = cut(words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge, _BUCKET), "buckets")
+    counted = merged.select("bucket", "c", F.lit(None).cast("binary").alias("train")).unionByName(held.where("bucket < 0").select("bucket", F.col("times").alias("c"), "train"))
+    stats = {r["k"]: r["v"] for r in counted.mapInArrow(_stats, "k string, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    hot_c = np.array([stats.get(f"h{i}", 0) for i in range(len(hot))], np.int64)
     n_docs = stats.get("docs", 0)
-    n = stats.get("total", 0) + sum(hot_c) + n_docs
-    distinct = stats.get("distinct", 0) + sum(c > 0 for c in hot_c) + (n_docs > 0)
-    rest = min(0.9, max(1e-6, (stats.get("once", 0) + sum(c == 1 for c in hot_c) + 1) / (n + 2)))
+    n = int(stats.get("total", 0) + hot_c.sum() + n_docs)
+    distinct = int(stats.get("distinct", 0) + (hot_c > 0).sum() + (n_docs > 0))
+    rest = min(0.9, max(1e-6, float(stats.get("once", 0) + (hot_c == 1).sum() + 1) / (n + 2)))
     names, logp = pieces
     for _ in range(rounds):
-        used = merged.where(~F.col("hot")).select("words", "c").mapInArrow(_expect(spark.sparkContext.broadcast((names, logp))), "piece int, used double")
+        used = merged.select("words", "c").mapInArrow(_expect(spark.sparkContext.broadcast((names, logp))), "piece int, used double")
         count = np.full(len(names), 1e-3)
         for r in used.groupBy("piece").agg(F.sum("used").alias("u")).collect():  # at most one row a piece
             count[r["piece"]] += r["u"]
         logp = np.log(count / count.sum())
     shared = spark.sparkContext.broadcast((names, logp))
-    parts = merged.mapInArrow(_score(shared, hot, hot_c, n, n_docs, rest), "doc long, th long, rows long, n_tokens long, n_known long, base double, score double")
-    total = parts.groupBy("doc", "th").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    one = {c: (F.col(c) / F.col("rows")) for c in ("n_tokens", "n_known", "base", "score")}
-    base = one["base"] - one["n_tokens"] * F.lit(math.log10(n + 0.5 * (distinct + 1)))
-    out = total.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return out.select(id_back("doc").alias("doc_id"), one["n_tokens"].cast("long").alias("n_tokens"), one["n_known"].cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), one["score"].alias("score"))
+    told = merged.mapInArrow(_tell(shared, n, rest), "run string, bucket int, c binary, value binary")
+    value = _value(Lattice(names, logp), hot, hot_c, n, rest)
+    texts = held.where("bucket < 0").select("run", "doc", "tokens", "pd", "pw", "pn")
+    out = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_sum(hot_c, value, n, n_docs, rest), _SCORES)
+    base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + 0.5 * (distinct + 1)))
+    return out.select(id_back("doc").alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def query(spark, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
