@@ -6,11 +6,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_back, id_of, partitions
-from .tokens import mix
+from .tokens import mix, slices
 
 GRAM = 16
 
@@ -130,23 +131,28 @@ class Run:
         found: dict[int, dict[bytes, list]] = {}
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(n + 1))
+        none = np.zeros(0, np.uint32)
         for k in repeated:
             own = order[edges[k] : edges[k + 1]]
             own = own[np.isin(short[own], repeated[k])]
-            often = np.isin(short[own], frequent.get(k, np.zeros(0, np.uint32)))
-            for i, many in zip(own.tolist(), often.tolist(), strict=True):
-                text, p = int(self.of[i]), int(self.place[i])
-                low = max(int(self.start[text]), p - self.window + 1)
-                high = min(int(self.start[text] + self.size[text]), p + self.least)
-                if many:
-                    for s in range(low, high - self.least + 1):
-                        piece = self.bytes[s : s + self.least]
-                        to = int.from_bytes(piece[:8], "little") * 0x9E3779B97F4A7C15 + int.from_bytes(piece[-16:-8], "little") * 0xBF58476D1CE4E5B9 + int.from_bytes(piece[-8:], "little")
-                        to = ((to & (2**64 - 1)) * 0x94D049BB133111EB & (2**64 - 1)) >> 33
-                        found.setdefault(to % n, {}).setdefault(piece, []).append((text, s))
-                elif high - low >= self.least:
-                    found.setdefault(k, {}).setdefault(self.bytes[low:high], []).append((text, low))
-        return {k: [(piece, at, min(int(doc[t]) for t, _ in at)) for piece, at in sorted(v.items())] for k, v in sorted(found.items())}
+            text, p = self.of[own], self.place[own]
+            low = np.maximum(self.start[text], p - self.window + 1)
+            high = np.minimum(self.start[text] + self.size[text], p + self.least)
+            asked = frequent.get(k, none)
+            often = np.isin(short[own], asked) if len(asked) else np.zeros(len(own), bool)
+            whole = ~often & (high - low >= self.least)
+            here = found.setdefault(k, {})
+            for t, a, b in zip(text[whole].tolist(), low[whole].tolist(), high[whole].tolist(), strict=True):
+                piece = self.bytes[a:b]
+                if piece in here:
+                    here[piece].append((t, a))
+                else:
+                    here[piece] = [(t, a)]
+            for t, a, b in zip(text[often].tolist(), low[often].tolist(), high[often].tolist(), strict=True):
+                for s in range(a, b - self.least + 1):
+                    piece = self.bytes[s : s + self.least]
+                    found.setdefault(int.from_bytes(xxhash.xxh64_digest(piece)) % n, {}).setdefault(piece, []).append((t, s))
+        return {k: [(piece, at, min(int(doc[t]) for t, _ in at)) for piece, at in sorted(v.items())] for k, v in sorted(found.items()) if v}
 
 
 def _runs(most: int):
@@ -162,7 +168,7 @@ def _runs(most: int):
 
     def run(batches):
         docs, texts, size = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if size + len(t) > most and docs:
                     yield out(docs, texts)
@@ -206,13 +212,20 @@ def _minimisers(least: int, n: int):
 def _repeated(max_runs: int):
     def run(key, table):
         """Which of each run's minimisers occur in two texts at least, and which of these are frequent."""
-        rows = table.to_pylist()
-        read = [[np.frombuffer(r[c], np.uint32) for c in ("one", "more", "many")] for r in rows]
-        h, times = np.unique(np.concatenate([np.concatenate(x) for x in read]), return_counts=True)
-        often = np.union1d(np.concatenate([x[2] for x in read]), h[times > max_runs])
-        more = np.union1d(np.union1d(h[times > 1], np.concatenate([x[1] for x in read])), often)
-        out = [(r["run"], r["bucket"], np.intersect1d(np.concatenate(x), more)) for r, x in zip(rows, read, strict=True)]
-        out = [(r, b, x.tobytes(), np.intersect1d(x, often).tobytes()) for r, b, x in out if len(x)]
+        read = [[np.frombuffer(x, np.uint32) for x in table.column(c).to_pylist()] for c in ("one", "more", "many")]
+        held = [np.concatenate(x) for x in zip(*read, strict=True)]
+        ends = np.cumsum([len(x) for x in held])
+        h, number, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        often, more = times > max_runs, times > 1
+        for i, (_, y, z) in enumerate(zip(*read, strict=True)):
+            often[number[ends[i] - len(z) : ends[i]]] = True
+            more[number[ends[i] - len(z) - len(y) : ends[i]]] = True
+        more |= often
+        out = []
+        for i, (name, bucket) in enumerate(zip(table.column("run").to_pylist(), table.column("bucket").to_pylist(), strict=True)):
+            own = number[ends[i] - len(held[i]) : ends[i]]
+            if more[own].any():
+                out.append((name, bucket, held[i][more[own]].tobytes(), held[i][often[own]].tobytes()))
         kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["run", "bucket", "repeated", "frequent"])
 
@@ -337,7 +350,7 @@ def _strip(least: int, n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, max_runs: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, bucket_bytes: int = 2 << 20, max_runs: int = 2000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every whole text without the bytes that a string of `least` bytes
     covers which also starts in a document with a smaller doc_id. Strings are judged on the input; matches don't cross
     documents.
