@@ -101,10 +101,13 @@ class Shard:
         n = self.cell_first[t + 1] - self.cell_first[t]
         cells = _spans(self.cell_first[t], n)
         bound = np.bincount(self.cell_block[cells], self.cell_max[cells] * np.repeat(idf, n), len(self.docs) // self.block + 1)
-        # a first threshold: the k-th best of the most promising blocks
-        most = np.argsort(-bound, kind="stable")[: max(2, 2 * k // self.block + 1)]
+        # a first threshold: the k-th best of the most promising blocks and of the documents with the rarest terms
+        most = np.argsort(-bound, kind="stable")[: max(1, k // self.block + 1)]
         seed = (most[:, None] * self.block + np.arange(self.block)).ravel()
-        seed = seed[seed < len(self.docs)]
+        n = self.first[t + 1] - self.first[t]
+        rare = np.argsort(n, kind="stable")
+        rare = rare[np.cumsum(n[rare]) <= 8 * k]
+        seed = np.unique(np.concatenate([seed[seed < len(self.docs)], self.posted[_spans(self.first[t[rare]], n[rare])]]))
         first = self.scores(seed)
         least = np.partition(first, -k)[-k] if len(first) >= k else 0.0
         least = max(least * (1 - 1e-9), 0.0)
@@ -113,15 +116,25 @@ class Shard:
         order = np.argsort(limit, kind="stable")
         below = np.cumsum(limit[order])
         pivot = int(np.searchsorted(below, least, "left")) if least > 0 else 0
-        rest = below[pivot - 1] if pivot else 0.0
-        must = order[pivot:]
-        n = self.first[t[must] + 1] - self.first[t[must]]
-        at = _spans(self.first[t[must]], n)
-        doc, part = self.posted[at], self.impact[at] * np.repeat(idf[must], n)
+        # only documents with a term from the pivot on can reach it; of the terms before it, those that together are
+        # worth a twelfth of the threshold are left for the exact scores
+        late = int(np.searchsorted(below, least / 12, "left")) if least > 0 else 0
         open_ = bound >= least
-        keep = open_[doc // self.block]
-        reached = np.bincount(doc[keep], part[keep], len(self.docs))
-        found = np.flatnonzero((reached > 0) & (reached + rest >= least * (1 - 1e-9)))
+
+        def add(which: np.ndarray) -> np.ndarray:
+            n = self.first[t[which] + 1] - self.first[t[which]]
+            at = _spans(self.first[t[which]], n)
+            doc, part = self.posted[at], self.impact[at] * np.repeat(idf[which], n)
+            return np.bincount(doc, part, len(self.docs))
+
+        reached = add(order[pivot:])
+        possible = (reached > 0) & open_[np.arange(len(self.docs)) // self.block]
+        reached += add(order[late:pivot])
+        n = self.cell_first[t[order[:late]] + 1] - self.cell_first[t[order[:late]]]
+        cells = _spans(self.cell_first[t[order[:late]]], n)
+        rest = np.bincount(self.cell_block[cells], self.cell_max[cells] * np.repeat(idf[order[:late]], n), len(self.docs) // self.block + 1)
+        found = np.flatnonzero(possible)
+        found = found[reached[found] + rest[found // self.block] >= least * (1 - 1e-9)]
         exact = self.scores(found)
         self.mask[t] = 0
         if len(found) > k:
@@ -147,7 +160,7 @@ def _search(k: int, mean: float):
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, block_queries: int = 8_192) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 8_192, block_queries: int = 8_192) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of queries (query_id, text) the k documents with the highest BM25
     score (k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)), each distinct query term once) among those with a
     common term; ties by smaller doc_id.

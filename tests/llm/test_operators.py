@@ -323,7 +323,7 @@ def test_lm_score(spark):
 # ------------------------------------------------------------------------------------------------------------ BM25
 
 
-@pytest.mark.parametrize(("shard_docs", "block_queries"), [(16_384, 8_192), (7, 3)])
+@pytest.mark.parametrize(("shard_docs", "block_queries"), [(8_192, 8_192), (7, 3)])
 def test_bm25(spark, shard_docs, block_queries):
     df = docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = [(r.doc_id, Counter(re.findall(r"[0-9a-z\x80-￿]+", (r.text or "").lower()))) for r in df.collect()]
