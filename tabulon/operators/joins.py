@@ -79,7 +79,8 @@ def consensus(a: DataFrame, b: DataFrame, keys: list[str], plain: str) -> DataFr
 
 def jaccard_match(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """JO10, SE4: pairs of (id, words array) whose word sets have a Jaccard similarity of `least` or more: by a common
-    word of their prefixes (the rarest words of a set, as many as a match must meet one of), then exact counts."""
+    word of their prefixes (the rarest words of a set, as many as a match must meet one of), then exact counts. Equal sets
+    are compared once, whatever ids have them."""
     words = left.select(F.explode(F.array_distinct("words")).alias("w")).unionByName(right.select(F.explode(F.array_distinct("words")).alias("w")))
     rank = words.groupBy("w").agg(F.count("*").alias("n"))
 
@@ -90,11 +91,11 @@ def jaccard_match(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         return sets.withColumn(f"{name}_p", F.slice(f"{name}_w", F.lit(1), (size - F.ceil(size * least) + 1).cast("int")))
 
     a, b = side(left, "a"), side(right, "b")
-    pairs = a.select("a", "a_w", F.explode("a_p").alias("w")).join(b.select("b", "b_w", F.explode("b_p").alias("w")), "w")
+    pairs = a.select("a_w", F.explode("a_p").alias("w")).distinct().join(b.select("b_w", F.explode("b_p").alias("w")).distinct(), "w")
     fit = (F.size("a_w") >= least * F.size("b_w")) & (F.size("b_w") >= least * F.size("a_w"))
-    met = pairs.where(fit).dropDuplicates(["a", "b"]).withColumn("_c", F.size(F.array_intersect("a_w", "b_w")))
-    out = met.withColumn("score", F.col("_c") / (F.size("a_w") + F.size("b_w") - F.col("_c")))
-    return out.where(F.col("score") >= least - 1e-12).select("a", "b", "score")
+    met = pairs.where(fit).dropDuplicates(["a_w", "b_w"]).withColumn("_c", F.size(F.array_intersect("a_w", "b_w")))
+    out = met.withColumn("score", F.col("_c") / (F.size("a_w") + F.size("b_w") - F.col("_c"))).where(F.col("score") >= least - 1e-12)
+    return out.join(a.select("a", "a_w"), "a_w").join(b.select("b", "b_w"), "b_w").select("a", "b", "score")
 
 
 def _greedy_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
