@@ -40,8 +40,9 @@ def ag9(spark, d):
 
 @query("ag9_column_roles", "SELECT l_suppkey AS tbl, l_linenumber AS col, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') >= 0.4 * count(*) THEN 'price' ELSE 'qty' END AS role FROM lineitem WHERE l_partkey < 10000 GROUP BY ALL HAVING count(*) < 3")
 def ag9b(spark, d):
-    c = table(spark, d, "lineitem").where("l_partkey < 10000").select(F.col("l_suppkey").alias("tbl"), F.col("l_linenumber").alias("col"), F.col("l_orderkey").alias("row"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_returnflag") == "R").alias("has_price"), F.lit(False).alias("has_image"), F.lit("").alias("header"))
-    return aggregates.column_stats(c, ["tbl", "col"]).where("n < 3").select("tbl", "col", aggregates.column_role(lambda k: F.lit(False)).alias("role"))
+    row = F.struct("l_orderkey", "l_partkey")  # a supplier can have a line number of an order twice
+    c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tbl"), F.col("l_linenumber").alias("col"), row.alias("row"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_returnflag") == "R").alias("has_price"), F.lit(False).alias("has_image"), F.lit("").alias("header"))
+    return aggregates.column_stats(c, ["tbl", "col"]).select("tbl", "col", aggregates.column_role(lambda k: F.lit(False)).alias("role"))
 
 
 @query("fi8_sequences", "SELECT l_orderkey, n, good, n >= 3 AND good >= 0.7 * (n - 1) AS is_seq FROM (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE d = 1) AS good FROM (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) GROUP BY l_orderkey)")
