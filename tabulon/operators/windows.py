@@ -39,6 +39,18 @@ def restarts(number: Column, keys, order) -> Column:
     return F.coalesce((number == 1) & (F.lag(number).over(_w(keys, *order)) > 1), F.lit(False))
 
 
+def with_restarts(rows: DataFrame, number: str, order: list[str], width_bits: int = 10, out: str = "restart") -> DataFrame:
+    """WI4 down a whole table: its rows in ranges of 2^width_bits values of the first order column (whole numbers). A
+    range's first row follows the last number of the range before, so that one row a range is all that meets in one task."""
+    rows = rows.withColumn("_range", F.shiftright(order[0], width_bits))
+    last = rows.groupBy("_range").agg(F.max_by(number, F.struct(*order)).alias("_last"))
+    carried = last.select(F.col("_range").alias("_r"), F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+    w = _w(["_range"], *order)
+    before = F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(F.lag(number).over(w))
+    met = rows.join(carried, rows["_range"].eqNullSafe(carried["_r"]))
+    return met.withColumn(out, F.coalesce((F.col(number) == 1) & (before > 1), F.lit(False))).drop("_range", "_r", "_carried")
+
+
 def streak(ok: Column, keys, order) -> Column:
     """WI5: how many in a row are true, up to here; 0 at a false one."""
     breaks = F.sum(F.when(ok, 0).otherwise(1)).over(_w(keys, *order).rowsBetween(Window.unboundedPreceding, 0))

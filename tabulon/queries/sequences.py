@@ -40,9 +40,8 @@ def wi2(spark, d):
 
 @query("wi4_restarts", "SELECT * FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_linenumber = 1 AND lag(l_linenumber) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) > 1 AS restart FROM (SELECT * FROM lineitem WHERE l_orderkey < 2000)) WHERE restart")
 def wi4(spark, d):
-    l = table(spark, d, "lineitem").where("l_orderkey < 2000").withColumn("_one", F.lit(1))  # noqa: E741
-    r = windows.restarts(F.col("l_linenumber"), ["_one"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
-    return l.select("l_orderkey", "l_partkey", "l_linenumber", r.alias("restart")).where("restart")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return windows.with_restarts(table(spark, d, "lineitem").select(*order), "l_linenumber", order).where("restart").select("l_orderkey", "l_partkey", "l_linenumber", "restart")
 
 
 @query("wi5_trust_streak", """SELECT event_id, sum(ok) OVER (PARTITION BY user_id, b ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS streak FROM (

@@ -55,3 +55,15 @@ def test_roles_of_all_columns(spark, tmp_path):
     got = catalog.queries()["ag9_column_roles"](spark, str(tmp_path)).collect()
     assert {(r.tbl, r.col): r.role for r in got} == want and len(got) == len(want) == 84
     assert set(want.values()) == {"price", "row", "qty", "code", "text"}
+
+
+def test_restarts_of_all_orders(spark, tmp_path):
+    rng = random.Random(5)
+    orders = [0, 1, 2, 1023, 1024, 1025, 1999, 2000, 2001, 5000, 5001, *rng.sample(range(9000, 400000), 60), 2**40]
+    rows = [(o, line, rng.randrange(9), rng.randrange(99), "A", float(rng.randrange(999))) for o in orders for line in rng.sample(range(1, 8), rng.randrange(1, 4)) for _ in range(rng.choice((1, 1, 2)))]
+    line_table(spark, tmp_path, rows)
+    rows.sort(key=lambda r: (r[0], r[1], r[3], r[2], r[5]))
+    want = sorted((y[0], y[3], 1) for x, y in zip(rows, rows[1:], strict=False) if y[1] == 1 and x[1] > 1)
+    got = catalog.queries()["wi4_restarts"](spark, str(tmp_path)).collect()
+    assert sorted((r.l_orderkey, r.l_partkey, r.l_linenumber) for r in got) == want
+    assert sum(o >= 2000 for o, _, _ in want) > 10 and all(r.restart for r in got)
