@@ -275,9 +275,13 @@ def _expect(shared):
 
 
 def _value(lattice: Lattice, words: list[bytes], c: np.ndarray, n: int, rest: float) -> np.ndarray:
-    """log10 probability of each word: (1 - rest) of its share of the training tokens, and `rest` times the lattice's."""
-    word = np.exp(lattice.marginal(words)) if words else np.zeros(0)
-    return np.log10((1 - rest) * c / max(n, 1) + rest * np.maximum(word, 1e-300))
+    """log10 probability of each word: (1 - rest) of its share of the training tokens, and `rest` times the lattice's.
+    Added as logarithms: a long word's probability is less than the smallest float."""
+    if not words:
+        return np.zeros(0)
+    with np.errstate(divide="ignore"):
+        share = np.log((1 - rest) * c / max(n, 1))
+    return np.logaddexp(share, math.log(rest) + lattice.marginal(words)) / math.log(10)
 
 
 def _tell(shared, n: int, rest: float):

@@ -320,6 +320,18 @@ def test_lm_score(spark):
     assert all(math.isfinite(r.score) for r in lm_score.score_texts(df, F.lit(False), lm_score.read_pieces()).collect())
 
 
+def test_lm_score_of_long_words(spark):
+    """No probability is cut off: twice the length is twice the logarithm."""
+    pieces = [bytes([b]) for b in range(256)]
+    lattice = lm_score.Lattice(pieces, np.full(256, -math.log(256)))
+    words = [b"q" * 500, b"q" * 10_000]
+    assert lattice.marginal(words) == pytest.approx([-501 * math.log(256), -10_001 * math.log(256)])
+    df = spark.createDataFrame([(0, "an apple and a pear"), (1, "q" * 500), (2, "q" * 5000), (3, "q" * 10_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_score.score_texts(df, F.col("doc_id") == 0, lm_score.read_pieces()).collect()}
+    assert all(math.isfinite(x) for x in got.values()) and got[2] < 5 * got[1] < 0
+    assert got[3] - got[2] == pytest.approx((got[2] - got[1]) * 5000 / 4500, rel=1e-3)
+
+
 # ------------------------------------------------------------------------------------------------------------ BM25
 
 
