@@ -1,4 +1,4 @@
-"""LM scoring: words by their corpus counts, backed by the marginal likelihood of a lattice of subword pieces."""
+"""LM scoring: the marginal likelihood of a lattice of subword pieces."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ _P = 0x9E3779B97F4A7C15
 
 
 def read_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
-    """Pieces as bytes (a word's start is a space) and their log weights. The vocabulary's scores fall by rank; a piece
-    weighs 1 / (rank + 30). All 256 single bytes are pieces, so that every word has a segmentation."""
+    """Pieces as bytes (a word's start is a space) and their log weights. The vocabulary's scores are ranks, not
+    logarithms of probabilities; a piece starts at 1 / (rank + 30). All 256 single bytes are pieces, so that every word has a segmentation."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -29,7 +29,7 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
             continue
         piece = model.id_to_piece(i)
         raw = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode().lower()
-        if b" " in raw[1:] or len(raw) > 16:
+        if b" " in raw[1:]:
             continue
         score[raw] = score.get(raw, 0) + (1e-6 if model.is_byte(i) else 1 / (30 + max(0.0, -model.get_score(i))))
     pieces = sorted(score)
@@ -120,10 +120,11 @@ class Lattice:
             out[pick] = self.forward(self.arcs(x))[:, -1]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """How often each piece is used, in expectation over the segmentations, each word once."""
+    def expected(self, words: list[bytes], times: np.ndarray | None = None) -> np.ndarray:
+        """How often each piece is used, in expectation over the segmentations, each word once or as often as `times` says."""
         used = np.zeros(len(self.pieces))
-        for _, x in self.by_length(words):
+        times = np.ones(len(words)) if times is None else times
+        for pick, x in self.by_length(words):
             arcs = self.arcs(x)
             alpha = self.forward(arcs)
             beta = np.full_like(alpha, -np.inf)
@@ -132,7 +133,7 @@ class Lattice:
                 arc = arcs[j - 1]
                 back = np.where(arc >= 0, self.logp[arc], -np.inf) + beta[:, j : j + 1]
                 low = j - arc.shape[1]
-                post = np.exp(alpha[:, low:j][:, ::-1] + back - alpha[:, -1:])
+                post = np.exp(alpha[:, low:j][:, ::-1] + back - alpha[:, -1:]) * times[pick][:, None]
                 used += np.bincount(arc[arc >= 0], post[arc >= 0], len(used))
                 beta[:, low:j] = np.logaddexp(beta[:, low:j], back[:, ::-1])
         return used
@@ -253,8 +254,8 @@ def _stats(batches):
                 k += [f"h{j}" for j in np.flatnonzero(c)] + ["docs"]
                 v += [*c[c > 0].tolist(), int(np.frombuffer(r["train"], np.uint8).sum())]
             else:
-                k += ["total", "distinct", "once"]
-                v += [int(c.sum()), int((c > 0).sum()), int((c == 1).sum())]
+                k += ["total", "distinct"]
+                v += [int(c.sum()), int((c > 0).sum())]
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(v, pa.int64())], names=["k", "v"])
 
 
@@ -265,26 +266,21 @@ def _expect(shared):
             used = np.zeros(len(lattice.pieces))
             for i in range(batch.num_rows):
                 c = np.frombuffer(batch.column("c")[i].as_py(), np.int64)
-                words = [w for w, n in zip(_words_of(batch.column("words")[i].as_py()), c, strict=False) if n == 1]
+                words = [w for w, n in zip(_words_of(batch.column("words")[i].as_py()), c, strict=True) if n]
                 if words:
-                    used += lattice.expected(words)
+                    used += lattice.expected(words, c[c > 0])
             at = np.flatnonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(used[at], pa.float64())], names=["piece", "used"])
 
     return run
 
 
-def _value(lattice: Lattice, words: list[bytes], c: np.ndarray, n: int, rest: float) -> np.ndarray:
-    """log10 probability of each word: (1 - rest) of its share of the training tokens, and `rest` times the lattice's.
-    Added as logarithms: a long word's probability is less than the smallest float."""
-    if not words:
-        return np.zeros(0)
-    with np.errstate(divide="ignore"):
-        share = np.log((1 - rest) * c / max(n, 1))
-    return np.logaddexp(share, math.log(rest) + lattice.marginal(words)) / math.log(10)
+def _value(lattice: Lattice, words: list[bytes], end: float) -> np.ndarray:
+    """log10 probability of each word where one token in 1 / `end` is a document's end."""
+    return (lattice.marginal(words) + math.log1p(-end)) / math.log(10) if words else np.zeros(0)
 
 
-def _tell(shared, n: int, rest: float):
+def _tell(shared, end: float):
     """For each run of a bucket the counts and probabilities of its words there."""
 
     def run(batches):
@@ -292,7 +288,7 @@ def _tell(shared, n: int, rest: float):
         for batch in batches:
             for i in range(batch.num_rows):
                 c = np.frombuffer(batch.column("c")[i].as_py(), np.int64)
-                value = _value(lattice, _words_of(batch.column("words")[i].as_py()), c, n, rest)
+                value = _value(lattice, _words_of(batch.column("words")[i].as_py()), end)
                 names, places = batch.column("run")[i], batch.column("idx")[i]
                 for low in range(0, len(names), 64):
                     part = [np.frombuffer(places[j].as_py(), np.uint32) for j in range(low, min(low + 64, len(names)))]
@@ -306,20 +302,19 @@ def _tell(shared, n: int, rest: float):
 _SCORES = "doc long, n_tokens long, n_known long, base double, score double"
 
 
-def _sum(hot_c: np.ndarray, hot_value: np.ndarray, n: int, n_docs: int, rest: float):
+def _sum(hot_c: np.ndarray, hot_value: np.ndarray, n_docs: int, end: float):
     def run(key, texts, told):
         """Each document's sums over its words and its end."""
         order = np.argsort(told.column("bucket").to_numpy(), kind="stable").tolist()
         c = np.concatenate([hot_c.astype(np.float64), *(np.frombuffer(told.column("c")[i].as_py(), np.uint32) for i in order)])
         value = np.concatenate([hot_value, *(np.frombuffer(told.column("value")[i].as_py(), np.float64) for i in order)])
         base, known = np.log10(c + 0.5), c > 0
-        end = math.log10((n_docs or 0.5) * (1 - rest) / max(n, 1))
         out = []
         for i in range(texts.num_rows):
             read = {k: np.frombuffer(texts.column(k)[i].as_py(), t) for k, t in (("doc", np.int64), ("tokens", np.int64), ("pd", np.uint32), ("pw", np.uint32), ("pn", np.uint32))}
             size, times = len(read["doc"]), read["pn"].astype(float)
             sums = [np.bincount(read["pd"], times * v[read["pw"]], size) if len(times) else np.zeros(size) for v in (base, value, known)]
-            cols = [read["doc"], read["tokens"] + 1, np.rint(sums[2]).astype(np.int64) + (n_docs > 0), sums[0] + math.log10(n_docs + 0.5), sums[1] + end]
+            cols = [read["doc"], read["tokens"] + 1, np.rint(sums[2]).astype(np.int64) + (n_docs > 0), sums[0] + math.log10(n_docs + 0.5), sums[1] + math.log10(end)]
             out.append(pa.table([pa.array(x) for x in cols], names=[x.split()[0] for x in _SCORES.split(", ")]))
         if not out:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=[x.split()[0] for x in _SCORES.split(", ")])
@@ -333,10 +328,10 @@ def score_texts(docs: DataFrame, train, pieces: tuple[list[bytes], np.ndarray],
     rows to learn from.
 
     Tokens are words (A-Z lower-cased, white space between) and one end. Training words are counted over all training
-    texts, by buckets of word hashes; the vocabulary's piece weights are then fitted to the training words seen once (the
-    best likeness of unseen ones) by `rounds` steps of expectation maximisation over all segmentations. A word's
-    probability is its share of the training tokens, discounted by the share of words seen once, plus that share times
-    the lattice's marginal probability.
+    texts, by buckets of word hashes; the vocabulary's piece weights are then fitted to all training words, as often as
+    they come, by `rounds` steps of expectation maximisation over all segmentations; without training words they stay. A
+    word's probability, seen or not, is the lattice's marginal; the end's is its share of the training tokens, which is
+    also what it gets as one more piece of the lattice that follows a whole word.
 
     Texts lie in runs of 2 MB, written once. Runs send their distinct words to the buckets and get back each word's count
     and probability; documents' own counts stay in their runs, so what moves follows the input whatever the number of
@@ -361,19 +356,23 @@ def score_texts(docs: DataFrame, train, pieces: tuple[list[bytes], np.ndarray],
     n_docs = stats.get("docs", 0)
     n = int(stats.get("total", 0) + hot_c.sum() + n_docs)
     distinct = int(stats.get("distinct", 0) + (hot_c > 0).sum() + (n_docs > 0))
-    rest = min(0.9, max(1e-6, float(stats.get("once", 0) + (hot_c == 1).sum() + 1) / (n + 2)))
+    end = (n_docs + 0.5) / (n + 1)
     names, logp = pieces
     for _ in range(rounds):
         used = merged.select("words", "c").mapInArrow(_expect(spark.sparkContext.broadcast((names, logp))), "piece int, used double")
-        count = np.full(len(names), 1e-3)
+        lattice, own = Lattice(names, logp), np.flatnonzero(hot_c)
+        count = lattice.expected([hot[i] for i in own], hot_c[own]) if len(own) else np.zeros(len(names))
         for r in used.groupBy("piece").agg(F.sum("used").alias("u")).collect():  # at most one row a piece
             count[r["piece"]] += r["u"]
+        if not count.any():
+            break
+        count += 1e-3
         logp = np.log(count / count.sum())
     shared = spark.sparkContext.broadcast((names, logp))
-    told = merged.mapInArrow(_tell(shared, n, rest), "run string, bucket int, c binary, value binary")
-    value = _value(Lattice(names, logp), hot, hot_c, n, rest)
+    told = merged.mapInArrow(_tell(shared, end), "run string, bucket int, c binary, value binary")
+    value = _value(Lattice(names, logp), hot, end)
     texts = held.where("bucket < 0").select("run", "doc", "tokens", "pd", "pw", "pn")
-    out = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_sum(hot_c, value, n, n_docs, rest), _SCORES)
+    out = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_sum(hot_c, value, n_docs, end), _SCORES)
     base = F.col("base") - F.col("n_tokens") * F.lit(math.log10(n + 0.5 * (distinct + 1)))
     return out.select(id_back("doc").alias("doc_id"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

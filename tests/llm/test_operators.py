@@ -332,6 +332,54 @@ def test_lm_score_of_long_words(spark):
     assert got[3] - got[2] == pytest.approx((got[2] - got[1]) * 5000 / 4500, rel=1e-3)
 
 
+def brute_scores(texts, train, pieces, rounds=2):
+    """The lattice's scores by plain recursion over all segmentations."""
+    names, logp = pieces
+    c = Counter(w for t in train for w in t.encode().lower().split())
+    for _ in range(rounds if c else 0):
+        p, used = dict(zip(names, np.exp(logp), strict=True)), Counter()
+
+        def walk(word, most):
+            if not word:
+                return [((), 1.0)]
+            return [((word[:n], *rest), p[word[:n]] * q) for n in range(1, min(len(word), most) + 1) if word[:n] in p for rest, q in walk(word[n:], most)]
+
+        for w, k in c.items():
+            ways = walk(b" " + w, 40)
+            total = sum(q for _, q in ways)
+            for way, q in ways:
+                for piece in way:
+                    used[piece] += k * q / total
+        count = np.array([used[x] + 1e-3 for x in names])
+        logp = np.log(count / count.sum())
+    p = dict(zip(names, np.exp(logp), strict=True))
+    n = sum(c.values()) + len(train)
+    end = (len(train) + 0.5) / (n + 1)
+    return [sum(math.log10((1 - end) * all_segmentations(b" " + w, p)) for w in t.encode().lower().split()) + math.log10(end) for t in texts]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+@pytest.mark.parametrize("n_hot", [0, 2, 1000])
+def test_lm_score_is_the_lattices(spark, copies, n_hot):
+    """Seen words too; also where no word is seen just once, and with nothing to learn from."""
+    train = ["the cat sat the cat", "a catalog the"] * copies
+    texts = [*train, "cats sit", "the the", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = lm_score.score_texts(df, F.col("doc_id") < len(train), lm_score.read_pieces(), n_hot=n_hot).collect()
+    assert [r.score for r in sorted(got)] == pytest.approx(brute_scores(texts, train, lm_score.read_pieces()))
+    none = lm_score.score_texts(df, F.lit(False), lm_score.read_pieces(), n_hot=n_hot).collect()
+    assert [r.score for r in sorted(none)] == pytest.approx(brute_scores(texts, [], lm_score.read_pieces()))
+
+
+def test_pieces_of_any_length():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=lm_score.VOCABULARY)
+    own = [model.id_to_piece(i).replace("▁", " ").encode().lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    long = {x for x in own if len(x) > 16 and b" " not in x[1:]}
+    assert long and long <= set(lm_score.read_pieces()[0])
+
+
 # ------------------------------------------------------------------------------------------------------------ BM25
 
 
