@@ -58,10 +58,13 @@ class Net:
         return both @ self.out + self.bias[0]
 
     def gradients(self, x, first, y, weight):
-        w = self.windows(x)
-        z = (w.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(w), -1, FILTERS)
-        at = z.argmax(axis=1)
-        h = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0] + self.shift, 0)
+        at, h = np.empty((len(x), FILTERS), np.int64), np.empty((len(x), FILTERS), np.float32)
+        blocks = [slice(low, low + 128) for low in range(0, len(x), 128)]  # a long text's windows don't fit at once
+        for k in blocks:
+            w = self.windows(x[k])
+            z = (w.reshape(-1, WIDTH * EMBED) @ self.filters).reshape(len(w), -1, FILTERS)
+            at[k] = z.argmax(axis=1)
+            h[k] = np.maximum(np.take_along_axis(z, at[k][:, None], 1)[:, 0] + self.shift, 0)
         n = np.diff(np.append(first, len(x)))
         of = np.repeat(np.arange(len(first)), n)
         top = np.maximum.reduceat(h, first)
@@ -72,25 +75,24 @@ class Net:
         ties = np.add.reduceat(best.astype(np.float32), first)
         d = d_both[of, :FILTERS] / n[of, None] + d_both[of, FILTERS:] * best / ties[of]
         d = d * (h > 0)
-        rows = w[np.arange(len(w))[:, None], at]  # chunk, filter, window
-        d_filters = np.einsum("cf,cfk->kf", d, rows, optimize=True)
-        d_rows = (d[:, :, None] * self.filters.T[None]).reshape(len(w), FILTERS, WIDTH, EMBED)
-        places = at[:, :, None] * STRIDE + np.arange(WIDTH)
-        d_embed = np.zeros_like(self.embed)
-        np.add.at(d_embed, x[np.arange(len(x))[:, None, None], places].ravel(), d_rows.reshape(-1, EMBED))
+        d_filters, d_embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+        for k in blocks:
+            w = self.windows(x[k])
+            rows = w[np.arange(len(w))[:, None], at[k]]  # chunk, filter, window
+            d_filters += np.einsum("cf,cfk->kf", d[k], rows, optimize=True)
+            d_rows = (d[k][:, :, None] * self.filters.T[None]).reshape(len(w), FILTERS, WIDTH, EMBED)
+            places = at[k][:, :, None] * STRIDE + np.arange(WIDTH)
+            np.add.at(d_embed, x[k][np.arange(len(w))[:, None, None], places].ravel(), d_rows.reshape(-1, EMBED))
         return [d_embed, d_filters, d.sum(axis=0), both.T @ g, g.sum(keepdims=True)]
 
 
-def batch_of(texts: list[bytes], most: int | None = None, r=None) -> tuple[np.ndarray, np.ndarray]:
-    held = []
-    for t in texts:
-        c = chunks(t)
-        held.append(c if most is None or len(c) <= most else c[np.sort(r.choice(len(c), most, replace=False))])
+def batch_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    held = [chunks(t) for t in texts]
     return np.concatenate(held), np.concatenate([[0], np.cumsum([len(c) for c in held])[:-1]]).astype(int)
 
 
-def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, most: int = 6, rate: float = 4e-3, seed: int = 7) -> Net:
-    """Adam on the logistic loss, both classes weighing the same; each step sees up to `most` chunks of a text."""
+def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 4e-3, seed: int = 7) -> Net:
+    """Adam on the logistic loss, both classes weighing the same; each step sees all chunks of its texts."""
     net, r = Net(seed), np.random.default_rng(seed)
     m, v = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)).astype(np.float32)
@@ -99,7 +101,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, mo
         order = r.permutation(len(texts))
         for at in range(0, len(order), size):
             pick = order[at : at + size]
-            x, first = batch_of([texts[i] for i in pick], most, r)
+            x, first = batch_of([texts[i] for i in pick])
             step += 1
             now = rate * (1 - step / (steps + 1))
             for p, g, a, b in zip(net.parts(), net.gradients(x, first, y[pick], weight[pick]), m, v, strict=True):
@@ -109,17 +111,14 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, mo
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 8192) -> Net | float:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Net | float:
     """Learns from labelled rows (doc_id, quality): at most max_rows documents, half of each class, in order of their
-    ids' hash, and of each only max_bytes bytes from its middle (both bound the fit alone; scores read whole texts).
-    Without labelled rows of both classes, a constant score comes back."""
+    ids' hash, and of each the whole text (max_rows bounds the fit alone; scores are of all rows). Without labelled rows of both classes, a constant score comes back."""
     w = Window.partitionBy("y").orderBy(F.xxhash64("doc"), "doc")
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("quality").cast("int").alias("y"))
     ids = cut(known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows // 2).select("doc", "y"), "sample")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(id_of().alias("doc"), F.col("text").cast("string").alias("text"))
-    raw = F.col("text").cast("binary")
-    piece = F.substring(raw, (F.greatest(F.lit(0), F.octet_length(raw) - max_bytes) / 2).cast("int") + 1, F.lit(max_bytes))
-    found = rows.join(F.broadcast(ids), "doc").select("doc", "y", piece.alias("b")).collect()  # max_rows rows at most
+    found = rows.join(F.broadcast(ids), "doc").select("doc", "y", F.col("text").cast("binary").alias("b")).collect()  # max_rows rows at most
     found = sorted((r["doc"], r["y"], bytes(r["b"])) for r in found)
     y = np.array([r[1] for r in found], np.float32)
     if len(y) == 0 or y.min() == y.max():

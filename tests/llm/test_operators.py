@@ -254,6 +254,16 @@ def test_network_gradients():
         assert (up - down) / 4e-3 == pytest.approx(float(d[i]), rel=0.15, abs=2e-4)
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    texts = [chr(97 + i) * 300 + "x" * 20_000 + chr(65 + i) * 300 for i in range(4)]
+    seen, step = [], quality.Net.gradients
+    monkeypatch.setattr(quality.Net, "gradients", lambda net, x, *rest: seen.append(x) or step(net, x, *rest))
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    whole = sorted(bytes(c) for t in texts for c in quality.chunks(t.encode()))
+    assert seen and all(sorted(map(bytes, x)) == whole for x in seen)
+
+
 # ------------------------------------------------------------------------------------------------------ URL filter
 
 
