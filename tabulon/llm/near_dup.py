@@ -75,8 +75,11 @@ def _sets(n: int):
             rest = batch.column_names.index("text")
             for at, held in groups(map(_low, batch.column(rest).to_pylist())):
                 part = batch.slice(at, len(held))
-                found = pa.array([x.tobytes() for x in shingles(held, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:rest], found], names=[*batch.schema.names[:rest], "found"])
+                raw = [x.tobytes() for x in shingles(held, n)]
+                halves = zip(part.column("c1").to_pylist(), part.column("c2").to_pylist(), strict=True)
+                # a row that repeats the id may have another class's text
+                own = pa.array([xxhash.xxh3_128_digest(x) == b"".join(c.to_bytes(8, "big", signed=True) for c in of) for x, of in zip(raw, halves, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*part.columns[:rest], pa.array(raw, pa.binary())], names=[*batch.schema.names[:rest], "found"]).filter(own)
 
     return run
 
@@ -110,9 +113,11 @@ def _verify(threshold: float):
         """Links in one pair of blocks of a candidate group: for each document, how many documents it is linked to, and
         the least document of the part it falls into by these links."""
         a, b = key[1].as_py(), key[2].as_py()
-        docs, copies, block = (table.column(c).to_numpy() for c in ("doc", "copies", "block"))
+        raw = table.column("found").to_pylist()
+        once = list({k: i for i, k in enumerate(zip(table.column("doc").to_pylist(), raw, strict=True))}.values())  # one of the rows that repeat an id
+        docs, copies, block = (table.column(c).to_numpy()[once] for c in ("doc", "copies", "block"))
         copies = copies.astype(np.float64)
-        found = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+        found = [np.frombuffer(raw[i], np.uint64) for i in once]
         order = np.argsort(docs)
         docs, copies, block, found = docs[order], copies[order], block[order], [found[i] for i in order]
         size = np.array([len(x) for x in found], np.float64)

@@ -136,6 +136,14 @@ def test_near_duplicates_edges(spark):
     assert near_dup.prefix_length(0.8, 0.999) == 4
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows that repeat an id are copies: linked to the others, not to themselves once more."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[:-1]).upper()), (4, "something else that stands alone here")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.group_id, r.n_links) for r in got) == [(1, 1, 4), (1, 1, 4), (1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 4, 0)]
+
+
 # ------------------------------------------------------------------------------------------------ decontamination
 
 
