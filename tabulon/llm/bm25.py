@@ -2,52 +2,114 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
-from .tokens import PUNCTUATION, groups, word_hashes
+from .common import cut, discard, scratch_path
+from .tokens import PUNCTUATION, groups, runs, word_hashes
 
 K1, B = 1.2, 0.75
+#: Documents in a block that shares one maximum a term.
+BLOCK = 32
+#: One shard in so many is searched first and gives every query its first threshold.
+WAVES = 64
+#: Bounds are kept in single precision; this share of a threshold is left as margin.
+MARGIN = 1e-5
 
 
 def _low(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
-def _forward(batches):
-    """Each text's distinct term hashes, in order, and how often it has each."""
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for at, held in groups(map(_low, batch.column(1).to_pylist())):
-            h, of, _ = word_hashes(held, PUNCTUATION)
-            ends = np.cumsum(np.bincount(of, minlength=len(held)))
-            terms, times, size = [], [], []
-            for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-                t, n = np.unique(h[a:b], return_counts=True)
-                terms.append(t.tobytes())
-                times.append(n.astype(np.uint32).tobytes())
-                size.append(int(b - a))
-            cols = [pa.array(ids[at : at + len(held)], pa.int64()), pa.array(size, pa.int64()), pa.array(terms, pa.binary()), pa.array(times, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "size", "terms", "times"])
+def _counted(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term hash, times) of each distinct term of each text, in this order."""
+    h, of, _ = word_hashes(held, PUNCTUATION)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return of[edge], h[edge], np.diff(np.append(edge, len(h)))
+
+
+def _least_kind(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    """n numbers in the width that _least_kind chose."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
+
+
+_SHARD = "wave int, words long, docs binary, size binary, known binary, df binary, post binary, times binary"
+
+
+def _build(most: int):
+    """Texts in shards of about `most` characters, each one row: postings by term, in an order of the documents that
+    puts like ones (the same commonest word, then about the same length) next to each other."""
+
+    def run(batches):
+        for ids, held in runs(batches, ["doc", "text"], most, 64):
+            low = [_low(t) for t in held]
+            parts = [(of + at, h, n) for at, some in groups(low) for of, h, n in [_counted(some)]]
+            of, h, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+            size = np.bincount(of, times, len(low)).astype(np.int64)
+            known, term, df = np.unique(h, return_inverse=True, return_counts=True)
+            if not len(known):
+                continue
+            common = np.argsort(-df, kind="stable")[:64]
+            rank = np.zeros(len(known), np.int64)
+            rank[common] = np.arange(1, len(common) + 1)
+            top = np.zeros(len(low), np.int64)
+            has = rank[term] > 0
+            by = np.lexsort((times[has], of[has]))
+            top[of[has][by]] = rank[term[has][by]]  # the last one written is the commonest in the text
+            order = np.lexsort((np.arange(len(low)), size, top))
+            order = order[size[order] > 0]
+            place = np.zeros(len(low), np.int64)
+            place[order] = np.arange(len(order))
+            by = np.argsort(term.astype(np.int64) * len(order) + place[of])
+            docs = np.array(ids, np.int64)[order]
+            cols = [docs, _least_kind(size[order]), known, _least_kind(df), _least_kind(place[of][by]), _least_kind(times[by])]
+            wave = int(zlib.crc32(np.sort(docs).tobytes()) % WAVES > 0)
+            row = [pa.array([wave], pa.int32()), pa.array([int(size.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in cols)]
+            yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in _SHARD.split(", ")])
+
+    return run
 
 
 def _frequencies(batches):
-    """How many of a batch's texts have each term."""
+    """How many of a shard's documents have each term."""
+    for batch in batches:
+        for known, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = np.frombuffer(known, np.int64)
+            df = _numbers(df, len(h)).astype(np.int64)
+            for at in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + (1 << 16)]), pa.array(df[at : at + (1 << 16)])], names=["h", "df"])
+
+
+def _asked(batches):
+    """Each query's distinct terms, and a digest of them."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            h = np.frombuffer(b"".join(batch.column(0).slice(at, 4000).to_pylist()), np.uint64)
-            t, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "df"])
+        ids = batch.column(0).to_pylist()
+        for at, held in groups(map(_low, batch.column(1).to_pylist())):
+            of, h, _ = _counted(held)
+            ends = np.searchsorted(of, np.arange(len(held) + 1))
+            terms = [h[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            digest = [xxhash.xxh3_128_digest(x) for x in terms]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + len(held)], pa.int64()), pa.array(terms, pa.binary()), pa.array(digest, pa.binary())], names=["query", "terms", "digest"])
 
 
-def _explode(batches):
+def _terms(batches):
+    """(block, term) of each batch's queries, each once."""
     for batch in batches:
-        lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x) for x in lists])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["query", "h"])
+        block, lists = batch.column(0).to_numpy(), [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        for k in np.unique(block):
+            h = np.unique(np.concatenate([x for x, b in zip(lists, block, strict=True) if b == k] or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h)], names=["block", "h"])
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -56,145 +118,224 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Postings by term and by document of some texts, and each term's largest weight in each block of documents. A
+    """Postings by term and by document, and each term's largest weight in the shard and in each block of documents. A
     weight is the part of BM25 that the text decides: (k1+1) tf / (tf + k1 (1 - b + b size / mean size))."""
 
-    def __init__(self, docs: np.ndarray, size: np.ndarray, terms: list[np.ndarray], times: list[np.ndarray], mean: float, block: int = 64):
-        order = np.argsort(docs, kind="stable")
-        self.docs, size = docs[order], size[order].astype(float)
-        terms, times = [terms[i] for i in order], [times[i] for i in order]
-        n = np.array([len(t) for t in terms], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(n)])
-        every = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
-        self.known, self.term = np.unique(every, return_inverse=True)
-        of = np.repeat(np.arange(len(docs)), n)
-        tf = (np.concatenate(times) if times else np.zeros(0)).astype(float)
-        self.weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[of] / mean))
-        by = np.argsort(self.term, kind="stable")
-        self.posted, self.impact = of[by].astype(np.int32), self.weight[by]
-        self.first = np.searchsorted(self.term[by], np.arange(len(self.known) + 1))
-        self.block = block
-        cell = self.term[by].astype(np.int64) * (len(docs) // block + 1) + self.posted // block
+    def __init__(self, row: dict, mean: float, block: int = BLOCK):
+        self.docs, self.known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], np.uint64)
+        n = len(self.docs)
+        size, df = _numbers(row["size"], n), _numbers(row["df"], len(self.known)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(df)])
+        total = int(self.first[-1])
+        post, times = _numbers(row["post"], total), _numbers(row["times"], total).astype(np.float64)
+        length = K1 * (1 - B + B * size.astype(np.float64) / mean)
+        weight = times * (K1 + 1) / (times + length[post])
+        by = np.argsort(post, kind="stable")
+        self.term = np.repeat(np.arange(len(self.known), dtype=np.int32), df)[by]
+        self.weight = weight[by]
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(post, minlength=n))])
+        self.post, self.impact = post.astype(np.int64), weight
+        self.block = np.arange(n) // block
+        self.blocks = n // block + 1
+        cell = np.repeat(np.arange(len(self.known)) * self.blocks, df) + self.post // block
         edge = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block = (self.posted[edge] // block).astype(np.int32)
-        self.cell_max = np.maximum.reduceat(self.impact, edge) if len(edge) else np.zeros(0)
+        self.cell_block, self.cell_max = self.post[edge] // block, np.maximum.reduceat(weight, edge)
         self.cell_first = np.searchsorted(edge, self.first)
-        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.known) else np.zeros(0)
+        self.most = np.maximum.reduceat(weight, self.first[:-1])
         self.mask = np.zeros(len(self.known))
+        self.read = self.whole = 0  # postings read, and those of all terms asked for
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
-        """Exact scores: sums over the documents' own terms, in their order, of idf (in self.mask) times weight."""
+        """Exact scores: sums over the documents' own terms, in their order and one by one, so that documents with the
+        same terms in common get the same, of idf (in self.mask) times weight."""
+        if not len(docs):
+            return np.zeros(0)
         size = self.at[docs + 1] - self.at[docs]
         i = _spans(self.at[docs], size)
-        v = self.mask[self.term[i]] * self.weight[i]
-        return np.bincount(np.repeat(np.arange(len(docs)), size), v, len(docs))
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best documents with a common term; ties by smaller id."""
-        i = np.searchsorted(self.known, terms)
-        there = (i < len(self.known)) & (self.known[np.minimum(i, len(self.known) - 1)] == terms) if len(self.known) else np.zeros(len(terms), bool)
-        t, idf = i[there], idf[there]
-        if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
+        return np.bincount(np.repeat(np.arange(len(docs)), size), self.mask[self.term[i]] * self.weight[i], len(docs))
+
+    def _sum(self, place, value, first, terms, idf, n: int) -> np.ndarray:
+        """Sums by place of idf times value over the terms' lists."""
+        if not len(terms):
+            return np.zeros(n)
+        a, b = first[terms].tolist(), first[terms + 1].tolist()
+        at = np.concatenate([place[x:y] for x, y in zip(a, b, strict=True)])
+        v = np.concatenate([value[x:y] for x, y in zip(a, b, strict=True)])
+        return np.bincount(at, v * np.repeat(idf, first[terms + 1] - first[terms]), n)
+
+    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the documents that are among the k best and reach `least`; ties at the end all come.
+        terms: numbers of this shard's terms.
+
+        Terms stand in order of their bounds. Those after the pivot can't bring a document to the threshold even
+        together: a document must have one before it. So postings are read up to the pivot; the rest counts by its
+        maxima in blocks of documents, and only documents that can still reach the threshold are scored. The threshold
+        rises with the best of the first terms' documents, and again as candidates are scored best bound first."""
+        limit = self.most[terms] * idf
+        order = np.argsort(-limit, kind="stable")
+        t, idf, limit = terms[order], idf[order], limit[order]
         self.mask[t] = idf
-        # bounds of blocks: the sum of the terms' largest weights there
-        n = self.cell_first[t + 1] - self.cell_first[t]
-        cells = _spans(self.cell_first[t], n)
-        bound = np.bincount(self.cell_block[cells], self.cell_max[cells] * np.repeat(idf, n), len(self.docs) // self.block + 1)
-        # a first threshold: the k-th best of the most promising blocks and of the documents with the rarest terms
-        most = np.argsort(-bound, kind="stable")[: max(1, k // self.block + 1)]
-        seed = (most[:, None] * self.block + np.arange(self.block)).ravel()
-        n = self.first[t + 1] - self.first[t]
-        rare = np.argsort(n, kind="stable")
-        rare = rare[np.cumsum(n[rare]) <= 8 * k]
-        seed = np.unique(np.concatenate([seed[seed < len(self.docs)], self.posted[_spans(self.first[t[rare]], n[rare])]]))
-        first = self.scores(seed)
-        least = np.partition(first, -k)[-k] if len(first) >= k else 0.0
-        least = max(least * (1 - 1e-9), 0.0)
-        # the pivot: terms by their bound; those before it can't reach the threshold together
-        limit = self.most[t] * idf
-        order = np.argsort(limit, kind="stable")
-        below = np.cumsum(limit[order])
-        pivot = int(np.searchsorted(below, least, "left")) if least > 0 else 0
-        # only documents with a term from the pivot on can reach it; of the terms before it, those that together are
-        # worth a twelfth of the threshold are left for the exact scores
-        late = int(np.searchsorted(below, least / 12, "left")) if least > 0 else 0
-        open_ = bound >= least
-
-        def add(which: np.ndarray) -> np.ndarray:
-            n = self.first[t[which] + 1] - self.first[t[which]]
-            at = _spans(self.first[t[which]], n)
-            doc, part = self.posted[at], self.impact[at] * np.repeat(idf[which], n)
-            return np.bincount(doc, part, len(self.docs))
-
-        reached = add(order[pivot:])
-        possible = (reached > 0) & open_[np.arange(len(self.docs)) // self.block]
-        reached += add(order[late:pivot])
-        n = self.cell_first[t[order[:late]] + 1] - self.cell_first[t[order[:late]]]
-        cells = _spans(self.cell_first[t[order[:late]]], n)
-        rest = np.bincount(self.cell_block[cells], self.cell_max[cells] * np.repeat(idf[order[:late]], n), len(self.docs) // self.block + 1)
-        found = np.flatnonzero(possible)
-        found = found[reached[found] + rest[found // self.block] >= least * (1 - 1e-9)]
-        exact = self.scores(found)
+        n = len(self.docs)
+        length = self.first[t + 1] - self.first[t]
+        rest = np.cumsum(limit[::-1])[::-1]  # the bound of the terms from here on
+        got, score = np.zeros(0, np.int64), np.zeros(0)
+
+        def keep(docs: np.ndarray) -> None:
+            nonlocal got, score, least
+            got, score = np.concatenate([got, docs]), np.concatenate([score, self.scores(docs)])
+            if len(got) >= k:
+                least = max(least, float(np.partition(score, -k)[-k]))
+                stay = score >= least
+                got, score = got[stay], score[stay]
+
+        # the first terms' documents raise the threshold
+        some = max(1, int(np.searchsorted(np.cumsum(length), max(32 * k, n // 8), "right")))
+        some = min(some, int(np.searchsorted(-rest, -least, "right")) or 1) if least else some
+        reached = self._sum(self.post, self.impact, self.first, t[:some], idf[:some], n)
+        seed = np.argpartition(reached, -2 * k)[-2 * k :] if n > 2 * k else np.arange(n)
+        seed = seed[reached[seed] > 0]
+        keep(seed)
+        # the pivot
+        pivot = max(some, int(np.searchsorted(-rest, -least * (1 - MARGIN), "right"))) if least else len(t)
+        reached += self._sum(self.post, self.impact, self.first, t[some:pivot], idf[some:pivot], n)
+        bound = reached + self._sum(self.cell_block, self.cell_max, self.cell_first, t[pivot:], idf[pivot:], self.blocks)[self.block]
+        bound[seed] = 0
+        found = np.flatnonzero((bound >= least * (1 - MARGIN)) & (bound > 0))
+        self.read += int(length[:pivot].sum())
+        self.whole += int(length.sum())
+        found = found[np.argsort(-bound[found], kind="stable")]
+        for low, high in ((0, 4 * k), (4 * k, 32 * k), (32 * k, len(found))):
+            part = found[low:high]
+            keep(part[bound[part] >= least * (1 - MARGIN)])
         self.mask[t] = 0
-        if len(found) > k:
-            cut_at = np.partition(exact, -k)[-k]
-            found, exact = found[exact >= cut_at], exact[exact >= cut_at]
-        best = np.lexsort((self.docs[found], -exact))[:k]
-        return found[best], exact[best]
-
-
-def _search(k: int, mean: float):
-    def run(key, docs, queries):
-        binary = lambda t, c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-        shard = Shard(np.array(docs.column("doc").to_pylist(), np.int64), np.array(docs.column("size").to_pylist()), binary(docs, "terms", np.uint64), binary(docs, "times", np.uint32), mean)
-        q, d, s = [], [], []
-        for query, terms, idf in zip(queries.column("query").to_pylist(), queries.column("hs").to_pylist(), queries.column("idfs").to_pylist(), strict=True):
-            if docs.num_rows:
-                found, score = shard.top(np.array(terms, np.int64).view(np.uint64), np.array(idf, float), k)
-                q += [query] * len(found)
-                d += shard.docs[found].tolist()
-                s += score.tolist()
-        return pa.table({"query_id": pa.array(q, pa.int64()), "doc_id": pa.array(d, pa.int64()), "score": pa.array(s, pa.float64())})
+        return got, score
+
+
+class Block:
+    """Some queries: their terms with idf, each once, and each query's terms as numbers of these."""
+
+    def __init__(self, keys: list[tuple[int, bytes]], lists: list[np.ndarray], h: np.ndarray, idf: np.ndarray):
+        self.keys = keys
+        wanted = np.unique(np.concatenate(lists))
+        own = np.isin(h, wanted)
+        self.h, self.idf = h[own], idf[own]
+        order = np.argsort(self.h)
+        self.h, self.idf = self.h[order], self.idf[order]
+        self.lists = []
+        for x in lists:  # terms that no document has go
+            i = np.searchsorted(self.h, x)
+            i = i[self.h[np.minimum(i, len(self.h) - 1)] == x] if len(self.h) else i[:0]
+            self.lists.append(i.astype(np.int32))
+        self.least = np.zeros(len(keys))
+
+
+def _search(shared, k: int, mean: float):
+    """The k best of a task's shards for each query, each shard starting from the threshold of those before it."""
+
+    def run(batches):
+        block = shared.value
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(block.keys)
+        least = block.least.copy()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard({name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}, mean)
+                place = np.searchsorted(shard.known, block.h)
+                there = shard.known[np.minimum(place, len(shard.known) - 1)] == block.h
+                for q, own in enumerate(block.lists):
+                    own = own[there[own]]
+                    if not len(own):
+                        continue
+                    found, score = shard.top(place[own], block.idf[own], k, least[q])
+                    if len(found):
+                        docs, score = np.concatenate([best[q][0], shard.docs[found]]), np.concatenate([best[q][1], score])
+                        order = np.lexsort((docs, -score))[:k]
+                        best[q] = docs[order], score[order]
+                        if len(order) == k:
+                            least[q] = max(least[q], float(score[order[-1]]))
+        n = [len(d) for d, _ in best]
+        cols = [pa.array(np.repeat(np.array([key[0] for key in block.keys], np.int64), n)), pa.array([key[1] for key, m in zip(block.keys, n, strict=True) for _ in range(m)], pa.binary())]
+        cols += [pa.array(np.concatenate([d for d, _ in best])), pa.array(np.concatenate([s for _, s in best]))]
+        yield pa.RecordBatch.from_arrays(cols, names=["query", "digest", "doc", "score"])
 
     return run
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 8_192, block_queries: int = 8_192) -> DataFrame:
+def _blocks(asked: DataFrame, idf: DataFrame, n: int, most: int):
+    """Blocks of queries of at most `most` bytes of terms; a larger query is a block of its own."""
+    for k in range(n):
+        told = idf.where(F.col("block") == k).select("h", "idf").toArrow()
+        h, weight = told.column("h").to_numpy().view(np.uint64), told.column("idf").to_numpy()
+        keys, lists, size = [], [], 0
+        for r in asked.where(F.col("block") == k).select("query", "digest", "terms").toLocalIterator():
+            if size and size + len(r["terms"]) > most:
+                yield Block(keys, lists, h, weight)
+                keys, lists, size = [], [], 0
+            keys.append((r["query"], bytes(r["digest"])))
+            lists.append(np.frombuffer(bytes(r["terms"]), np.uint64))
+            size += len(r["terms"])
+        if keys:
+            yield Block(keys, lists, h, weight)
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_chars: int = 32 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """(query_id, rank, doc_id, score): for each row of queries (query_id, text) the k documents with the highest BM25
     score (k1 1.2, b 0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)), each distinct query term once) among those with a
     common term; ties by smaller doc_id.
 
     Terms are lower-cased runs of letters, digits and non-ASCII characters; N, mean size and df are of all documents.
-    Documents are dealt to shards of about shard_docs by the hash of their id, queries to blocks of block_queries; each
-    pair of block and shard searches the shard's inverted index: bounds of blocks of documents from their largest
-    weights, a threshold from the best blocks, a pivot among the terms in order of their bounds, and whole scores of
-    what can still reach the threshold. The shards' best k are merged. Weights don't depend on the shard, so neither
-    do the scores.
+    The documents of a partition make shards of about shard_chars characters, each an inverted index of about half its
+    text's size, written once. Queries go to the tasks in blocks of at most block_bytes of terms, block after block; a
+    task takes each block through its shards by block-max WAND (`Shard.top`), the threshold going on from shard to
+    shard, and returns at most k rows a query. One shard in WAVES is searched first: a query's k-th best score there is
+    the threshold that all other tasks start from, so what tasks return together doesn't grow with their number.
+    Weights don't depend on the shard, so neither do the scores, and the merge is exact.
 
     Rows with null ids are left out on both sides; null or empty texts have no terms: they find nothing and aren't
-    found. Rows that repeat an id count as documents of their own.
+    found. Rows that repeat a doc_id are documents of their own. Rows that repeat a query_id with the same terms are one
+    query, with other terms another query with ranks of its own. Without documents or queries the result is empty.
     """
+    spark = docs.sparkSession
     take = lambda df, i: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = "doc long, size long, terms binary, times binary"
-    forward = cut(take(docs, "doc_id").mapInArrow(_forward, schema), "forward")
-    asked = take(queries, "query_id").mapInArrow(_forward, schema)
-    n, words = forward.agg(F.count("*"), F.sum("size")).first()
+    taken = take(docs, "doc_id")
+    index = cut(taken.mapInArrow(_build(shard_chars), _SHARD), "index")
+    lists = take(queries, "query_id").mapInArrow(_asked, "query long, terms binary, digest binary").where(F.length("terms") > 0)
+    lists = cut(lists.dropDuplicates(["query", "digest"]), "asked")
+    n, (words, first) = taken.count(), index.agg(F.sum("words"), F.count_if(F.col("wave") == 0)).first()
     mean = max((words or 0) / max(n, 1), 1e-9)
-    df = forward.select("terms").mapInArrow(_frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
-    terms = cut(asked.select("doc", "terms").mapInArrow(_explode, "query long, h long"), "terms")
-    wanted = terms.groupBy("h").agg(F.count("*").alias("n"))
-    weights = cut(wanted.join(df, "h").select("h", "n", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
-    total = terms.count()
-    told = join_hot(terms, weights, ["h"], "n", total).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("h", "idf"))).alias("t"))
-    told = cut(told.select("query", F.col("t.h").alias("hs"), F.col("t.idf").alias("idfs")), "queries")
-    shards, blocks = -(-n // shard_docs) or 1, -(-told.count() // block_queries) or 1
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = forward.where("size > 0").withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).withColumn("part", each(blocks))
-    right = told.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-    found = left.groupBy("part", "shard").cogroup(right.groupBy("part", "shard")).applyInArrow(_search(k, mean), "query_id long, doc_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    size = lists.agg(F.sum(F.length("terms"))).first()[0] or 0
+    n_blocks = -(-size // block_bytes)
+    path = scratch_path(spark, "blocks")
+    lists.withColumn("block", F.pmod(F.xxhash64("query", "digest"), F.lit(max(n_blocks, 1))).cast("int")).repartition("block").write.partitionBy("block").parquet(path)
+    asked = spark.read.schema("query long, terms binary, digest binary, block int").parquet(path)
+    df = index.select("known", "df").mapInArrow(_frequencies, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    wanted = asked.select("block", "terms").mapInArrow(_terms, "block int, h long").distinct()
+    idf = wanted.join(df.hint("merge"), "h").select("block", "h", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = cut(idf.repartition("block").sortWithinPartitions("block"), "idf")
+    schema, out = "query long, digest binary, doc long, score double", scratch_path(spark, "found")
+    shards = index.drop("words")
+
+    def search(block: Block, wave: int, at: str) -> str:
+        shared = spark.sparkContext.broadcast(block)
+        shards.where(F.col("wave") == wave).drop("wave").mapInArrow(_search(shared, k, mean), schema).write.parquet(at)
+        shared.destroy()
+        return at
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("query", "digest").orderBy(F.col("score").desc(), "doc"))).where(F.col("rank") <= k)
+
+    for i, block in enumerate(_blocks(asked, idf, n_blocks, block_bytes)):
+        if first:
+            at = search(block, 0, f"{out}/part={i}-0")
+            known = best(spark.read.schema(schema).parquet(at)).where(F.col("rank") == k).select("query", "digest", "score").collect()  # one row a query of the block
+            number = {key: j for j, key in enumerate(block.keys)}
+            for r in known:
+                block.least[number[r["query"], bytes(r["digest"])]] = r["score"]
+        search(block, 1, f"{out}/part={i}-1")
+    discard(index, lists, idf, path)
+    if not n_blocks:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    found = best(spark.read.schema(schema).parquet(out))
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

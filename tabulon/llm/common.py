@@ -16,33 +16,55 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders written here that nothing has deleted yet.
+_SCRATCH: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set: a local one in local mode, as in tests; on a
+    cluster, whose machines don't share local folders, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str = "t") -> str:
+    """A new folder's name in the shared folder."""
+    path = f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables written by cut() that nothing reads any more."""
+def discard(*frames: DataFrame | str) -> None:
+    """Deletes tables written by cut(), or folders named by scratch_path(), that nothing reads any more."""
+    spark = SparkSession.getActiveSession()
     for df in frames:
-        path = getattr(df, "_scratch", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        path = df if isinstance(df, str) else getattr(df, "_scratch", None)
+        if path and spark:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _SCRATCH.discard(path)
+
+
+def clear_scratch() -> int:
+    """Deletes all folders that results read from: call it when no result of this session is needed any more."""
+    held = list(_SCRATCH)
+    discard(*held)
+    return len(held)
 
 
 def id_of(name: str = "doc_id") -> Column:

@@ -41,9 +41,10 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-def runs(batches, names: list[str], most: int):
-    """Rows across batches in runs of about `most` characters of `text`, each as a list a column."""
-    held, size = [[] for _ in names], 0
+def runs(batches, names: list[str], most: int, row: int = 1):
+    """Rows across batches in runs of about `most` characters of `text`, each as a list a column; a row counts `row`
+    characters more."""
+    held, size, each = [[] for _ in names], 0, row
     at = names.index("text")
     for batch in slices(batches, 64):
         rows = [batch.column(n).to_pylist() for n in names]
@@ -53,7 +54,7 @@ def runs(batches, names: list[str], most: int):
                 held, size = [[] for _ in names], 0
             for h, v in zip(held, row, strict=True):
                 h.append(v)
-            size += len(row[at]) + 1
+            size += len(row[at]) + each
     if size:
         yield held
 
