@@ -15,9 +15,11 @@ from .tokens import PUNCTUATION, groups, runs, word_hashes
 
 K1, B = 1.2, 0.75
 #: Documents in a block that shares one maximum a term.
-BLOCK = 32
+BLOCK = 8
 #: One shard in so many is searched first and gives every query its first threshold.
 WAVES = 64
+#: What scoring an entry of a document costs against reading one of a posting list.
+SCORING = 2
 #: Bounds are kept in single precision; this share of a threshold is left as margin.
 MARGIN = 1e-5
 
@@ -71,7 +73,11 @@ def _build(most: int):
             order = order[size[order] > 0]
             place = np.zeros(len(low), np.int64)
             place[order] = np.arange(len(order))
-            by = np.argsort(term.astype(np.int64) * len(order) + place[of])
+            often = np.argsort(-df, kind="stable")  # terms in order of their frequency, so that common ones lie together
+            number = np.empty(len(often), np.int64)
+            number[often] = np.arange(len(often))
+            known, df = known[often], df[often]
+            by = np.argsort(number[term] * len(order) + place[of])
             docs = np.array(ids, np.int64)[order]
             cols = [docs, _least_kind(size[order]), known, _least_kind(df), _least_kind(place[of][by]), _least_kind(times[by])]
             wave = int(zlib.crc32(np.sort(docs).tobytes()) % WAVES > 0)
@@ -123,6 +129,7 @@ class Shard:
 
     def __init__(self, row: dict, mean: float, block: int = BLOCK):
         self.docs, self.known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], np.uint64)
+        self.by_hash = np.argsort(self.known)
         n = len(self.docs)
         size, df = _numbers(row["size"], n), _numbers(row["df"], len(self.known)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(df)])
@@ -145,14 +152,24 @@ class Shard:
         self.mask = np.zeros(len(self.known))
         self.read = self.whole = 0  # postings read, and those of all terms asked for
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the terms with these hashes; -1: none."""
+        at = np.searchsorted(self.known, h, sorter=self.by_hash)
+        number = self.by_hash[np.minimum(at, len(self.known) - 1)]
+        return np.where(self.known[number] == h, number, -1)
+
     def scores(self, docs: np.ndarray) -> np.ndarray:
-        """Exact scores: sums over the documents' own terms, in their order and one by one, so that documents with the
-        same terms in common get the same, of idf (in self.mask) times weight."""
+        """Exact scores: sums over the documents' own terms of idf (in self.mask) times weight, the smallest parts first,
+        so that documents with equal parts get equal scores in whatever shard."""
         if not len(docs):
             return np.zeros(0)
         size = self.at[docs + 1] - self.at[docs]
         i = _spans(self.at[docs], size)
-        return np.bincount(np.repeat(np.arange(len(docs)), size), self.mask[self.term[i]] * self.weight[i], len(docs))
+        part = self.mask[self.term[i]] * self.weight[i]
+        some = np.flatnonzero(part)
+        of, part = np.repeat(np.arange(len(docs)), size)[some], part[some]
+        order = np.lexsort((part, of))
+        return np.bincount(of[order], part[order], len(docs))
 
     def _sum(self, place, value, first, terms, idf, n: int) -> np.ndarray:
         """Sums by place of idf times value over the terms' lists."""
@@ -169,40 +186,49 @@ class Shard:
 
         Terms stand in order of their bounds. Those after the pivot can't bring a document to the threshold even
         together: a document must have one before it. So postings are read up to the pivot; the rest counts by its
-        maxima in blocks of documents, and only documents that can still reach the threshold are scored. The threshold
-        rises with the best of the first terms' documents, and again as candidates are scored best bound first."""
+        maxima in blocks of documents. While more documents can still reach the threshold than are cheaper to score than
+        the unread postings are to read, the pivot moves on; then the documents left are scored. The threshold rises
+        with the best of the first terms' documents, at each stop and as candidates are scored, best bound first."""
         limit = self.most[terms] * idf
         order = np.argsort(-limit, kind="stable")
         t, idf, limit = terms[order], idf[order], limit[order]
         self.mask[t] = idf
         n = len(self.docs)
         length = self.first[t + 1] - self.first[t]
-        rest = np.cumsum(limit[::-1])[::-1]  # the bound of the terms from here on
-        got, score = np.zeros(0, np.int64), np.zeros(0)
+        upto = np.concatenate([[0], np.cumsum(length)])
+        rest = np.append(np.cumsum(limit[::-1])[::-1], 0.0)  # the bound of the terms from here on
+        got, score, done = np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
 
         def keep(docs: np.ndarray) -> None:
             nonlocal got, score, least
+            done[docs] = True
             got, score = np.concatenate([got, docs]), np.concatenate([score, self.scores(docs)])
             if len(got) >= k:
                 least = max(least, float(np.partition(score, -k)[-k]))
                 stay = score >= least
                 got, score = got[stay], score[stay]
 
-        # the first terms' documents raise the threshold
-        some = max(1, int(np.searchsorted(np.cumsum(length), max(32 * k, n // 8), "right")))
-        some = min(some, int(np.searchsorted(-rest, -least, "right")) or 1) if least else some
-        reached = self._sum(self.post, self.impact, self.first, t[:some], idf[:some], n)
-        seed = np.argpartition(reached, -2 * k)[-2 * k :] if n > 2 * k else np.arange(n)
-        seed = seed[reached[seed] > 0]
-        keep(seed)
-        # the pivot
-        pivot = max(some, int(np.searchsorted(-rest, -least * (1 - MARGIN), "right"))) if least else len(t)
-        reached += self._sum(self.post, self.impact, self.first, t[some:pivot], idf[some:pivot], n)
-        bound = reached + self._sum(self.cell_block, self.cell_max, self.cell_first, t[pivot:], idf[pivot:], self.blocks)[self.block]
-        bound[seed] = 0
-        found = np.flatnonzero((bound >= least * (1 - MARGIN)) & (bound > 0))
-        self.read += int(length[:pivot].sum())
-        self.whole += int(length.sum())
+        reached, at, bound = np.zeros(n), 0, None
+        goal = int(np.searchsorted(upto, max(32 * k, upto[-1] // 16), "left"))
+        while True:
+            # read on to where the rest falls under the threshold, or halves
+            under = least * (1 - MARGIN) if least and rest[at] >= least * (1 - MARGIN) else rest[at] / 2
+            if at or least:
+                goal = int(np.searchsorted(-rest, -under, "right"))
+            goal = min(max(goal, at + 1), len(t))
+            reached += self._sum(self.post, self.impact, self.first, t[at:goal], idf[at:goal], n)
+            at = goal
+            new = np.where(done, 0, reached)
+            if n > k:
+                best = np.argpartition(new, -k)[-k:]
+                keep(best[new[best] > max(0.0, least - rest[at])])
+            bound = reached + self._sum(self.cell_block, self.cell_max, self.cell_first, t[at:], idf[at:], self.blocks)[self.block]
+            bound[done] = 0
+            found = np.flatnonzero((bound >= least * (1 - MARGIN)) & (bound > 0))
+            if at == len(t) or int((self.at[found + 1] - self.at[found]).sum()) * SCORING <= upto[-1] - upto[at]:
+                break
+        self.read += int(upto[at])
+        self.whole += int(upto[-1])
         found = found[np.argsort(-bound[found], kind="stable")]
         for low, high in ((0, 4 * k), (4 * k, 32 * k), (32 * k, len(found))):
             part = found[low:high]
@@ -239,10 +265,9 @@ def _search(shared, k: int, mean: float):
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = Shard({name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}, mean)
-                place = np.searchsorted(shard.known, block.h)
-                there = shard.known[np.minimum(place, len(shard.known) - 1)] == block.h
+                place = shard.find(block.h)
                 for q, own in enumerate(block.lists):
-                    own = own[there[own]]
+                    own = own[place[own] >= 0]
                     if not len(own):
                         continue
                     found, score = shard.top(place[own], block.idf[own], k, least[q])
