@@ -479,7 +479,7 @@ def test_bm25_skips_postings():
             read[i], whole[i] = read[i] + x.read, whole[i] + x.whole
         assert got == sorted(every)[:10]
     print("postings read", read / whole)
-    assert read[1] < 0.33 * whole[1] and read[0] < 0.5 * whole[0]
+    assert read[1] < 0.45 * whole[1] and read[0] < 0.65 * whole[0]
 
 
 # -------------------------------------------------------------------------------------------------------- pipeline
