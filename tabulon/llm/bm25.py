@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, scratch_path
@@ -16,12 +16,14 @@ from .tokens import PUNCTUATION, groups, runs, word_hashes
 K1, B = 1.2, 0.75
 #: Documents in a block that shares one maximum a term.
 BLOCK = 8
+#: Terms that one document in so many of a shard has, or more, are frequent there: their lists are read by block maxima.
+FREQUENT = 8
 #: One shard in so many is searched first and gives every query its first threshold.
-WAVES = 64
-#: What scoring an entry of a document costs against reading one of a posting list.
-SCORING = 2
+WAVES = 16
 #: Bounds are kept in single precision; this share of a threshold is left as margin.
-MARGIN = 1e-5
+MARGIN = 1e-4
+#: Rare terms that together are worth no more than this share of a threshold are left to the scoring.
+REST = 0.01
 
 
 def _low(text: str) -> bytes:
@@ -46,7 +48,7 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
-_SHARD = "wave int, words long, docs binary, size binary, known binary, df binary, post binary, times binary"
+_SHARD = "pick int, words long, docs binary, size binary, known binary, df binary, post binary, times binary"
 
 
 def _build(most: int):
@@ -80,8 +82,8 @@ def _build(most: int):
             by = np.argsort(number[term] * len(order) + place[of])
             docs = np.array(ids, np.int64)[order]
             cols = [docs, _least_kind(size[order]), known, _least_kind(df), _least_kind(place[of][by]), _least_kind(times[by])]
-            wave = int(zlib.crc32(np.sort(docs).tobytes()) % WAVES > 0)
-            row = [pa.array([wave], pa.int32()), pa.array([int(size.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in cols)]
+            pick = zlib.crc32(np.sort(docs).tobytes()) >> 1
+            row = [pa.array([pick], pa.int32()), pa.array([int(size.sum())], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in cols)]
             yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in _SHARD.split(", ")])
 
     return run
@@ -124,116 +126,110 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """Postings by term and by document, and each term's largest weight in the shard and in each block of documents. A
-    weight is the part of BM25 that the text decides: (k1+1) tf / (tf + k1 (1 - b + b size / mean size))."""
+    """Postings by term and by document, for one dictionary of terms with idf. Rare terms have lists of (document, score
+    part); frequent ones a dense table of their parts, and of its maxima in blocks of documents. A part is idf times
+    (k1+1) tf / (tf + k1 (1 - b + b size / mean size))."""
 
-    def __init__(self, row: dict, mean: float, block: int = BLOCK):
-        self.docs, self.known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], np.uint64)
-        self.by_hash = np.argsort(self.known)
+    def __init__(self, row: dict, mean: float, h: np.ndarray, idf: np.ndarray):
+        self.docs, known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], np.uint64)
         n = len(self.docs)
-        size, df = _numbers(row["size"], n), _numbers(row["df"], len(self.known)).astype(np.int64)
+        size, df = _numbers(row["size"], n), _numbers(row["df"], len(known)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(df)])
         total = int(self.first[-1])
         post, times = _numbers(row["post"], total), _numbers(row["times"], total).astype(np.float64)
+        # the dictionary's terms here, and the idf of this shard's terms (0: not asked for)
+        by_hash = np.argsort(known)
+        at = by_hash[np.minimum(np.searchsorted(known, h, sorter=by_hash), len(known) - 1)]
+        self.number = np.where(known[at] == h, at, -1)
+        weigh = np.zeros(len(known))
+        weigh[at[self.number >= 0]] = idf[self.number >= 0]
         length = K1 * (1 - B + B * size.astype(np.float64) / mean)
-        weight = times * (K1 + 1) / (times + length[post])
+        part = times * (K1 + 1) / (times + length[post]) * np.repeat(weigh, df)
         by = np.argsort(post, kind="stable")
-        self.term = np.repeat(np.arange(len(self.known), dtype=np.int32), df)[by]
-        self.weight = weight[by]
+        self.term = np.repeat(np.arange(len(known), dtype=np.int32), df)[by]
+        self.own = part[by]
         self.at = np.concatenate([[0], np.cumsum(np.bincount(post, minlength=n))])
-        self.post, self.impact = post.astype(np.int64), weight
-        self.block = np.arange(n) // block
-        self.blocks = n // block + 1
-        cell = np.repeat(np.arange(len(self.known)) * self.blocks, df) + self.post // block
-        edge = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.cell_block, self.cell_max = self.post[edge] // block, np.maximum.reduceat(weight, edge)
-        self.cell_first = np.searchsorted(edge, self.first)
-        self.most = np.maximum.reduceat(weight, self.first[:-1])
-        self.mask = np.zeros(len(self.known))
-        self.read = self.whole = 0  # postings read, and those of all terms asked for
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of the terms with these hashes; -1: none."""
-        at = np.searchsorted(self.known, h, sorter=self.by_hash)
-        number = self.by_hash[np.minimum(at, len(self.known) - 1)]
-        return np.where(self.known[number] == h, number, -1)
-
-    def scores(self, docs: np.ndarray) -> np.ndarray:
-        """Exact scores: sums over the documents' own terms of idf (in self.mask) times weight, the smallest parts first,
-        so that documents with equal parts get equal scores in whatever shard."""
+        self.post, self.part, self.df = post.astype(np.int64), part, df
+        self.most = np.maximum.reduceat(part, self.first[:-1])
+        self.blocks = -(-n // BLOCK)
+        self.frequent = int(np.searchsorted(-df, -n / FREQUENT, "right"))  # terms stand by their frequency
+        end = int(self.first[self.frequent])
+        self.dense = np.zeros((self.blocks * BLOCK, self.frequent), np.float32)
+        self.dense[self.post[:end], np.repeat(np.arange(self.frequent), df[: self.frequent])] = part[:end]
+        self.maxima = np.ascontiguousarray(self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1).T) if n else np.zeros((self.frequent, 0), np.float32)
+        self.asked = np.zeros(len(known), bool)
+        self.read = self.whole = self.scored = 0  # postings read, those of all terms asked for, documents scored
+
+    def scores(self, docs: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Exact scores: sums over the documents' own terms of the parts of those asked for, the smallest first, so that
+        documents with equal parts get equal scores in whatever shard."""
         if not len(docs):
             return np.zeros(0)
+        self.asked[terms] = True
         size = self.at[docs + 1] - self.at[docs]
         i = _spans(self.at[docs], size)
-        part = self.mask[self.term[i]] * self.weight[i]
-        some = np.flatnonzero(part)
-        of, part = np.repeat(np.arange(len(docs)), size)[some], part[some]
+        some = self.asked[self.term[i]]
+        self.asked[terms] = False
+        of, part = np.repeat(np.arange(len(docs)), size)[some], self.own[i[some]]
         order = np.lexsort((part, of))
+        self.scored += len(docs)
         return np.bincount(of[order], part[order], len(docs))
 
-    def _sum(self, place, value, first, terms, idf, n: int) -> np.ndarray:
-        """Sums by place of idf times value over the terms' lists."""
-        if not len(terms):
-            return np.zeros(n)
-        a, b = first[terms].tolist(), first[terms + 1].tolist()
-        at = np.concatenate([place[x:y] for x, y in zip(a, b, strict=True)])
-        v = np.concatenate([value[x:y] for x, y in zip(a, b, strict=True)])
-        return np.bincount(at, v * np.repeat(idf, first[terms + 1] - first[terms]), n)
-
-    def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the documents that are among the k best and reach `least`; ties at the end all come.
-        terms: numbers of this shard's terms.
-
-        Terms stand in order of their bounds. Those after the pivot can't bring a document to the threshold even
-        together: a document must have one before it. So postings are read up to the pivot; the rest counts by its
-        maxima in blocks of documents. While more documents can still reach the threshold than are cheaper to score than
-        the unread postings are to read, the pivot moves on; then the documents left are scored. The threshold rises
-        with the best of the first terms' documents, at each stop and as candidates are scored, best bound first."""
-        limit = self.most[terms] * idf
-        order = np.argsort(-limit, kind="stable")
-        t, idf, limit = terms[order], idf[order], limit[order]
-        self.mask[t] = idf
+    def top(self, lists: list[np.ndarray], k: int, least: np.ndarray):
+        """For each list of terms (numbers of this shard's) the (places, scores) of the documents that are among the k best
+        and reach `least`; ties at the end all come.
+
+        Frequent terms count by their maxima in blocks of documents: one product of the queries with the maxima gives each
+        block's bound for a batch of queries. Rare terms stand in order of their bounds; their postings are read up to the
+        pivot, from which on the rest is worth next to nothing, and count by that bound. A block none of whose documents
+        can reach the threshold by these bounds is skipped; of the others, documents that still can are scored, best bound
+        first, which raises the threshold: with their own parts of the frequent terms, then, if still in reach, in full."""
+        for low in range(0, len(lists), 256):
+            batch = lists[low : low + 256]
+            asked = np.zeros((len(batch), self.frequent), np.float32)
+            for i, t in enumerate(batch):
+                asked[i, t[t < self.frequent]] = 1
+            bounds = asked @ self.maxima
+            for i, t in enumerate(batch):
+                yield self._top(t, k, float(least[low + i]), asked[i], bounds[i])
+
+    def _top(self, t: np.ndarray, k: int, least: float, asked: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.docs)
-        length = self.first[t + 1] - self.first[t]
-        upto = np.concatenate([[0], np.cumsum(length)])
-        rest = np.append(np.cumsum(limit[::-1])[::-1], 0.0)  # the bound of the terms from here on
-        got, score, done = np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
-
-        def keep(docs: np.ndarray) -> None:
-            nonlocal got, score, least
-            done[docs] = True
-            got, score = np.concatenate([got, docs]), np.concatenate([score, self.scores(docs)])
+        rare = t[t >= self.frequent]
+        rare = rare[np.argsort(-self.most[rare], kind="stable")]
+        rest = np.append(np.cumsum(self.most[rare][::-1])[::-1], 0.0)
+        pivot = int(np.searchsorted(-rest, -REST * least, "left")) if least else len(rare)
+        reached = np.zeros(self.blocks * BLOCK)
+        if pivot:
+            a, b = self.first[rare[:pivot]].tolist(), self.first[rare[:pivot] + 1].tolist()
+            at = np.concatenate([self.post[x:y] for x, y in zip(a, b, strict=True)])
+            reached = np.bincount(at, np.concatenate([self.part[x:y] for x, y in zip(a, b, strict=True)]), self.blocks * BLOCK)
+            self.read += len(at)
+        self.whole += int(self.df[t].sum())
+        upto = reached.reshape(self.blocks, BLOCK) + (bound + rest[pivot])[:, None]
+        if not least:  # the first shard of all: a threshold from the documents with the best bounds
+            some = np.argpartition(upto.ravel()[:n], -4 * k)[-4 * k :] if n > 4 * k else np.arange(n)
+            score = self.scores(some, t)
+            least = float(np.partition(score, -k)[-k]) if len(some) >= k else 0.0
+        found = np.flatnonzero(upto >= max(least * (1 - MARGIN), 1e-300))
+        found = found[found < n]
+        got, score = np.zeros(0, np.int64), np.zeros(0)
+        found = found[np.argsort(-upto.ravel()[found], kind="stable")] if len(found) > 8 * k else found
+        for low, high in ((0, 8 * k), (8 * k, len(found))):
+            part = found[low:high]
+            part = part[upto.ravel()[part] >= least * (1 - MARGIN)]
+            if not len(part):
+                continue
+            near = reached[part] + self.dense[part] @ asked + rest[pivot]
+            part = part[near >= least * (1 - MARGIN)]
+            if len(part) > k and not rest[pivot]:  # these are nearly the scores: what lies clearly behind the k-th goes
+                near = near[near >= least * (1 - MARGIN)]
+                part = part[near >= np.partition(near, -k)[-k] * (1 - MARGIN)]
+            got, score = np.concatenate([got, part]), np.concatenate([score, self.scores(part, t)])
             if len(got) >= k:
                 least = max(least, float(np.partition(score, -k)[-k]))
-                stay = score >= least
-                got, score = got[stay], score[stay]
-
-        reached, at, bound = np.zeros(n), 0, None
-        goal = int(np.searchsorted(upto, max(32 * k, upto[-1] // 16), "left"))
-        while True:
-            # read on to where the rest falls under the threshold, or halves
-            under = least * (1 - MARGIN) if least and rest[at] >= least * (1 - MARGIN) else rest[at] / 2
-            if at or least:
-                goal = int(np.searchsorted(-rest, -under, "right"))
-            goal = min(max(goal, at + 1), len(t))
-            reached += self._sum(self.post, self.impact, self.first, t[at:goal], idf[at:goal], n)
-            at = goal
-            new = np.where(done, 0, reached)
-            if n > k:
-                best = np.argpartition(new, -k)[-k:]
-                keep(best[new[best] > max(0.0, least - rest[at])])
-            bound = reached + self._sum(self.cell_block, self.cell_max, self.cell_first, t[at:], idf[at:], self.blocks)[self.block]
-            bound[done] = 0
-            found = np.flatnonzero((bound >= least * (1 - MARGIN)) & (bound > 0))
-            if at == len(t) or int((self.at[found + 1] - self.at[found]).sum()) * SCORING <= upto[-1] - upto[at]:
-                break
-        self.read += int(upto[at])
-        self.whole += int(upto[-1])
-        found = found[np.argsort(-bound[found], kind="stable")]
-        for low, high in ((0, 4 * k), (4 * k, 32 * k), (32 * k, len(found))):
-            part = found[low:high]
-            keep(part[bound[part] >= least * (1 - MARGIN)])
-        self.mask[t] = 0
+            stay = (score >= least) & (score > 0)
+            got, score = got[stay], score[stay]
         return got, score
 
 
@@ -264,13 +260,9 @@ def _search(shared, k: int, mean: float):
         least = block.least.copy()
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard({name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}, mean)
-                place = shard.find(block.h)
-                for q, own in enumerate(block.lists):
-                    own = own[place[own] >= 0]
-                    if not len(own):
-                        continue
-                    found, score = shard.top(place[own], block.idf[own], k, least[q])
+                shard = Shard({name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}, mean, block.h, block.idf)
+                lists = [t[t >= 0] for t in (shard.number[own] for own in block.lists)]
+                for q, (found, score) in enumerate(shard.top(lists, k, least)):
                     if len(found):
                         docs, score = np.concatenate([best[q][0], shard.docs[found]]), np.concatenate([best[q][1], score])
                         order = np.lexsort((docs, -score))[:k]
@@ -325,7 +317,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_chars: int = 3
     index = cut(taken.mapInArrow(_build(shard_chars), _SHARD), "index")
     lists = take(queries, "query_id").mapInArrow(_asked, "query long, terms binary, digest binary").where(F.length("terms") > 0)
     lists = cut(lists.dropDuplicates(["query", "digest"]), "asked")
-    n, (words, first) = taken.count(), index.agg(F.sum("words"), F.count_if(F.col("wave") == 0)).first()
+    n, (words, first) = taken.count(), index.agg(F.sum("words"), F.min("pick")).first()
+    first = max(first or 0, 2**31 // WAVES)  # shards up to here are searched first: at least one
     mean = max((words or 0) / max(n, 1), 1e-9)
     size = lists.agg(F.sum(F.length("terms"))).first()[0] or 0
     n_blocks = -(-size // block_bytes)
@@ -339,9 +332,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_chars: int = 3
     schema, out = "query long, digest binary, doc long, score double", scratch_path(spark, "found")
     shards = index.drop("words")
 
-    def search(block: Block, wave: int, at: str) -> str:
+    def search(block: Block, some: Column, at: str) -> str:
         shared = spark.sparkContext.broadcast(block)
-        shards.where(F.col("wave") == wave).drop("wave").mapInArrow(_search(shared, k, mean), schema).write.parquet(at)
+        shards.where(some).drop("pick").mapInArrow(_search(shared, k, mean), schema).write.parquet(at)
         shared.destroy()
         return at
 
@@ -349,13 +342,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_chars: int = 3
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("query", "digest").orderBy(F.col("score").desc(), "doc"))).where(F.col("rank") <= k)
 
     for i, block in enumerate(_blocks(asked, idf, n_blocks, block_bytes)):
-        if first:
-            at = search(block, 0, f"{out}/part={i}-0")
-            known = best(spark.read.schema(schema).parquet(at)).where(F.col("rank") == k).select("query", "digest", "score").collect()  # one row a query of the block
-            number = {key: j for j, key in enumerate(block.keys)}
-            for r in known:
-                block.least[number[r["query"], bytes(r["digest"])]] = r["score"]
-        search(block, 1, f"{out}/part={i}-1")
+        at = search(block, F.col("pick") <= first, f"{out}/part={i}-0")
+        known = best(spark.read.schema(schema).parquet(at)).where(F.col("rank") == k).select("query", "digest", "score").collect()  # one row a query of the block
+        number = {key: j for j, key in enumerate(block.keys)}
+        for r in known:
+            block.least[number[r["query"], bytes(r["digest"])]] = r["score"]
+        search(block, F.col("pick") > first, f"{out}/part={i}-1")
     discard(index, lists, idf, path)
     if not n_blocks:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
