@@ -7,167 +7,188 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import union
+from .common import cut, discard, join_hot, join_salted, unwrapped, wrapped
 from .tokens import PUNCTUATION, groups, mix, word_hashes
 
-#: Fixed masks over 12 tokens: positions marked 0 are ignored.
-MASKS = ("111111110000", "111011010011", "110110101101", "101101110110", "110011011110", "100111101011")
-SPAN = 12
-SHORTEST = 8
+#: Fixed masks by the number of tokens they span: positions marked 0 are ignored. Items shorter than the longer span
+#: are found by the shorter one.
+MASKS = {12: ("111111110000", "111011010011", "110110101101", "101101110110", "110011011110", "100111101011"), 6: ("111100", "110110", "101011", "100111")}
+SHORTEST = min(MASKS)
+#: Bits of the table that tells which seeds the benchmark may have; each seed sets two.
+BITS = 24
 
 
 def _low(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass")
 
 
-def seeds(h: np.ndarray, k: int) -> np.ndarray:
-    """The hash under mask k of each window of SPAN tokens."""
-    if len(h) < SPAN:
-        return np.zeros(0, np.uint64)
-    out = np.full(len(h) - SPAN + 1, k + 1, np.uint64)
-    for at, c in enumerate(MASKS[k]):
-        if c == "1":
-            out = (out ^ h[at : at + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(32)
-    return out
-
-
-class Index:
-    """Seed hashes of one block of benchmark items, sorted, with the place of each, and a bit table before them."""
-
-    BITS = 22
-
-    def __init__(self, items: list[tuple[int, str]]):
-        found = [(i, word_hashes([_low(t or "")], PUNCTUATION)[0]) for i, t in items]
-        # items under SPAN tokens are looked up by their first SHORTEST tokens, so that they can be matched as a whole
-        self.ids = [i for i, h in found if len(h) >= SHORTEST]
-        self.tokens = [h for _, h in found if len(h) >= SHORTEST]
-        self.table = []
-        for k in range(len(MASKS) + 1):
-            hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for n, h in enumerate(self.tokens):
-                s = self.seeds(h, k)
-                if k == len(MASKS) and len(h) >= SPAN:
-                    continue
-                hashes.append(s)
-                item.append(np.full(len(s), n))
-                place.append(np.arange(len(s)))
-            h, item, place = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << self.BITS, bool)
-            bits[h >> np.uint64(64 - self.BITS)] = True
-            self.table.append((h[order], item[order], place[order], bits))
-
-    @staticmethod
-    def seeds(h: np.ndarray, k: int) -> np.ndarray:
-        if k < len(MASKS):
-            return mix(seeds(h, k))
-        out = np.full(max(len(h) - SHORTEST + 1, 0), 77, np.uint64)
-        for at in range(SHORTEST if len(out) else 0):
+def span_of(n: int) -> int:
+    """The longest span that an item of n tokens fills; 0: none."""
+    return max((s for s in MASKS if s <= n), default=0)
+
+
+def seeds(h: np.ndarray, span: int, k: int) -> np.ndarray:
+    """The hash under mask k of each window of `span` tokens."""
+    out = np.full(max(len(h) - span + 1, 0), 16 * span + k, np.uint64)
+    for at, c in enumerate(MASKS[span][k]):
+        if c == "1" and len(out):
             out = (out ^ h[at : at + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
-        return mix(out)
-
-    def hits(self, h: np.ndarray):
-        """(position, item number, place in the item) of the windows of h whose seed an item has."""
-        for k, (known, item, place, bits) in enumerate(self.table):
-            if not len(known):
-                continue
-            s = self.seeds(h, k)
-            at = np.flatnonzero(bits[s >> np.uint64(64 - self.BITS)])
-            low, high = np.searchsorted(known, s[at], "left"), np.searchsorted(known, s[at], "right")
-            for p, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-                for j in range(a, b):
-                    yield int(p), int(item[j]), int(place[j])
-
-
-def best_window(same: np.ndarray, around: int, width: int) -> int:
-    """Most equal tokens in any window of `width` tokens that covers position `around`."""
-    total = np.concatenate([[0], np.cumsum(same)])
-    first, last = max(0, around - width + 1), min(around, len(same) - width)
-    if last < first:
-        return 0
-    return int((total[first + width : last + width + 1] - total[first : last + 1]).max())
-
-
-def find(index: Index, h: np.ndarray, width: int, share: float) -> dict[int, tuple[int, int, int]]:
-    """item number -> (equal tokens, tokens compared, position in the text) of the best verified overlap."""
-    best: dict[int, tuple[int, int, int]] = {}
-    done = set()
-    for p, n, q in index.hits(h):
-        item = index.tokens[n]
-        if (n, p - q, p // width) in done:
-            continue
-        done.add((n, p - q, p // width))
-        low, high = max(0, p - q), min(len(h), p - q + len(item))
-        same = h[low:high] == item[low - (p - q) : high - (p - q)]
-        need = min(width, len(item))
-        if len(same) < need or best_window(same, p - low, need) < share * need:
-            continue
-        best[n] = max(best.get(n, (0, 0, 0)), (int(same.sum()), len(same), -low))
-    return best
-
-
-def _search(block, width: int, share: float):
+    return mix(out)
+
+
+def _items(batches):
+    """Each item's tokens and the span of its seeds."""
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        tokens = [word_hashes([_low(t)], PUNCTUATION)[0] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h.tobytes() for h in tokens], pa.binary()), pa.array([span_of(len(h)) for h in tokens], pa.int32())], names=["item_id", "tokens", "span"])
+
+
+def _item_seeds(batches):
+    for batch in batches:
+        for key, raw, span in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h = np.frombuffer(raw, np.uint64)
+            found = [seeds(h, span, k) for k in range(len(MASKS[span]))]
+            place = np.concatenate([np.arange(len(s)) for s in found]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.full(len(place), key)), pa.array(place)], names=["seed", "item", "place"])
+
+
+def _slots(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return s >> np.uint64(64 - BITS), (s >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
+
+
+def _known(seed: DataFrame) -> np.ndarray:
+    """The bit table of the seeds: at most 2**BITS bits, whatever the benchmark's size; put together by the executors,
+    one row a word of 64 bits."""
+    high, low = F.shiftrightunsigned("seed", 64 - BITS), F.shiftrightunsigned("seed", 8).bitwiseAND(F.lit((1 << BITS) - 1))
+    bit = seed.select(F.explode(F.array(high, low)).alias("at")).select((F.col("at") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    rows = bit.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (BITS - 6), np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+
+
+_MATCHED = "doc long, digest long, tokens binary, seed array<long>, at array<int>"
+
+
+def _match(shared, spans: list[int]):
+    """Documents with windows whose seeds the benchmark may have: their tokens, and these seeds with their places."""
+
     def run(batches):
-        index = block.value
+        known = shared.value
+        names = [x.split()[0] for x in _MATCHED.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         for batch in batches:
-            out = ([], [], [], [], [])
             ids = batch.column(0).to_pylist()
             for at, held in groups(map(_low, batch.column(1).to_pylist())):
                 h, of, _ = word_hashes(held, PUNCTUATION)
-                # windows over the joined texts first: most groups of texts have hits in few texts
-                ends = np.cumsum(np.bincount(of, minlength=len(held)))
-                hit = {int(of[p]) for p, _, _ in index.hits(h)}
-                for i in sorted(hit):
-                    own = h[ends[i - 1] if i else 0 : ends[i]]
-                    for n, (equal, compared, low) in sorted(find(index, own, width, share).items()):
-                        for o, v in zip(out, (ids[at + i], index.ids[n], equal, compared, -low), strict=True):
-                            o.append(v)
-            names = ["doc_id", "item_id", "n_equal", "n_compared", "position"]
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=names)
+                ends = np.searchsorted(of, np.arange(len(held) + 1))
+                seed, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for span in spans:
+                    for k in range(len(MASKS[span])):
+                        s = seeds(h, span, k)
+                        a, b = _slots(s)
+                        i = np.flatnonzero(known[a])
+                        i = i[known[b[i]]]
+                        i = i[of[i] == of[i + span - 1]]  # windows don't cross texts
+                        seed.append(s[i])
+                        place.append(i)
+                seed, place = np.concatenate(seed), np.concatenate(place)
+                order = np.argsort(place, kind="stable")
+                seed, place = seed[order], place[order]
+                edges = np.searchsorted(place, ends)
+                rows = [[] for _ in names]
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    own = h[ends[i] : ends[i + 1]]
+                    part = slice(edges[i], edges[i + 1])
+                    digest = int(mix(np.array([len(own)], np.uint64) + np.bitwise_xor.reduce(mix(own + np.arange(len(own), dtype=np.uint64))))[0].view(np.int64))
+                    for r, v in zip(rows, (ids[at + i], digest, own.tobytes(), seed[part].view(np.int64), (place[part] - ends[i]).astype(np.int32)), strict=True):
+                        r.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, most: int):
-    """Items in blocks of at most `most` bytes of text; a longer item is a block of its own."""
-    held, size = [], 0
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    for item, text in rows.toLocalIterator():
-        if held and size + len(text) > most:
-            yield held
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text)
-    if held:
-        yield held
+def overlap(doc: np.ndarray, item: np.ndarray, shift: int, width: int, share: float) -> tuple[int, int, int] | None:
+    """(equal tokens, tokens compared, first place) where the item's token 0 lies at `shift` of the document; none if no
+    window of `width` tokens (or of the whole item, if shorter) has `share` of its tokens equal."""
+    low, high = max(0, shift), min(len(doc), shift + len(item))
+    same = doc[low:high] == item[low - shift : high - shift]
+    need = min(width, len(item))
+    if len(same) < need:
+        return None
+    total = np.concatenate([[0], np.cumsum(same)])
+    if (total[need:] - total[:-need]).max() < share * need:
+        return None
+    return int(total[-1]), len(same), low
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 16, share: float = 0.75, block_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, item_id, n_equal, n_compared, position): documents that hold a passage of a benchmark item.
+_FOUND = "doc_id long, item_id long, n_equal long, n_compared long, position long"
+
 
-    Tokens are lower-cased runs of letters, digits and non-ASCII characters. Windows of 12 tokens are hashed under fixed
-    masks that ignore some positions, so that a hit survives substitutions there. Test hashes of a block of items (at
-    most block_bytes of text) go to every task, which joins its documents' hashes with them; a larger benchmark is
-    joined block after block, each with its own pass. Around each hit the two texts are compared on that diagonal: a
-    pair counts if some window of `width` tokens over the hit (or the whole item, if shorter) has at least `share` of
-    its tokens equal. n_equal and n_compared are of the whole overlap on the best diagonal, position is its first token.
+def _verify(width: int, share: float):
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], [], []]
+            for doc, tokens, item_id, item, shifts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc_tokens, item_tokens = np.frombuffer(tokens, np.uint64), np.frombuffer(item, np.uint64)
+                found = [x for s in shifts if (x := overlap(doc_tokens, item_tokens, s, width, share))]
+                if found:
+                    equal, compared, low = max(found, key=lambda x: (x[0], x[1], -x[2]))
+                    for o, v in zip(out, (doc, item_id, equal, compared, low), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 16, share: float = 0.75) -> DataFrame:
+    """(doc_id, item_id, n_equal, n_compared, position): documents that hold a passage of a benchmark item.
 
-    Items under 8 tokens never match; items of 8 to 11 are found by runs of 8 equal tokens. Null texts and ids on either
-    side match nothing. Repeated rows of a document each give their rows; repeated items are compared once each.
+    Tokens are lower-cased runs of letters, digits and non-ASCII characters. Windows of 12 tokens (6 for items of 6 to 11)
+    are hashed under fixed masks that ignore some positions, so that a hit survives substitutions there. A bit table of
+    fixed size tells which hashes the benchmark may have; documents' windows that pass it are joined with the test hashes
+    (both distributed; hashes that very many documents have are salted). For each item and diagonal that a hit lies on,
+    the two texts are compared: the pair counts if some window of `width` tokens (or of the whole item, if shorter) has
+    at least `share` of its tokens equal. n_equal and n_compared are of the whole overlap on the best diagonal, position
+    is its first token in the document; ties go to the diagonal with more tokens, then to the first.
+
+    Items under 6 tokens are no passages and match nothing. Null texts and ids on either side, and empty texts, match
+    nothing. Repeated rows of a document each give their rows; repeated items are compared once each. An empty table on
+    either side gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, n_equal long, n_compared long, position long"
-    parts = [rows.mapInArrow(_search(spark.sparkContext.broadcast(Index(b)), width, share), schema) for b in _blocks(benchmark, block_bytes)]
-    return union(parts) if parts else spark.createDataFrame([], schema)
+    tests = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = tests.mapInArrow(_items, "item_id long, tokens binary, span int").where("span > 0").dropDuplicates(["item_id", "tokens"])
+    items = cut(items.withColumn("item", F.xxhash64("item_id", "tokens")), "items")
+    seed = cut(items.select("item", "tokens", "span").mapInArrow(_item_seeds, "seed long, item long, place int"), "seeds")
+    spans = [r["span"] for r in items.select("span").distinct().collect()]
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    if not spans:
+        return spark.createDataFrame([], _FOUND)
+    matched = cut(rows.mapInArrow(_match(spark.sparkContext.broadcast(_known(seed)), spans), _MATCHED), "matched")
+    hits = matched.select("doc", "digest", F.explode(F.arrays_zip("seed", "at")).alias("hit")).select("doc", "digest", "hit.seed", "hit.at")
+    pairs = join_salted(hits, seed, "seed").select("doc", "digest", "item", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    pairs = cut(pairs.groupBy("doc", "digest", "item").agg(F.collect_list("shift").alias("shifts")), "pairs")
+    counts = pairs.groupBy("item").agg(F.count("*").alias("n")).join(items, "item")
+    told = join_hot(pairs, cut(counts, "asked"), ["item"], "n", pairs.count())
+    both = matched.select("doc", "digest", "tokens").join(told.select("doc", "digest", "item_id", F.col("tokens").alias("own"), "shifts").hint("merge"), ["doc", "digest"])
+    found = cut(both.select("doc", "tokens", "item_id", "own", "shifts").mapInArrow(_verify(width, share), _FOUND), "overlaps")
+    discard(items, seed, matched, pairs)
+    return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the contaminated ones; rows without an id stay."""
+    """docs without the contaminated ones; rows without an id, which can't be told apart, are compared one by one under
+    ids of their own and go or stay by their own text."""
+    numbered = docs.where(F.col("doc_id").isNull())
     bad = contaminated(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    known = docs.where(F.col("doc_id").isNotNull()).join(bad.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    texts = numbered.select(F.xxhash64("text").alias("doc_id"), "text").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
+    gone = contaminated(texts, benchmark, **how).select("doc_id").distinct()
+    own = wrapped(numbered, F.coalesce(F.xxhash64("text"), F.lit(0)).alias("doc_id")).join(gone.hint("merge"), "doc_id", "left_anti")
+    return known.unionByName(own.select(*unwrapped(docs.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
