@@ -1,4 +1,4 @@
-"""Connected components of documents that share buckets, without collecting any of them."""
+"""Connected components of a graph given as edges, without collecting any of them."""
 
 from __future__ import annotations
 
@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from .common import cut, discard, join_hot
 
 
-def components(members: DataFrame) -> DataFrame:
-    """(doc, label) for memberships (doc, bucket): documents that a chain of common buckets joins get the smallest of
-    their ids. Each round takes the least label of a bucket, then the least of a document's buckets, until nothing
-    changes; each is written to the shared folder. A very large bucket is summed before the shuffle, and its label
-    reaches its members by the bounded broadcast of join_hot."""
-    members = cut(members.distinct(), "members")
-    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
-    total = members.count()
-    labels = cut(members.groupBy("doc").agg(F.min("doc").alias("label"), F.lit(True).alias("new")), "labels")
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each end u of an edge (u > v) is joined to the least of v and all that v has an edge with. An end with very many
+    edges is summed before the shuffle, and its answer reaches them by the bounded broadcast of join_hot."""
+    turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    near = cut(edges.unionByName(turned).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "near")
+    least = near.select("u", F.least("u", "m").alias("m"), "n")
+    found = cut(join_hot(turned, least, ["u"], "n", edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    discard(near)
+    return found
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each u and its smaller ends are joined to the least of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    told = edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return cut(told.select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct(), "small")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) for the ends of edges (u, v), of any type with an order: nodes that a chain of edges joins get the
+    least of them as label. Large and small stars take turns until the edges stay the same, which takes a number of
+    rounds like the logarithm of the longest chain's length; each is written to the shared folder. Nodes with no edge
+    but to themselves don't come back."""
+    ends = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    at, seen = cut(ends.distinct(), "edges"), None
     while True:
-        labelled = members.join(labels.select("doc", "label"), "doc")
-        least = labelled.groupBy("bucket").agg(F.min("label").alias("least")).join(sizes, "bucket")
-        sent = join_hot(members, cut(least, "least"), ["bucket"], "n", total).groupBy("doc").agg(F.min("least").alias("least"))
-        joined = labels.select("doc", "label").join(sent, "doc")
-        after = cut(joined.select("doc", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("new")), "labels")
-        discard(labels)
-        labels = after
-        if not labels.where("new").limit(1).count():
-            return labels.select("doc", "label")
+        large = _large_star(at)
+        discard(at)
+        at = _small_star(large)
+        discard(large)
+        state = tuple(at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen or not state[0]:
+            return at.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        seen = state
