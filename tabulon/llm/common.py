@@ -16,8 +16,9 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Folders written here that nothing has deleted yet.
+#: Folders and warehouse tables written here that nothing has deleted yet.
 _SCRATCH: set[str] = set()
+_TABLES: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,19 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new bucketed table's name in the warehouse."""
+    table = f"tabulon_{name}_{uuid.uuid4().hex}"
+    _TABLES.add(table)
+    return table
+
+
+def drop_tables(spark: SparkSession, *tables: str) -> None:
+    for t in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {t} PURGE")
+        _TABLES.discard(t)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
@@ -61,10 +75,13 @@ def discard(*frames: DataFrame | str) -> None:
 
 
 def clear_scratch() -> int:
-    """Deletes all folders that results read from: call it when no result of this session is needed any more."""
-    held = list(_SCRATCH)
+    """Deletes all folders and tables that results still read from: to be called when no result of this session is needed
+    any more, as at its end. Returns how many there were."""
+    spark, held, tables = SparkSession.getActiveSession(), list(_SCRATCH), list(_TABLES)
     discard(*held)
-    return len(held)
+    if spark:
+        drop_tables(spark, *tables)
+    return len(held) + len(tables)
 
 
 def id_of(name: str = "doc_id") -> Column:
@@ -85,6 +102,24 @@ def remainder(column: Column, n: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def balanced_sample(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
+    """(doc, y) of labelled rows (doc_id, `column` of 0 or 1): at most max_rows documents, half of each class, those with
+    the least hashes of their ids. Each class is one top-n over the labels, without gathering them at two keys. A
+    document with several labels has the largest; rows with nulls or other labels don't count."""
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(column).cast("int").alias("y"))
+    return union([known.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(max_rows // 2) for y in (0, 1)])
+
+
+def wrapped(df: DataFrame, *own: Column) -> DataFrame:
+    """All columns of df as one, `_row`, and own ones beside it, so that no name of df can clash with them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row") if df.columns else F.struct().alias("_row"), *own)
+
+
+def unwrapped(names: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
 def split_hot(counts: DataFrame, n: str, total: int, share: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Splits keys with their row counts into at most `share` hot keys (each over 1/share of all rows, so there
     can't be more of them) and the rest, of which none has more than 1/share of the rows."""
@@ -99,6 +134,19 @@ def join_hot(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total:
     return rows.join(F.broadcast(hot), keys).unionByName(rows.join(rest.hint("merge"), keys))
 
 
+def join_salted(rows: DataFrame, other: DataFrame, key: str, salts: int = 32, share: int = 20_000) -> DataFrame:
+    """Inner join on a key that both sides may hold many times: rows of a hot key (over 1/share of all rows, so at most
+    `share` keys, whose list is broadcast) are dealt to `salts` groups, and the other side's rows of that key go to each
+    of them."""
+    rows = cut(rows, "salted")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = cut(split_hot(counts, "_n", rows.count(), share)[0].select(key, F.lit(True).alias("_hot")), "hot")
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -87,6 +87,29 @@ def word_hashes(texts: list[bytes], apart: np.ndarray = SPACES) -> tuple[np.ndar
     return h, np.searchsorted(ends, starts, side="right"), starts
 
 
+def parts(texts: list[bytes], apart: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, kind) of each word, kind 0, and of the first n bytes of each longer one, for each n of sizes
+    (a kind each); hashes of different kinds differ."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    h, of, starts = word_hashes(texts, apart)
+    if not len(starts):
+        return h, of, of
+    word = ~apart[data]
+    ends = np.flatnonzero(word & np.append(~word[1:], True)) + 1
+    power, _ = _powers(max(sizes))
+    found, owner, kind = [h], [of], [np.zeros(len(h), np.int64)]
+    for k, n in enumerate(sizes, 1):
+        longer = ends - starts > n
+        at = starts[longer]
+        total = np.full(len(at), k * 0x51ED27, np.uint64)
+        for i in range(n):
+            total += (data[at + i].astype(np.uint64) + np.uint64(1)) * power[i]
+        found.append(mix(total))
+        owner.append(of[longer])
+        kind.append(np.full(len(at), k))
+    return np.concatenate(found), np.concatenate(owner), np.concatenate(kind)
+
+
 def shingles(texts: list[bytes], n: int = 5, apart: np.ndarray = SPACES) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of n words; a text of fewer words is one run."""
     h, of, _ = word_hashes(texts, apart)

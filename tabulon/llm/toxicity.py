@@ -6,10 +6,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_of, remainder
+from .common import balanced_sample, cut, discard, id_of, remainder, unwrapped, wrapped
+from .tokens import groups, parts, slices
 
 #: Identity terms; each of a row can stand for the others of its row.
 IDENTITY = (
@@ -21,122 +22,149 @@ IDENTITY = (
     ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"), ("negros", "blancos"),
 )
 SWAPS = {t: tuple(x for x in group if x != t) for group in IDENTITY for t in group}
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes that are not part of words: all but letters and bytes of other characters.
+APART = np.array([not (b >= 128 or chr(b).isalpha()) for b in range(256)])
 PREFIXES = (4, 5, 6)
 
 
-def features(text: str) -> set[str]:
-    """The text's lower-cased words, and the beginnings of longer ones (with a * at the end)."""
-    words = set(_WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+def _low(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def features(texts: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash), each once and in order, of every text's words and of the beginnings of longer ones; only those
+    that the bit table `known` may hold, if there is one."""
+    whole, at = [], []
+    for first, held in groups(texts):
+        h, of, _ = parts(held, APART, PREFIXES)
+        if known is not None:
+            keep = known[h >> np.uint64(44)]
+            h, of = h[keep], of[keep]
+        order = np.lexsort((h, of))
+        h, of = h[order], of[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        whole.append(h[new])
+        at.append(of[new] + first)
+    return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(whole or [np.zeros(0, np.uint64)])
+
+
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def swapped(text: str) -> list[str]:
     """For each identity term in the text, the text with another term of its group for it (each other one in turn)."""
     out = []
-    for term in sorted(SWAPS.keys() & set(_WORD.findall(text.lower()))):
+    for term in sorted(SWAPS.keys() & set(_TERM.findall(text.lower()))):
         out += [re.sub(rf"(?i)(?<![^\W\d_]){term}(?![^\W\d_])", other, text) for other in SWAPS[term]]
     return out
 
 
-def _emit(batches):
-    for batch in batches:
-        f, y = [], []
+def _examples(batches):
+    """Each labelled text's features; for each swap in it the features that go and those that come."""
+    names = ["y", "own", "gone", "come", "n_gone", "n_come"]
+    kinds = [pa.int32(), *[pa.binary()] * 5]
+    for batch in slices(batches):
+        rows = []
         for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found = features(text)
-            f += found
-            y += [label] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(y, pa.int32())], names=["f", "y"])
+            own = features([_low(text)])[1]
+            others = [features([_low(x)])[1] for x in swapped(text)]
+            gone, come = [np.setdiff1d(own, h, assume_unique=True) for h in others], [np.setdiff1d(h, own, assume_unique=True) for h in others]
+            join = lambda x: b"".join(h.tobytes() for h in x)
+            rows.append((label, own.tobytes(), join(gone), join(come), *(np.array([len(h) for h in x], np.int32).tobytes() for x in (gone, come))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
 
-def _rows(chosen: list[str]):
-    """(label, features of the text, of each swapped text) as numbers of the chosen features."""
-    number = {f: i for i, f in enumerate(chosen)}
+class Model:
+    """Weights of feature hashes, and a bias."""
+
+    def __init__(self, h: np.ndarray, weights: np.ndarray, bias: float):
+        self.h, self.weights, self.bias = h, weights, bias
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[h >> np.uint64(44)] = True
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The probability of each text, summed over its features in order of their hashes."""
+        z = np.full(len(texts), self.bias)
+        if len(self.h):
+            of, h = features([_low(t) for t in texts], self.bits)
+            i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = self.h[i] == h
+            z += np.bincount(of[hit], self.weights[i[hit]], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    def run(batches):
-        for batch in batches:
-            y, own, other = [], [], []
-            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                y.append(label)
-                own.append(sorted(number[f] for f in features(text) & number.keys()))
-                other.append([sorted(number[f] for f in features(t) & number.keys()) for t in swapped(text)])
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], names=["y", "own", "other"])
+    def score(self, text: str) -> float:
+        return float(self.scores([text])[0])
 
-    return run
 
+class Sparse:
+    """Rows of few entries: products with a vector from either side."""
 
-class Model:
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+    def __init__(self, n_rows: int, n_cols: int, row: np.ndarray, col: np.ndarray, value: np.ndarray | None = None):
+        self.shape, self.row, self.col, self.value = (n_rows, n_cols), row, col, value
 
-    def score(self, text: str) -> float:
-        w = self.weights
-        z = self.bias + sum(sorted(w[f] for f in features(text) & w.keys()))
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-
-
-def train(rows, n: int, swap_weight: float = 1.0, l1: float = 2e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic loss, plus swap_weight times the mean squared change of the logit under each swap, plus L1, by
-    accelerated proximal gradient steps. rows: (label, own features, features of each swapped text)."""
-    y = np.array([r[0] for r in rows], np.float32)
-    x = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r[1]] = 1
-    pairs = [(i, o) for i, r in enumerate(rows) for o in r[2]]
-    d = np.zeros((len(pairs), n), np.float32)
-    for k, (i, o) in enumerate(pairs):
-        d[k] = x[i]
-        d[k, o] -= 1
-    # each class weighs half; the bias is set right afterwards
-    cost = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)).astype(np.float32)
-    v = np.ones(n + 1, np.float32)  # power iteration for the step length
-    for _ in range(15):
-        u = cost * (x @ v[:n] + v[n])
-        v = np.append(x.T @ u + (swap_weight * 2 / max(len(d), 1) * d.T @ (d @ v[:n]) * 4 if len(d) else 0), u.sum()).astype(np.float32)
+    def times(self, v: np.ndarray) -> np.ndarray:
+        x = v[self.col] if self.value is None else v[self.col] * self.value
+        return np.bincount(self.row, x, self.shape[0])
+
+    def turned(self, u: np.ndarray) -> np.ndarray:
+        x = u[self.row] if self.value is None else u[self.row] * self.value
+        return np.bincount(self.col, x, self.shape[1])
+
+
+def train(x: Sparse, d: Sparse, y: np.ndarray, swap_weight: float = 1.0, l1: float = 2e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic loss (each class weighs half), plus swap_weight times the mean squared change of the logit under each
+    swap, plus L1, by accelerated proximal gradient steps. x: a row of features a text; d: for each swap its text's
+    features less the swapped text's."""
+    n, swaps = x.shape[1], max(d.shape[0], 1)
+    cost = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    v, size = np.ones(n + 1), 1.0
+    for _ in range(15):  # power iteration for the step length
+        u = cost * (x.times(v[:n]) + v[n])
+        v = np.append(x.turned(u) + swap_weight * 8 / swaps * d.turned(d.times(v[:n])), u.sum())
         size = float(np.linalg.norm(v)) or 1.0
         v /= size
     step = 4 / size
-    w = w0 = np.zeros(n + 1, np.float32)
+    w = w0 = np.zeros(n + 1)
     for k in range(rounds):
         z = w + (k / (k + 3)) * (w - w0)
-        g = cost * (1 / (1 + np.exp(-np.clip(x @ z[:n] + z[n], -50, 50))) - y)
-        grad = np.append(x.T @ g, g.sum())
-        if len(d):
-            grad[:n] += swap_weight * 2 / len(d) * (d.T @ (d @ z[:n]))
+        g = cost * (1 / (1 + np.exp(-np.clip(x.times(z[:n]) + z[n], -50, 50))) - y)
+        grad = np.append(x.turned(g) + swap_weight * 2 / swaps * d.turned(d.times(z[:n])), g.sum())
         w0, w = w, z - step * grad
         w[:n] = np.sign(w[:n]) * np.maximum(np.abs(w[:n]) - step * l1, 0)
     return w[:n], float(w[n])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_features: int = 1500, least: int = 4) -> Model:
-    """Learns from labelled rows (doc_id, toxic): at most max_rows, half of them of each class, in order of their ids'
-    hash (the sample is this bound). Word statistics are counted on the executors; the max_features words and beginnings
-    that tell the classes apart best, and the identity terms, become features. No labelled rows: every score is 0.
-    """
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc"), "doc")
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("toxic").cast("int").alias("y"))
-    ids = cut(known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows // 2).select("doc", "y"), "sample")
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, swap_weight: float = 1.0) -> Model:
+    """Learns from labelled rows (doc_id, toxic): at most max_rows documents, half of them of each class, in order of their
+    ids' hash (the sample is this bound). Every word and beginning of the sample's whole texts is a feature; L1 sets most
+    weights to 0. No labelled rows: every score is 0; of one class only: that class."""
+    ids = cut(balanced_sample(labels, "toxic", max_rows), "sample")
     sample = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(id_of().alias("doc"), F.col("text").cast("string").alias("text"))
-    sample = cut(sample.join(F.broadcast(ids), "doc").select("doc", "text", "y"), "labelled")  # max_rows ids at most
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return Model({}, 20.0 if pos else -20.0)
-    seen = sample.mapInArrow(_emit, "f string, y int").groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    p, q = (F.col("p") + 0.5) / (pos + 1), (F.col("q") + 0.5) / (neg + 1)
-    gain = F.abs(F.log(p / q)) * F.abs(p - q)
-    best = seen.where(F.col("p") + F.col("q") >= least).orderBy(gain.desc(), "f").limit(max_features).collect()
-    chosen = sorted({r["f"] for r in best} | SWAPS.keys())
-    rows = sample.repartition(8).mapInArrow(_rows(chosen), "y int, own array<int>, other array<array<int>>").collect()
-    rows = sorted((r["y"], r["own"], r["other"]) for r in rows)
-    weights, bias = train(rows, len(chosen))
-    return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if w}, bias)
-
-
-def _scores(model: Model, width: int):
+    sample = sample.join(F.broadcast(ids), "doc").select("doc", "text", "y")  # max_rows ids at most
+    rows = sample.mapInArrow(_examples, "y int, own binary, gone binary, come binary, n_gone binary, n_come binary").toArrow()
+    y = rows.column("y").to_numpy().astype(float)
+    discard(ids)
+    if not len(y) or y.min() == y.max():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
+    own, gone, come = ([np.frombuffer(b.as_py(), np.uint64) for b in rows.column(c)] for c in ("own", "gone", "come"))
+    order = sorted(range(len(y)), key=lambda i: (y[i], rows.column("own")[i].as_py()))  # whatever order they came in
+    known, col = np.unique(np.concatenate([own[i] for i in order] + [come[i] for i in order]), return_inverse=True)
+    n = sum(map(len, own))
+    x = Sparse(len(y), len(known), np.repeat(np.arange(len(y)), [len(own[i]) for i in order]), col[:n])
+    n_gone, n_come = (np.concatenate([np.frombuffer(rows.column(c)[i].as_py(), np.int32) for i in order]) for c in ("n_gone", "n_come"))
+    at = np.searchsorted(known, np.concatenate([gone[i] for i in order]))
+    swap = np.arange(len(n_gone))
+    d = Sparse(len(swap), len(known), np.concatenate([np.repeat(swap, n_gone), np.repeat(swap, n_come)]), np.concatenate([at, col[n:]]), np.concatenate([np.ones(len(at)), -np.ones(len(col) - n)]))
+    weights, bias = train(x, d, y[order], swap_weight)
+    return Model(known[weights != 0], weights[weights != 0], bias)
+
+
+def _scores(shared, width: int):
     def run(batches):
-        for batch in batches:
-            score = [model.score(t) for t in batch.column(width).to_pylist()]
+        model = shared.value
+        for batch in slices(batches):
+            score = model.scores(batch.column(width).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(score, pa.float64())], names=[*batch.schema.names[:width], "score"])
 
     return run
@@ -144,11 +172,13 @@ def _scores(model: Model, width: int):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds `score`, the probability that the whole text is toxic, and `predicted` (1 at 0.5 or more). Null texts count
-    as empty. Columns of docs with these names are replaced."""
+    as empty. Columns of docs with these names are replaced. Every row gets a score of its text alone, so rows that
+    repeat a text tie; an empty table gives an empty one."""
     docs = docs.drop("score", "predicted")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    out = rows.mapInArrow(_scores(model, 1), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = wrapped(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    out = rows.mapInArrow(_scores(shared, 1), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
+    return out.select(*unwrapped(docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
