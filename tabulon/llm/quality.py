@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_of, remainder
+from .common import balanced_sample, cut, id_of, remainder, unwrapped, wrapped
 
 CHUNK, HOP = 256, 192
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 2, 48
@@ -114,9 +114,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, size: int = 32, ra
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Net | float:
     """Learns from labelled rows (doc_id, quality): at most max_rows documents, half of each class, in order of their
     ids' hash, and of each the whole text (max_rows bounds the fit alone; scores are of all rows). Without labelled rows of both classes, a constant score comes back."""
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc"), "doc")
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("quality").cast("int").alias("y"))
-    ids = cut(known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows // 2).select("doc", "y"), "sample")
+    ids = cut(balanced_sample(labels, "quality", max_rows), "sample")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(id_of().alias("doc"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(ids), "doc").select("doc", "y", F.col("text").cast("binary").alias("b")).collect()  # max_rows rows at most
     found = sorted((r["doc"], r["y"], bytes(r["b"])) for r in found)
@@ -148,11 +146,12 @@ def _scores(net, width: int):
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:
     """Adds `score`, the probability of label 1 by the whole text (null: empty), and `predicted` (1 at 0.5 or more).
-    Columns of docs with these names are replaced."""
+    Columns of docs with these names are replaced. Every row gets a score of its text alone, so rows that repeat a text
+    tie; an empty table gives an empty one."""
     docs = docs.drop("score", "predicted")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    rows = wrapped(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     out = rows.mapInArrow(_scores(net, 1), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
-    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(*unwrapped(docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
