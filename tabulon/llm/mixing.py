@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, join_hot, unwrapped, wrapped
 
 #: Hash bits: three nested histograms of 4096 buckets each.
 LEVELS, BITS = 3, 12
@@ -22,21 +22,35 @@ def hash36(column: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
 
 
+def _running(rows: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """Adds running sums (new name: column; each before its row) in an order of all rows: one range-partitioned sort, the
+    sums within each partition, and before them those of the partitions before, of which there are as many as
+    partitions. So the sources don't pass through one task."""
+    held = cut(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    parts = held.groupBy("_part").agg(*(F.sum(c).alias(f"_{new}") for new, c in sums.items()))
+    upto = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("_part", *(F.coalesce(F.sum(f"_{new}").over(upto), F.lit(0)).alias(f"_{new}") for new in sums))
+    out = held.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(new) for new, c in sums.items()))
+    out = out.join(F.broadcast(parts), "_part").withColumns({new: F.col(new) + F.col(f"_{new}") for new in sums})
+    return out.drop("_part", *(f"_{new}" for new in sums))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Adds `target` to (source, total): shares of `share` times all words by weight, weights repeating in order of
     source (null last); a target stops at `most` times its source's words, the excess going to the others by weight.
     With lambda common to all sources below their cap, target = least(cap, lambda * weight); lambda is found over the
-    sources in order of cap / weight."""
-    order = W.orderBy(F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    s = sources.withColumn("w", w).withColumn("cap", F.col("total") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
-    by = W.orderBy("ratio", F.col("source").isNull(), "source")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(0, W.unboundedFollowing)
-    everything = W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    budget = F.sum("total").over(everything) * F.lit(float(share))
-    s = s.withColumn("lam", (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    lam = F.min(F.when(F.col("lam") <= F.col("ratio"), F.struct("ratio", "lam"))).over(everything).getField("lam")
-    return s.withColumn("target", F.least(F.col("cap"), F.coalesce(lam * F.col("w"), F.col("cap")))).select("source", "total", "target")
+    sources in order of cap / weight, from running sums of the caps and weights before each."""
+    names = sources.columns
+    s = _running(sources.withColumn("_one", F.lit(1)), [F.col("source").isNull(), "source"], {"_rank": "_one"}).drop("_one")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
+    s = s.withColumn("w", w).drop("_rank").withColumn("cap", F.col("total") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
+    s = cut(_running(s, ["ratio", F.col("source").isNull(), "source"], {"caps": "cap", "ws": "w"}), "ratios")
+    budget, all_w = s.agg(F.sum("total"), F.sum("w")).first()
+    s = s.withColumn("lam", (F.lit((budget or 0) * float(share)) - F.col("caps")) / (F.lit(all_w) - F.col("ws")))
+    lam = s.where(F.col("lam") <= F.col("ratio")).agg(F.min(F.struct("ratio", "lam")).alias("m")).select("m.lam").first()[0]
+    target = F.col("cap") if lam is None else F.least(F.col("cap"), F.lit(lam) * F.col("w"))
+    return s.select(*names, target.alias("target"))
 
 
 def _bucket(level: int) -> Column:
@@ -49,36 +63,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     A source with target t and s words takes every row floor(t / s) times, and once more the rows whose hash lies under
     the source's threshold, so that their words come to the rest. The threshold is found by nested histograms: words by
     source and the hash's first 12 bits, then by the next 12 bits in the one bucket in which the budget ends, then once
-    more; the last bucket is taken if that comes nearer. Nothing is sorted. Native operations only.
+    more; the last bucket is taken if that comes nearer. Nothing is sorted. Native operations only. What is found for a
+    source reaches its rows by a broadcast for sources with more than 1/20,000 of all rows (there can't be more of them
+    than that), by a merge join for the others.
 
-    Null texts have size 0, null sources form one source (the last); rows with the same doc_id share their hash; sources
-    without words take nothing. Columns of docs named like the added ones are replaced.
+    Null texts have size 0, null sources form one source (the last); rows with the same doc_id share their hash (and tie
+    in it: all or none is taken once more); sources without words take nothing; an empty table gives an empty one.
+    Columns of docs named like the added ones are replaced; other names can't clash.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    sizes = cut(docs.select(F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), hash36(F.col("doc_id")).alias("h")), "sizes")
-    goal = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("total")), weights, share, most), "targets")
+    names = docs.columns
+    source = F.col("source").cast("string")
+    key = F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key")  # a null source is a key too
+    size, h = words(F.col("text")).alias("size"), hash36(F.col("doc_id")).alias("h")
+    sizes = cut(docs.select(key, source.alias("source"), size, h), "sizes")
+    found = sizes.groupBy("key", "source").agg(F.sum("size").alias("total"), F.count("*").alias("rows"))
+    goal = cut(targets(found, weights, share, most), "targets")
+    n = goal.agg(F.sum("rows")).first()[0] or 0
     whole = F.when(F.col("total") > 0, F.floor(F.col("target") / F.col("total"))).otherwise(0)
     edge = goal.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("total"))
-    edge = edge.select("source", "total", "target", "whole", "rest", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("below"))
-    spent = []
+    fixed = ["key", "rows", "total", "target", "whole", "rest"]
+    edge = edge.select(*fixed, F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("below"))
+    spent = [goal]
     for level in range(LEVELS):
-        inside = sizes if level == 0 else sizes.join(edge.select(F.col("source").alias("_s"), "at"), F.col("source").eqNullSafe(F.col("_s")) & (_bucket(level - 1) == F.col("at")))
-        cells = inside.select("source", _bucket(level).alias("cell"), "size").groupBy("source", "cell").agg(F.sum("size").alias("n"))
-        held = cells.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("cell")))
-        held = held.join(edge.select(F.col("source").alias("_s"), "rest", "below"), F.col("source").eqNullSafe(F.col("_s")))
+        inside = sizes.select("key", "size", "h")
+        if level:
+            inside = join_hot(inside, edge.where(F.col("at").isNotNull()).select("key", "rows", "at"), ["key"], "rows", n).where(_bucket(level - 1) == F.col("at"))
+        cells = inside.select("key", _bucket(level).alias("cell"), "size").groupBy("key", "cell").agg(F.sum("size").alias("n"))
+        held = cells.withColumn("upto", F.sum("n").over(W.partitionBy("key").orderBy("cell"))).join(edge.select("key", "rest", "below"), "key")
         # the first bucket with which the words pass the rest; none: all are taken
         over = F.col("below") + F.col("upto") > F.col("rest")
-        found = held.where(over).groupBy("source").agg(F.min_by(F.struct(F.col("cell").alias("at"), (F.col("below") + F.col("upto") - F.col("n")).alias("below"), (F.col("below") + F.col("upto")).alias("upto")), "cell").alias("f"))
-        new = edge.drop("at", "below", "upto").join(found.select(F.col("source").alias("_s"), "f"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        edge = cut(new.select("source", "total", "target", "whole", "rest", F.col("f.at").alias("at"), F.coalesce("f.below", F.lit(0)).alias("below"), "f.upto"), f"edge{level}")
+        first = held.where(over).groupBy("key").agg(F.min_by(F.struct(F.col("cell").alias("at"), (F.col("below") + F.col("upto") - F.col("n")).alias("below"), (F.col("below") + F.col("upto")).alias("upto")), "cell").alias("f"))
+        edge = edge.select(*fixed).join(first, "key", "left")
+        edge = cut(edge.select(*fixed, F.col("f.at").alias("at"), F.coalesce("f.below", F.lit(0)).alias("below"), "f.upto"), f"edge{level}")
         spent.append(edge)
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("below")
     limit = F.when(F.col("at").isNull(), F.lit(1 << (BITS * LEVELS))).otherwise(F.col("at") + F.when(nearer, 1).otherwise(0))
-    edge = cut(edge.select(F.col("source").alias("_s"), F.col("total").alias("source_size"), "target", "whole", limit.alias("limit")), "limits")
-    discard(sizes, goal, *spent)
-    out = docs.withColumns({"size": words(F.col("text")), "_h": hash36(F.col("doc_id"))}).join(edge, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    taken = F.col("size") * (F.col("whole") + F.when(F.col("_h") < F.col("limit"), 1).otherwise(0))
-    return out.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    edge = cut(edge.select("key", "rows", F.col("total").alias("source_size"), "target", "whole", limit.alias("limit")), "limits")
+    discard(sizes, *spent)
+    out = join_hot(wrapped(docs, key, size, h), edge, ["key"], "rows", n)
+    taken = F.col("size") * (F.col("whole") + F.when(F.col("h") < F.col("limit"), 1).otherwise(0))
+    return out.select(*unwrapped(names), "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
