@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, unwrapped, wrapped
 
 #: (verdict, rule); a rule is a host, then a path that starts with /.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -138,7 +138,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url",
     The longest rule that fits decides; where none fits, the model does (block at 0.5 or more). The model is fitted on
     the labelled table (url, label; 1: block), at most `max_labelled` rows of it in order of their hash; rows with a null
     url or label aren't used, and with none left every score is 0.5 less a hair, so the verdict is allow. A null url, or
-    one without ://, has an empty host and path. Columns of pages with the added names are replaced.
+    one without ://, has an empty host and path. Rules of one length that both fit are the same rule; where a policy
+    lists it with both verdicts, block wins. Rows that repeat a url get the same verdict; an empty table gives an empty
+    one. Columns of pages with the added names are replaced; other names can't clash.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = split_url(F.col("url"))
@@ -146,10 +148,10 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url",
     sample = rows.orderBy(F.xxhash64("h", "p"), "h", "p", "label").limit(max_labelled).collect()
     w, b = fit([tuple(r) for r in sample], dims) if sample else (np.zeros(2 * dims), -1e-9)
     host, path = split_url(F.col(url))
-    out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumn("score", scorer(w, b)("host", "path")).withColumn("_r", match_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return out.select(*pages.columns, "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    out = wrapped(pages, host.alias("host"), path.alias("path"))
+    out = out.withColumn("score", scorer(w, b)("host", "path")).withColumn("found", match_rule(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    return out.select(*unwrapped(pages.columns), "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
