@@ -15,6 +15,8 @@ from .tokens import mix, runs, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 _P = 0x9E3779B97F4A7C15
+#: Frequent words of more bytes aren't summed by themselves, so that the list of these stays small.
+LONGEST_HOT = 256
 
 
 def read_pieces(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
@@ -155,8 +157,10 @@ def _frequent(part: int):
             if len(h):
                 _, at, count = np.unique(h, return_index=True, return_counts=True)
                 for i, c in zip(at[count * part >= len(h)], count[count * part >= len(h)], strict=True):
-                    word.append(data[start[i] : start[i] + 5000].split(None, 1)[0])
-                    n.append(int(c))
+                    found = _word_at(data, start[i])
+                    if len(found) <= LONGEST_HOT:  # a longer one goes to its bucket like any other
+                        word.append(found)
+                        n.append(int(c))
             word.append(b"")
             n.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
