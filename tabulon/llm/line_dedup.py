@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, cut, discard, id_back, id_of, join_hot, partitions, union
+from .common import NO_ID, SPACE, cut, discard, drop_tables, id_of, join_hot, partitions, scratch_path, scratch_table, union
 
 _LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -64,14 +62,13 @@ class Runs:
 
     def __init__(self, spark, fanout: int = 3):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.n, self.name, self.made = partitions(spark), f"tabulon_run_{uuid.uuid4().hex}", 0
+        self.n = partitions(spark)
 
     def live(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
     def _write(self, df: DataFrame) -> str:
-        self.made += 1
-        table = f"{self.name}_{self.made}"
+        table = scratch_table(self.spark, "run")
         df.repartition(self.n, "h1", "h2").write.bucketBy(self.n, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
         return table
 
@@ -80,7 +77,7 @@ class Runs:
         at = 0
         while len(self.levels[at]) >= self.fanout:
             merged = self._write(union([self.spark.table(t) for t in self.levels[at]]))
-            self._drop(self.levels[at])
+            drop_tables(self.spark, *self.levels[at])
             self.levels[at] = []
             at += 1
             if at == len(self.levels):
@@ -95,53 +92,58 @@ class Runs:
             df = df.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("seen", F.col("seen") | F.coalesce("_in", F.lit(False))).drop("_in")
         return df
 
-    def _drop(self, tables) -> None:
-        for t in tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t} PURGE")
-
     def close(self) -> None:
-        self._drop(self.live())
+        drop_tables(self.spark, *self.live())
 
 
-def dropped_hashes(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3) -> DataFrame:
+def dropped_hashes(docs: DataFrame, batches: int | None = None, min_chars: int = 10, fanout: int = 3, batch_chars: int = 1 << 36, least_batches: int = 4) -> DataFrame:
     """(doc, h1, h2): the line hashes that each document loses, as a table in the shared folder."""
     spark = docs.sparkSession
     rows = docs.select(id_of().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = cut(rows.mapInArrow(_line_hashes(min_chars), "doc long, h1 long, h2 long"), "lines")
-    ends = lines.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    ends = [-(2**63), *sorted(set(ends)), NO_ID]
-    runs, drops, spent = Runs(spark, fanout), [], [lines]
-    for low, high in zip(ends, ends[1:], strict=False):
-        batch = lines.where((F.col("doc") > low) & (F.col("doc") <= high) if low > -(2**63) else F.col("doc") <= high)
+    if batches is None:
+        batches = max(least_batches, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // batch_chars))
+    ends = rows.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], max(1000, 10 * batches))).first()[0] if batches > 1 else None
+    ends = [*sorted(set(ends or [])), NO_ID]
+    # each batch's lines in a folder of their own, so that no batch reads the others'
+    number = F.coalesce(*(F.when(F.col("doc") <= e, i) for i, e in enumerate(ends))).alias("batch")
+    path = scratch_path(spark, "lines")
+    found = rows.select("doc", "text").mapInArrow(_line_hashes(min_chars), "doc long, h1 long, h2 long")
+    found.select("doc", "h1", "h2", number).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema("doc long, h1 long, h2 long, batch int").parquet(path)
+    runs, drops, spent = Runs(spark, fanout), [], [path]
+    for i in range(len(ends)):
+        batch = lines.where(F.col("batch") == i).drop("batch")
         first = batch.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.count("*").alias("n"), F.max("doc").alias("last"))
         first = cut(runs.mark_seen(first), "firsts")
         total = first.agg(F.sum("n")).first()[0] or 0
         lose = first.where(F.col("seen") | (F.col("owner") != F.col("last"))).select("h1", "h2", "n", F.when(~F.col("seen"), F.col("owner")).alias("owner"))
-        found = join_hot(batch, lose, ["h1", "h2"], "n", total).where(F.col("owner").isNull() | (F.col("owner") != F.col("doc")))
-        drops.append(cut(found.select("doc", "h1", "h2"), "drops"))
+        gone = join_hot(batch, lose, ["h1", "h2"], "n", total).where(F.col("owner").isNull() | (F.col("owner") != F.col("doc")))
+        drops.append(cut(gone.select("doc", "h1", "h2"), "drops"))
         spent.append(first)
-        if high != NO_ID:
+        if i < len(ends) - 1:
             runs.add(first.where(~F.col("seen")).select("h1", "h2"))
     runs.close()
     discard(*spent)
     return union(drops)
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = 10, fanout: int = 3, batch_chars: int = 1 << 36) -> DataFrame:
     """Drops repeated lines: a line whose key (stripped of white space, A-Z lower-cased, at least `min_chars` code
     points) occurs in at least two documents stays only in the one with the smallest doc_id.
 
-    Method: documents come in `batches` ranges of doc_id; each batch's distinct line hashes (128 bits) are merge-joined
-    with levelled sorted runs of the hashes before it; those not yet seen become a new run, and runs are compacted
-    level by level. Very frequent hashes are joined by a broadcast of at most 20,000 keys.
+    Method: documents come in `batches` ranges of doc_id (by default four, and more beyond four times batch_chars
+    characters); each batch's distinct line hashes (128 bits) are merge-joined with levelled sorted runs of the hashes
+    before it; those not yet seen become a new run, and runs are compacted level by level. Very frequent hashes are
+    joined by a broadcast of at most 20,000 keys.
 
     Returns the columns of docs and `kept` (the remaining text), `n_lines`, `n_dropped`. Null or empty texts are one
     empty line. A null doc_id acts as the largest id; rows of one id count as one document, each row keeps its own
-    lines. Columns of docs with those three names are replaced.
+    lines, also where it repeats one. An empty table gives an empty one. Columns of docs with those three names are
+    replaced; other names can't clash.
     """
     docs = docs.drop("kept", "n_lines", "n_dropped")
     names = docs.columns
-    drops = dropped_hashes(docs, batches, min_chars, fanout).groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
+    drops = dropped_hashes(docs, batches, min_chars, fanout, batch_chars).groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("_row"), id_of().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("text").isNull().alias("_null"))
     joined = rows.join(drops, "doc", "left").select("_row", "_null", "_text", "_drop")
     schema = f"_row {joined.schema['_row'].dataType.simpleString()}, _null boolean, kept string, n_lines long, n_dropped long"
