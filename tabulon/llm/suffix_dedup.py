@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_back, id_of, partitions
+from .common import cut, discard, id_back, id_of, partitions, scratch_table
 from .tokens import mix, slices
 
-GRAM = 16
+#: The shortest strings that can be sought, and the longest gram that minimisers are made of less than these.
+SHORTEST, ROOM = 12, 18
+
+
+def gram_of(least: int) -> int:
+    """Bytes of a minimiser's gram: long, so that few grams repeat without the string around them, but short enough for
+    a string to hold several, of which the least is chosen. A segment around a minimiser has at most 64 starts."""
+    if least < SHORTEST:
+        raise ValueError(f"strings of at least {SHORTEST} bytes, not {least}")
+    return max(8, least - ROOM)
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -78,10 +85,9 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _loads(data: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
-    """Eight bytes of data as one number, from each place at + offset."""
-    view = np.ndarray((max(len(data) - 7, 0),), "<u8", data.tobytes() if not data.flags.c_contiguous else data, 0, (1,))
-    return view[at + offset]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Eight bytes of data as one number, from each place."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", data.tobytes() if not data.flags.c_contiguous else data, 0, (1,))
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -98,7 +104,8 @@ class Run:
     same place in it wherever it occurs."""
 
     def __init__(self, texts: list[bytes], least: int):
-        self.least, self.window = least, least - GRAM + 1
+        gram = gram_of(least)
+        self.least, self.window = least, least - gram + 1
         self.size = np.array([len(t) for t in texts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
         self.bytes = b"".join(texts)
@@ -108,15 +115,18 @@ class Run:
             self.place = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
         else:
-            grams = np.arange(len(data) - GRAM + 1)
-            h = mix(_loads(data, grams, 0) * np.uint64(0x9E3779B97F4A7C15) + mix(_loads(data, grams, 8)))
+            view = _eights(data)[: len(data) - 7]
+            n_grams = len(data) - gram + 1
+            h = np.zeros(n_grams, np.uint64)
+            for o in [*range(0, gram - 7, 8), gram - 8][: -1 if gram % 8 == 0 else None]:
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + view[o : o + n_grams])
             low = _slide(h, self.window, np.minimum)
             # a gram is chosen if it is the least of some window that holds it
             pad = np.zeros(self.window - 1, np.uint64)
             high = _slide(np.concatenate([pad, low, pad]), self.window, np.maximum)
             at = np.flatnonzero(high == h)
             of = np.searchsorted(self.start, at, "right") - 1
-            inside = (at + GRAM <= self.start[of] + self.size[of]) & (self.size[of] >= least)
+            inside = (at + gram <= self.start[of] + self.size[of]) & (self.size[of] >= least)
             self.place, self.hash = at[inside], h[at[inside]]
         self.of = np.searchsorted(self.start, self.place, "right") - 1
 
@@ -159,8 +169,9 @@ def _runs(most: int):
     """Texts in runs of about `most` bytes, each one row with a key of its own."""
 
     def row(docs, texts):
-        size = np.array([len(t) for t in texts], np.int64)
-        return [uuid.uuid4().hex], [np.array(docs, np.int64).tobytes()], [size.tobytes()], [b"".join(texts)]
+        doc, size, data = np.array(docs, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts)
+        # the key follows from the content, so that a task that runs again gives the same; equal runs may share one
+        return [xxhash.xxh3_128_hexdigest(doc + size + data)], [doc], [size], [data]
 
     def out(docs, texts):
         key, doc, size, data = row(docs, texts)
@@ -264,10 +275,10 @@ def owners(segments: list[bytes], first: np.ndarray, least: int) -> tuple[np.nda
     keep = order + least <= (begin + size)[of[order]]
     order = order[keep]
     # adjacent prefixes: a new string wherever some byte of the first `least` differs
-    new = np.zeros(len(order), bool)
+    new, view = np.zeros(len(order), bool), _eights(data)
     new[:1] = True
     for o in [*range(0, least - 7, 8), least - 8]:
-        v = _loads(data, order, o)
+        v = view[order + o]
         new[1:] |= v[1:] != v[:-1]
     low = np.minimum.reduceat(first[of[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
     owner = low[np.cumsum(new) - 1]
@@ -371,7 +382,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, b
     spark = docs.sparkSession
     rows = docs.select(id_of().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     n_runs = partitions(spark)
-    table = f"tabulon_texts_{uuid.uuid4().hex}"
+    gram_of(least)
+    table = scratch_table(spark, "texts")
     runs = rows.mapInArrow(_runs(run_bytes), "run string, doc binary, size binary, data binary")
     runs.repartition(n_runs, "run").write.bucketBy(n_runs, "run").format("parquet").saveAsTable(table)
     texts = spark.table(table)
