@@ -61,6 +61,19 @@ def _profile(n: int):
     return run
 
 
+#: A class as one number: its least doc_id, then 62 bits of its digest, so that numbers stand in order of the ids.
+_STEP = 1 << 62
+
+
+def _node(prefix: str = "") -> Column:
+    low = F.shiftrightunsigned(prefix + "c1", 2).cast("decimal(19,0)")
+    return (F.col(prefix + "rep").cast("decimal(20,0)") * F.lit(_STEP).cast("decimal(19,0)") + low).cast("decimal(38,0)")
+
+
+def _rep(node: str) -> Column:
+    return F.expr(f"({node} - pmod({node}, cast({_STEP} as decimal(38,0)))) div cast({_STEP} as decimal(38,0))")
+
+
 def _agreement(sample: np.ndarray, threshold: float):
     """For pairs of a sampled signature and any other whose minima agree in `threshold` or more: how long a prefix they
     share in the best trie, and how many there are."""
@@ -149,16 +162,15 @@ def forest(classes: DataFrame, depth: int) -> DataFrame:
     entries = entries.select("trie", F.expr(f"substring(sig, trie * {2 * DEPTH} + 1, {2 * DEPTH})").alias("key"), "rep", "c1", "c2")
     by = ["trie", "key", "rep", "c1", "c2"]
     found = cut(entries.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_nodes(depth), _EDGE), "forest")
-    who = lambda side: F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ("rep", "c1", "c2"))).alias(side)
     ends = sorted(found.where("kind > 0").collect(), key=lambda r: (r["part"], r["kind"]))  # two rows a partition
     links, entry = [], lambda r: (r["u_rep"], r["u_c1"], r["u_c2"])
     for last, first in zip(ends[1::2], ends[2::2], strict=False):
         if (last["trie"], last["prefix"]) == (first["trie"], first["prefix"]):
             links += [(last["trie"], bytes(last["prefix"]), entry(x), entry(last)) for x in (first, last)]
-    members = found.where("kind = 0").select("trie", "prefix", who("u"), who("v"))
-    if not links:
-        return members
-    return members.unionByName(spark.createDataFrame(links, members.schema))
+    members = found.where("kind = 0").select("trie", "prefix", *(f"{side}_{c}" for side in ("u", "v") for c in ("rep", "c1")))
+    if links:
+        members = members.unionByName(spark.createDataFrame([(t, p, *a[:2], *b[:2]) for t, p, a, b in links], members.schema))
+    return members.select("trie", "prefix", _node("u_").alias("u"), _node("v_").alias("v"))
 
 
 def _sets(n: int):
@@ -207,7 +219,7 @@ def _verify(threshold: float):
     def run(key, table):
         """Links in one pair of blocks of a candidate group: for each class, how many documents it is linked to, and
         the least class of the part it falls into by these links."""
-        a, b = key[3].as_py(), key[4].as_py()
+        a, b = key[1].as_py(), key[2].as_py()
         who = [table.column(c).to_numpy() for c in ("c2", "c1", "rep")]
         once = np.lexsort(who)
         who = np.stack(who[::-1], axis=1)
@@ -247,27 +259,26 @@ def _verify(threshold: float):
     return run
 
 
-def _class(prefix: str = "") -> Column:
-    return F.struct(*(F.col(prefix + c).alias(c) for c in ("rep", "c1", "c2")))
-
-
 def _dealt(members: DataFrame, label: DataFrame, block: int) -> DataFrame:
     """(node, label, block, pairs): each class's place in its candidate group, and the pairs of blocks it has to go to.
     A group of one block has one pair; of a larger one, the blocks that some node has members in both of."""
     total = label.count()
     sizes = label.groupBy("label").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = join_hot(label, cut(sizes, "sizes"), ["label"], "n", total).select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node.c1", "node.c2"), blocks).cast("int").alias("block"))
+    placed = join_hot(label, cut(sizes, "sizes"), ["label"], "n", total).select("node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     placed = cut(placed, "placed")
+    one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    near = placed.where("blocks = 1").select("node", "label", "block", one.alias("pairs"))
+    if not placed.where("blocks > 1").limit(1).count():
+        return near
     large = placed.where("blocks > 1").select(F.col("node").alias("u"), "label", "block")
     here = cut(members.join(large, "u").groupBy("label", "trie", "prefix", "block").agg(F.count("*").alias("n")), "spread")
     key = ["label", "trie", "prefix"]
     pairs = here.select(*key, F.col("block").alias("a")).join(here.select(*key, F.col("block").alias("b")), key).where("a <= b").select("label", "a", "b").distinct()
     ends = pairs.select("label", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"), F.struct("a", "b").alias("ab"))
     told = ends.groupBy("label", "block").agg(F.collect_list("ab").alias("pairs"))
-    one = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
     far = placed.where("blocks > 1").join(told, ["label", "block"])
-    return placed.where("blocks = 1").select("node", "label", "block", one.alias("pairs")).unionByName(far.select("node", "label", "block", "pairs"))
+    return near.unionByName(far.select("node", "label", "block", "pairs"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, block: int = 256) -> DataFrame:
@@ -295,20 +306,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     classes = cut(usable.groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
     members = forest(classes, choose_depth(classes, threshold, recall))
     label = cut(components(members.select("u", "v")), "groups")
-    where = _dealt(members, label, block).select("node.*", "label", "block", "pairs")
-    chosen = cut(where.join(classes.select("rep", "c1", "c2", "copies"), ["rep", "c1", "c2"]), "chosen")
+    where = _dealt(members, label, block)
+    chosen = cut(where.join(classes.select(_node().alias("node"), "rep", "c1", "c2", "copies"), "node").drop("node"), "chosen")
     texts = rows.where(F.length("text") > 0).join(chosen.withColumnRenamed("rep", "doc").hint("merge"), "doc").select(F.col("doc").alias("rep"), "c1", "c2", "label", "block", "copies", "pairs", "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    dealt = texts.mapInArrow(_sets(n), f"{kinds}, found binary").withColumn("ab", F.explode("pairs"))
-    dealt = dealt.select("rep", "c1", "c2", "block", "copies", "found", *(F.col(f"label.{c}").alias(f"l_{c}") for c in ("rep", "c1", "c2")), "ab.a", "ab.b")
-    links = cut(dealt.groupBy("l_rep", "l_c1", "l_c2", "a", "b").applyInArrow(_verify(threshold), _LINKS), "links")
-    part = components(links.select(_class().alias("u"), _class("p_").alias("v")))
-    counted = links.groupBy("rep", "c1", "c2").agg(F.sum("links").alias("links")).join(part.select("node.*", F.col("label.rep").alias("label")), ["rep", "c1", "c2"], "left")
-    of_class = classes.select("c1", "c2", "rep", "copies").join(counted, ["rep", "c1", "c2"], "left")
-    of_class = cut(of_class.select("c1", "c2", "copies", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "found")
+    dealt = texts.mapInArrow(_sets(n), f"{kinds}, found binary").withColumn("ab", F.explode("pairs")).select("rep", "c1", "c2", "block", "copies", "found", "label", "ab.a", "ab.b")
+    links = cut(dealt.groupBy("label", "a", "b").applyInArrow(_verify(threshold), _LINKS), "links")
+    links = links.select(_node().alias("node"), _node("p_").alias("part"), "links")
+    part = components(links.select(F.col("node").alias("u"), F.col("part").alias("v")))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links")).join(part.select("node", _rep("label").alias("group_id")), "node", "left")
+    of_class = classes.select(_node().alias("node"), "c1", "c2", "rep", "copies").join(counted, "node", "left")
+    of_class = cut(of_class.select("c1", "c2", "copies", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "found")
     linked = join_hot(usable.select("doc", "c1", "c2"), of_class, ["c1", "c2"], "copies", usable.count()).select(F.col("doc").alias("doc_id"), "class_id", "group_id", "n_links")
     alone = profile.where(F.col("doc").isNull() | (F.col("size") == 0)).select(F.col("doc").alias("doc_id"), F.col("doc").alias("class_id"), F.col("doc").alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    discard(classes, label, chosen, links)
+    discard(classes, label, chosen)
     return linked.unionByName(alone)
 
 
