@@ -6,6 +6,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import NO_ID, SPACE, cut, discard, drop_tables, id_of, join_hot, partitions, scratch_path, scratch_table, union
 
@@ -146,7 +147,7 @@ def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = 10
     drops = dropped_hashes(docs, batches, min_chars, fanout, batch_chars).groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names if c != "text")).alias("_row"), id_of().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("text").isNull().alias("_null"))
     joined = rows.join(drops, "doc", "left").select("_row", "_null", "_text", "_drop")
-    schema = f"_row {joined.schema['_row'].dataType.simpleString()}, _null boolean, kept string, n_lines long, n_dropped long"
+    schema = StructType([joined.schema["_row"], joined.schema["_null"], *StructType.fromDDL("kept string, n_lines long, n_dropped long")])
     out = joined.mapInArrow(_rebuild(min_chars, 2), schema)
     text = F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.col("kept")).alias("text")
     return out.select(*(text if c == "text" else F.col("_row").getField(c).alias(c) for c in names), "kept", "n_lines", "n_dropped")

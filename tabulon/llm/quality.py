@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import balanced_sample, cut, id_of, remainder, unwrapped, wrapped
 
@@ -150,7 +151,7 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
     tie; an empty table gives an empty one."""
     docs = docs.drop("score", "predicted")
     rows = wrapped(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    out = rows.mapInArrow(_scores(net, 1), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(_scores(net, 1), StructType([rows.schema["_row"], StructField("score", DoubleType())]))
     return out.select(*unwrapped(docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import balanced_sample, cut, discard, id_of, remainder, unwrapped, wrapped
 from .tokens import groups, parts, slices
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score", "predicted")
     rows = wrapped(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_scores(shared, 1), f"_row {rows.schema['_row'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(_scores(shared, 1), StructType([rows.schema["_row"], StructField("score", DoubleType())]))
     return out.select(*unwrapped(docs.columns), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
