@@ -295,6 +295,19 @@ def test_suffix_dedup_of_any_length(spark, least):
         suffix_dedup.remove_repeats(df, least=suffix_dedup.SHORTEST - 1)
 
 
+def test_distributed_difference_cover(spark):
+    """The stages over all suffixes give the same places as brute force."""
+    rows = [(i, (t or "").encode()) for i, t in enumerate(texts()) if len(t or "") < 3000]
+    df = spark.createDataFrame(rows, "doc long, text binary")
+    for least in (16, 50):
+        first = {}
+        for i, b in rows:
+            for s in range(len(b) - least + 1):
+                first.setdefault(b[s : s + least], i)
+        want = {(i, s) for i, b in rows for s in range(len(b) - least + 1) if first[b[s : s + least]] < i}
+        assert {(r.doc, r.i) for r in suffix_dedup.earlier_starts(df, least).collect()} == want and want
+
+
 def test_suffix_dedup_keys_follow_content():
     """A map task that runs again gives the same run keys."""
     import pyarrow as pa
@@ -684,22 +697,105 @@ def test_bm25_skips_postings():
 # -------------------------------------------------------------------------------------------------------- pipeline
 
 
-def test_pipeline(spark):
+def plain_mix(rows, weights=(5, 2, 1), share=1.5, most=2.0):
+    """taken of each row (doc_id, text, source), by sorting all rows of a source by their hash."""
+    import hashlib
+
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    h = [int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:9], 16) for i, _, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    weight = {s: float(weights[k % len(weights)]) for k, s in enumerate(sources)}
+    target, open_, left = {}, list(sources), share * sum(total.values())
+    while True:  # cap by cap: what is over goes to the others
+        lam = left / sum(weight[s] for s in open_) if open_ else 0
+        full = [s for s in open_ if lam * weight[s] > most * total[s]]
+        if not full:
+            target |= {s: lam * weight[s] for s in open_}
+            break
+        target |= {s: most * total[s] for s in full}
+        left -= sum(most * total[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    out = [0] * len(rows)
+    for s in sources:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        rest = target[s] - whole * total[s]
+        own = sorted((h[k], k) for k, r in enumerate(rows) if r[2] == s)
+        upto, extra = 0, set()
+        for _, group in __import__("itertools").groupby(own, key=lambda x: x[0]):
+            ks = [k for _, k in group]
+            after = upto + sum(size[k] for k in ks)
+            if after <= rest or after - rest < rest - upto:
+                extra.update(ks)
+            if after > rest:
+                break
+            upto = after
+        for _, k in own:
+            out[k] = size[k] * (whole + (k in extra))
+    return out
+
+
+def pipeline_folder(spark, folder):
+    """Documents with nulls in every column, repeated rows, clashing columns, passages of a benchmark, toxic texts."""
+    r = random.Random(8)
+    say = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(200)) for _ in range(n))
+    item, shared = say(40), "a line that many documents share " + say(4)
+    rows = []
+    for i in range(90):
+        t = say(r.randrange(30, 60)) + ("\n" + shared if i % 3 == 0 else "") + (" idiot scum vermin" if i % 5 == 0 else " friends today")
+        rows.append((i, t, "en", r.choice([None, "a", "b"]), len(t)))
+    rows += [(100 + i, rows[i][1].replace("friends", "pals"), "en", "a", 1) for i in range(1, 20)]
+    rows += [(200, say(10) + " " + item + " " + say(9), None, "b", None), (201, None, "en", "a", None), (202, "", "en", None, 0), (203, "\n\n", "en", "b", 2), rows[7], rows[7], (None, say(30), "en", "a", 3), (None, item, "en", "b", 3), (204, say(3000), "en", "b", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("own") for c in ("score", "kept", "h", "key", "_row", "a.b")})
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(90)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x y z"), (3, "short")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return df
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
-    at = docs_
-    names = set(docs_.columns)
-    kept = [docs_.count()]
+    folder = f"file://{tmp_path}"
+    at = pipeline_folder(spark, folder)
+    kept = [at.count()]
+    names = at.columns
     for name, stage in corpus_pipeline.STAGES:
-        at = stage(spark, at, SF).persist()
-        assert set(at.columns) == names if name != "mixing" else names < set(at.columns)
-        kept.append(at.count())
-        if name == "line_dedup":
-            assert sorted((r.doc_id, r.text) for r in at.collect()) == sorted((i, t) for i, _, _, t in plain_lines([(r.doc_id, r.text) for r in before.collect()]))
+        before = [(r.doc_id, r.text, r.source) for r in at.collect()]
+        model = toxicity.fit(at.select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
+        at = near_dup.cut(stage(spark, at, folder))
+        got = Counter((r.doc_id, r.text) for r in at.collect())
+        ids = lambda keep: Counter((i, t) for i, t, _ in before if keep(i, t))  # noqa: E731, B023
+        if name == "toxicity":
+            assert got == ids(lambda i, t: model.scores([t or ""])[0] < 0.5) and sum(got.values()) < len(before)
+        elif name == "line_dedup":
+            key = lambda i: 2**63 - 1 if i is None else i
+            plain = plain_lines([(key(i), t) for i, t, _ in before])
+            assert sorted((key(i), t or "") for i, t in got.elements()) == sorted((i, t) for i, _, _, t in plain)
+            assert sum(n for _, _, n, _ in plain) > 5 and all((r.text is None) == (r.n_chars is None) for r in at.collect())
         elif name == "near_dup_join":
-            group, _ = plain_groups([(r.doc_id, r.text) for r in before.collect()])
-            assert {r.doc_id for r in at.collect()} == {i for i in group if group[i] == i}
-        before = at
-    run = corpus_pipeline.run(spark, SF)
-    assert sorted((r.doc_id, r.taken) for r in run.collect()) == sorted((r.doc_id, r.taken) for r in at.collect())
-    assert kept[1] < kept[0] and kept[2] == kept[1] and kept[3] <= kept[2] and kept[4] < kept[3] and kept[5] == kept[4]
+            group, _ = plain_groups([(i, t) for i, t, _ in before if i is not None])
+            assert got == ids(lambda i, t: i is None or group[i] == i) and sum(got.values()) < len(before) - 10
+        elif name == "decontamination":
+            bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+            bad = lambda i, t: bool(plain_contaminated([(0, t)], bench))  # noqa: E731, B023
+            assert got == ids(lambda i, t: not bad(i, t)) and sum(got.values()) == len(before) - 2
+        else:
+            want = Counter((i, t, n) for (i, t, _), n in zip(before, plain_mix(before), strict=True))
+            assert Counter((r.doc_id, r.text, r.taken) for r in at.collect()) == want
+        assert at.columns[: len(names)] == names and {r["a.b"] for r in at.collect()} == {"own"}
+        kept.append(at.count())
+    run = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.text, r.taken) for r in run) == Counter((r.doc_id, r.text, r.taken) for r in at.collect())
+    spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{folder}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").where("false").write.parquet(f"{folder}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_pipeline_on_real_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet")
+    run = corpus_pipeline.run(spark, SF).collect()
+    ids = {r.doc_id for r in docs_.collect()}
+    assert 0 < len(run) < len(ids) and {r.doc_id for r in run} <= ids
+    assert sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r.doc_id, r.taken) for r in run)
