@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import learning, numbers, pages, sequences, spatial, words  # noqa: F401  they register themselves
+from .queries import learning, lists, numbers, pages, sequences, spatial, words  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

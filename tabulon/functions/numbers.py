@@ -37,14 +37,26 @@ def digit_script(c: Column) -> Column:
     return F.when((n["latin"] >= n["persian"]) & (n["latin"] >= n["arabic"]), "latin").when(n["persian"] >= n["arabic"], "persian").otherwise("arabic")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_number(c: Column) -> Column:
-    """MA1: struct(value, script, group_sep, decimal_sep, decimals), or null for what isn't one clean number."""
+    """MA1: struct(value, script, group_sep, decimal_sep, decimals), or null for what isn't one clean number. The text is
+    cleaned and cut into digit groups and separators once; all cases read these."""
     kept = F.regexp_replace(c, f"[^{LATIN}{PERSIAN}{ARABIC}{MARKS}{SPACES}]", "")
     kept = F.regexp_replace(kept, f"^{_SEPARATOR}+|{_SEPARATOR}+$", "")
-    text = latin_digits(kept)
-    text = F.regexp_replace(text, rf"[{SPACES}]*([{MARKS}])[{SPACES}]*", "$1")
-    text = F.regexp_replace(text, f"[{SPACES}]+", " ")
-    groups, seps = F.regexp_extract_all(text, F.lit(r"(\d+)")), F.regexp_extract_all(text, F.lit(r"([^\d]+)"))
+
+    def pieces(kept: Column) -> Column:
+        text = F.regexp_replace(latin_digits(kept), rf"[{SPACES}]*([{MARKS}])[{SPACES}]*", "$1")
+        return bound(F.regexp_replace(text, f"[{SPACES}]+", " "), lambda t: F.struct(kept.alias("kept"), F.regexp_extract_all(t, F.lit(r"(\d+)")).alias("groups"), F.regexp_extract_all(t, F.lit(r"([^\d]+)")).alias("seps")))
+
+    return bound(bound(kept, pieces), _read_pieces)
+
+
+def _read_pieces(p: Column) -> Column:
+    kept, groups, seps = p["kept"], p["groups"], p["seps"]
     kinds = F.array_distinct(seps)
     first, last = F.length(groups[0]), F.length(F.element_at(groups, -1))
     rest = F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0)))
@@ -62,9 +74,9 @@ def parse_number(c: Column) -> Column:
     none, zero = F.lit(""), F.lit(0)
     times = lambda k: F.size(F.filter(seps, lambda s: s == k))
     common = F.when(F.array_contains(kinds, ","), F.lit(",")).when(times(kinds[0]) >= times(kinds[1]), kinds[0]).otherwise(kinds[1])
-    shape = (F.size(seps) == F.size(groups) - 1) & F.forall(seps, lambda s: F.length(s) == 1)
+    shape = (F.size(groups) > 0) & (F.size(seps) == F.size(groups) - 1) & F.forall(seps, lambda s: F.length(s) == 1)
     return (
-        F.when(~kept.rlike(_ANY_DIGIT) | ~shape, F.lit(None))
+        F.when(~shape, F.lit(None))
         .when(F.size(seps) == 0, found(joined, none, none, zero))
         .when((F.size(kinds) == 1) & short & threes, found(joined, seps[0], none, zero))
         .when((F.size(seps) == 1) & seps[0].isin(*",٬،/") & (first >= 4) & (last == 3), found(joined, seps[0], none, zero))

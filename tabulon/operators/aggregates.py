@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import digits_of, parse_number
+from ..functions.numbers import MARKS, digits_of, parse_number
+from ..functions.text import ARABIC_LETTERS, UNITS
+from ..storage import cut
 
 
 def in_first_order(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -36,21 +39,51 @@ def upper_median(c: Column) -> Column:
 
 def readers_agree(reads: DataFrame, keys: list[str]) -> DataFrame:
     """AG5: of each target's readings: the most common digits, how many agree, how many differ; sure with two at least
-    and none against it, or twice as many for as against; short ones (typical length of the batch less 3) never."""
+    and none against it, or twice as many for as against; never those shorter than the batch's typical length less 3, nor
+    those written without separators where 80 % of the batch's agreed readings have them."""
     r = reads.withColumn("_d", digits_of(F.col("text"))).where("_d <> ''")
-    n = r.groupBy(*keys, "target", "_d").agg(F.count("*").alias("n"))
+    mark = F.col("text").rlike(f"[0-9۰-۹٠-٩][{MARKS}][0-9۰-۹٠-٩]")
+    n = r.groupBy(*keys, "target", "_d").agg(F.count("*").alias("n"), F.bool_or(mark).alias("_marked"))
     w = Window.partitionBy(*keys, "target").orderBy(F.col("n").desc(), "_d")
     best = n.withColumn("_all", F.sum("n").over(Window.partitionBy(*keys, "target"))).withColumn("_k", F.row_number().over(w)).where("_k = 1")
-    typical = best.groupBy(*keys).agg(upper_median(F.length("_d")).alias("typical"))
-    out = best.join(typical, keys).select(*keys, "target", F.col("_d").alias("digits"), F.col("n").alias("agree"), (F.col("_all") - F.col("n")).alias("against"), "typical")
-    return out.withColumn("sure", (F.col("agree") >= 2) & (F.col("agree") >= 2 * F.col("against")) & (F.length("digits") > F.col("typical") - 3))
+    batch = best.groupBy(*keys).agg(upper_median(F.length("_d")).alias("typical"), F.avg(F.when(F.col("n") >= 2, F.col("_marked").cast("int"))).alias("marked"))
+    out = best.join(batch, keys).select(*keys, "target", F.col("_d").alias("digits"), F.col("n").alias("agree"), (F.col("_all") - F.col("n")).alias("against"), "typical", "_marked", "marked")
+    plain = ~F.col("_marked") & (F.coalesce("marked", F.lit(0.0)) >= 0.8)
+    return out.withColumn("sure", (F.col("agree") >= 2) & (F.col("agree") >= 2 * F.col("against")) & (F.length("digits") > F.col("typical") - 3) & ~plain).drop("_marked", "marked")
+
+
+MOST_READERS = 64
 
 
 def next_reader(readers: DataFrame, votes: DataFrame, pending: DataFrame) -> DataFrame:
-    """AG27: for each pending target the reader to ask next: the one with the fewest votes on it, in reader order."""
-    n = pending.crossJoin(readers) if readers.isLocal() else pending.join(readers)
-    n = n.join(votes.groupBy("target", "reader").agg(F.count("*").alias("_v")), ["target", "reader"], "left")
-    return n.groupBy("target").agg(F.min(F.struct(F.coalesce("_v", F.lit(0)).alias("v"), "reader_ord", "reader")).alias("_m")).select("target", F.col("_m.reader").alias("reader"), F.col("_m.v").alias("votes"))
+    """AG27: for each pending target the reader to ask next: the one with the fewest votes on it (so first those that
+    haven't read it), in reader order. Readers (reader, reader_ord) are a handful of models: at most MOST_READERS, which
+    is checked; they go along as an array, and only votes are joined."""
+    known = readers.select("reader_ord", "reader").distinct().orderBy("reader_ord", "reader").limit(MOST_READERS + 1).collect()
+    if len(known) > MOST_READERS:
+        raise ValueError(f"more than {MOST_READERS} readers")
+    if not known:
+        return pending.select("target", F.lit(None).cast("string").alias("reader"), F.lit(None).cast("long").alias("votes")).where("false")
+    cast = votes.groupBy("target", "reader").agg(F.count("*").alias("_v")).groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("reader", "_v"))).alias("_cast"))  # a few readers a target
+    count = lambda name: F.coalesce(F.col("_cast")[F.lit(name)], F.lit(0).cast("long"))
+    options = F.array(*(F.struct(count(r["reader"]).alias("v"), F.lit(r["reader_ord"]).alias("o"), F.lit(r["reader"]).alias("reader")) for r in known))
+    return pending.select("target").distinct().join(cast, "target", "left").select("target", F.array_min(options).alias("_m")).select("target", F.col("_m.reader").alias("reader"), F.col("_m.v").alias("votes"))
+
+
+def reread(pending: DataFrame, readers: DataFrame, votes: DataFrame, read, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """AG27: asks again until two readings agree, in `rounds` at most: every target without a majority goes to its next
+    reader, whose reading is one more vote. read(asked, round): (target, reader) -> (target, reader, text); a target that
+    it gives no text for keeps its votes. Returns (settled: target, text; all votes: target, vote_ord, reader, text)."""
+    settled = majority(votes)
+    for n in range(rounds):
+        left = pending.select("target").join(settled, "target", "left_anti")
+        asked = next_reader(readers, votes, left)
+        place = votes.groupBy("target").agg(F.max("vote_ord").alias("_last"))
+        new = read(asked.select("target", "reader"), n).join(place, "target", "left")
+        new = new.select("target", (F.coalesce("_last", F.lit(0)) + 1).cast(votes.schema["vote_ord"].dataType).alias("vote_ord"), "reader", "text")
+        votes = cut(votes.select("target", "vote_ord", "reader", "text").unionByName(new), "votes")
+        settled = majority(votes)
+    return settled, votes
 
 
 def score_reads(reads: DataFrame, finals: DataFrame, key: str = "target") -> DataFrame:
@@ -71,23 +104,24 @@ def column_stats(cells: DataFrame, keys: list[str]) -> DataFrame:
     return c.groupBy(*keys).agg(
         F.count_if(full).alias("n"), F.count_if("has_price").alias("prices"), F.count_if(F.col("has_image") & (F.col("_t") == "")).alias("images"),
         F.count("_i").alias("ints"), F.count_if(code).alias("codes"), F.coalesce(F.avg(F.when(F.col("_t") != "", F.length("_t"))), F.lit(0.0)).alias("mean_len"),
-        F.count_if("_up").alias("ups"), F.max("header").alias("header"),
+        F.count_if("_up").alias("ups"), F.max("header").alias("header"), F.count_if(F.col("_t").isin(*UNITS.split())).alias("units"), F.count_if(F.col("_t").rlike(ARABIC_LETTERS)).alias("letters"),
     )
 
 
 def column_role(has) -> Column:
-    """AG9: the first of price, image, row, code, qty that a column's statistics and header speak for, else text. `has`
-    tells whether the header has a word of a kind."""
+    """AG9: the first of price, image, row, code, unit, qty that a column's statistics and header speak for, else text.
+    `has` tells whether the header has a word of a kind. A code's column is mostly without Arabic letters."""
     n = F.col("n")
     some = n > 0
     rising = (F.col("ints") >= 3) & (F.col("ups") >= 0.7 * (F.col("ints") - 1))
     return (
         F.when(some & ((F.col("prices") >= 0.4 * n) | ((F.col("prices") > 0) & has("price"))), "price")
-        .when(some & (F.col("images") >= 0.5 * n), "image")
+        .when((some & (F.col("images") >= 0.5 * n)) | (has("image") & (F.col("mean_len") == 0)), "image")
         .when(has("row") | (some & (F.col("ints") >= 0.8 * n) & rising), "row")
-        .when(has("code"), "code")
+        .when(has("code") & (F.col("letters") <= 0.5 * F.greatest(n, F.lit(1))), "code")
+        .when(has("unit") | (some & (F.col("units") >= 0.7 * n)), "unit")
         .when(has("qty") | (some & (F.col("ints") >= 0.8 * n)), "qty")
-        .when(some & (F.col("codes") >= 0.7 * n), "code")
+        .when(some & (F.col("codes") >= 0.7 * n) & (F.col("letters") <= 0.2 * n), "code")
         .otherwise("text")
     )
 
@@ -121,8 +155,8 @@ def common_columns(rows: DataFrame, keys: list[str], col: str, row: str, share:
 
 
 def alignment(x0: str = "x0", x1: str = "x1") -> list[Column]:
-    """AG14: left, right or centre: the edge that varies least; ties in this order."""
-    s = [F.coalesce(F.stddev_pop(v), F.lit(0.0)) for v in (F.col(x0), F.col(x1), (F.col(x0) + F.col(x1)) / 2)]
+    """AG14: left, right or centre: the edge that varies least (to six decimals); ties in this order."""
+    s = [F.round(F.coalesce(F.stddev_pop(v), F.lit(0.0)), 6) for v in (F.col(x0), F.col(x1), (F.col(x0) + F.col(x1)) / 2)]
     return [F.when((s[0] <= s[1]) & (s[0] <= s[2]), "left").when(s[1] <= s[2], "right").otherwise("centre").alias("align")]
 
 
@@ -167,25 +201,22 @@ def pair_distance(pairs: DataFrame, least: int = 2) -> Column:
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Transitive clusters of intervals that share 30 % of the narrower: a union-find over sorted starts."""
+    """Transitive clusters of intervals that share 30 % of the narrower. From the left; each interval takes the least
+    cluster number of the open ones it shares enough with, and these all become that one."""
     p = pdf.sort_values(["x0", "x1", "id"]).reset_index(drop=True)
-    root = list(range(len(p)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    open_: list[int] = []
+    x0, x1, cluster = p.x0.to_numpy(float), p.x1.to_numpy(float), np.arange(len(p))
+    open_ = np.zeros(0, np.int64)
     for i in range(len(p)):
-        open_ = [k for k in open_ if p.x1[k] > p.x0[i]]
-        for k in open_:
-            if min(p.x1[i], p.x1[k]) - p.x0[i] >= 0.3 * min(p.x1[i] - p.x0[i], p.x1[k] - p.x0[k]):
-                root[find(i)] = find(k)
-        open_.append(i)
-    names: dict[int, int] = {}
-    return pd.DataFrame({"page": p.page, "id": p.id, "col": [names.setdefault(find(i), len(names)) for i in range(len(p))]})
+        open_ = open_[x1[open_] > x0[i]]
+        near = open_[np.minimum(x1[i], x1[open_]) - x0[i] >= 0.3 * np.minimum(x1[i] - x0[i], x1[open_] - x0[open_])]
+        if len(near):
+            joined = np.unique(cluster[near])
+            cluster[i] = joined[0]
+            cluster[np.isin(cluster, joined[1:])] = joined[0]
+        open_ = np.append(open_, i)
+    _, first, number = np.unique(cluster, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))
+    return pd.DataFrame({"page": p.page, "id": p.id, "col": place[number]})
 
 
 def cluster_columns(boxes: DataFrame) -> DataFrame:
@@ -245,7 +276,8 @@ def infer_letters(words: DataFrame, known: DataFrame, vocabulary: DataFrame, rou
         hits = texts.select("code", "shape").distinct().withColumn("at", at).join(options, "shape").select("code", F.substring("word", F.col("at"), F.lit(1)).alias("letter"), "word").distinct()
         n = hits.groupBy("code", "letter").agg(F.count("*").alias("n"))
         rank = n.withColumn("_k", F.row_number().over(Window.partitionBy("code").orderBy(F.col("n").desc(), "letter"))).withColumn("_next", F.lead("n").over(Window.partitionBy("code").orderBy(F.col("n").desc(), "letter")))
-        new = rank.where("_k = 1 and n >= 2 and n >= 3 * coalesce(_next, 0)").select("code", "letter").checkpoint()
+        new = rank.where("_k = 1 and n >= 2 and n >= 3 * coalesce(_next, 0)").select("code", "letter")
+        new = cut(new, "letters")
         if new.isEmpty():
             break
         known = known.unionByName(new.join(known, "code", "left_anti"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ def banded(left: DataFrame, right: DataFrame, keys: list[str], size: float, on:
         hit = l.join(r, same & on, "left_semi").select(*[F.col(f"l.{c}") for c in left.columns]).distinct()
         if how == "left_semi":
             return hit
-        return left.join(hit, left.columns, "left_anti")
+        a, b = left.alias("a"), hit.alias("b")
+        return a.join(b, reduce(and_, (F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in left.columns)), "left_anti")  # a null equals a null
     once = F.greatest(F.floor((F.col("l.y0") - pad) / size), F.floor(F.col("r.y0") / size)) == F.col("l._band")
     return l.join(r, same & once & on, how)
 
@@ -118,12 +122,17 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
 
 
 def _keep_complete(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept = []
-    for r in pdf.sort_values(["digits", "conf", "width", "id"], ascending=[False, False, False, True]).itertuples():
-        share = lambda k: max(0.0, min(r.x1, k.x1) - max(r.x0, k.x0)) * max(0.0, min(r.y1, k.y1) - max(r.y0, k.y0)) / max(min((r.x1 - r.x0) * (r.y1 - r.y0), (k.x1 - k.x0) * (k.y1 - k.y0)), 1e-9)  # noqa: E731, B023
-        if all(share(k) <= 0.3 for k in kept):
-            kept.append(r)
-    return pd.DataFrame([(r.page, r.id) for r in kept], columns=["page", "id"])
+    """The most complete reading first; each takes out those after it that overlap it, in one step of array operations."""
+    p = pdf.sort_values(["digits", "conf", "width", "id"], ascending=[False, False, False, True])
+    x0, y0, x1, y1 = (p[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
+    area, free, kept = (x1 - x0) * (y1 - y0), np.ones(len(p), bool), []
+    while free.any():
+        k = int(free.argmax())
+        both = np.clip(np.minimum(x1, x1[k]) - np.maximum(x0, x0[k]), 0, None) * np.clip(np.minimum(y1, y1[k]) - np.maximum(y0, y0[k]), 0, None)
+        free &= both / np.maximum(np.minimum(area, area[k]), 1e-9) <= 0.3
+        free[k] = False
+        kept.append(k)
+    return p.iloc[kept][["page", "id"]]
 
 
 def dedupe_overlaps(boxes: DataFrame) -> DataFrame:
@@ -132,38 +141,75 @@ def dedupe_overlaps(boxes: DataFrame) -> DataFrame:
     return rows.groupBy("page").applyInPandas(_keep_complete, f"page {boxes.schema['page'].dataType.simpleString()}, id {boxes.schema['id'].dataType.simpleString()}")
 
 
-def align(left: list[float], right: list[float], unmatched: float = 3.0) -> list[int | None]:
-    """JO8: least-cost matching of two rows of numbers that keeps their order; not matching costs `unmatched`."""
-    n, m = len(left), len(right)
-    cost = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m, -1, -1):
-            skip = cost[i + 1][j] + unmatched
-            cost[i][j] = skip if j == m else min(skip, cost[i][j + 1], cost[i + 1][j + 1] + abs(left[i] - right[j]))
-    out, j = [], 0
+def alignment_costs(boxes: np.ndarray, words: np.ndarray, height: float) -> np.ndarray:
+    """JO8: what it costs to take a word for a box (rows of x0, y0, x1, y1): the distance of their centres in heights, the
+    difference of their widths and of their places across; over 2.5 heights apart never."""
+    mid = lambda x, i: (x[:, i] + x[:, i + 2]) / 2
+    width = np.maximum(1.0, boxes[:, 2] - boxes[:, 0])[:, None]
+    dy = np.abs(mid(boxes, 1)[:, None] - mid(words, 1)) / height
+    ratio = np.abs(np.log(np.maximum(1.0, words[:, 2] - words[:, 0]) / width))
+    dx = np.abs(mid(boxes, 0)[:, None] - mid(words, 0)) / np.maximum(width, height)
+    return np.where(dy > 2.5, np.inf, dy + 0.6 * np.minimum(ratio, 2.0) + 0.4 * np.minimum(dx, 3.0))
+
+
+def align(costs: np.ndarray, unmatched: float = 3.0) -> list[int | None]:
+    """JO8: for each row the column it is matched to, in order, at the least total cost; a row without one costs
+    `unmatched`. A row at a time: what reaches a column is the least of leaving the row out, matching it there, and what
+    reached the columns before it."""
+    n, m = costs.shape
+    best = np.zeros((n + 1, m + 1))
     for i in range(n):
-        while j < m and cost[i][j] == cost[i][j + 1] and cost[i][j] < min(cost[i + 1][j] + unmatched, cost[i + 1][j + 1] + abs(left[i] - right[j])):
-            j += 1
-        if j < m and cost[i][j] == cost[i + 1][j + 1] + abs(left[i] - right[j]):
-            out.append(j)
-            j += 1
-        else:
-            out.append(None)
+        best[i + 1] = best[i] + unmatched
+        best[i + 1, 1:] = np.minimum(best[i + 1, 1:], best[i, :-1] + costs[i])
+        best[i + 1] = np.minimum.accumulate(best[i + 1])
+    out: list[int | None] = [None] * n
+    j = m
+    for i in range(n, 0, -1):
+        j = int(np.searchsorted(-best[i, : j + 1], -best[i, j], "left"))  # the first column that does as well
+        if best[i, j] < best[i - 1, j] + unmatched:
+            out[i - 1], j = j - 1, j - 1
     return out
 
 
-def align_columns(boxes: DataFrame, words: DataFrame) -> DataFrame:
-    """JO8: boxes and words (col, id, y) of each column, matched in order."""
-
+def align_columns(boxes: DataFrame, words: DataFrame, heights: DataFrame | None = None) -> DataFrame:
+    """JO8: (col, box, word): boxes and words (col, id, x0, y0, x1, y1) of each column, matched in order of y; a column a
+    group. heights: (col, h); without them a column's height is the median of its words'."""
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["y", "id"]), b.sort_values(["y", "id"])
-        found = align(a.y.tolist(), b.y.tolist())
+        a, b = (x.assign(yc=x.y0 + x.y1).sort_values(["yc", "id"]) for x in (a, b))
+        box = lambda x: x[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        h = float(b.h.iloc[0]) if "h" in b and len(b) else float((b.y1 - b.y0).median()) if len(b) else 1.0
+        found = align(alignment_costs(box(a), box(b), max(h, 1e-9)))
         ids = b.id.tolist()
         return pd.DataFrame({"col": key[0], "box": a.id.tolist(), "word": pd.array([None if j is None else ids[j] for j in found], "Int64")})
 
+    words = words if heights is None else words.join(heights, "col")
     return boxes.groupBy("col").cogroup(words.groupBy("col")).applyInPandas(run, "col long, box long, word long")
 
 
+#: JO9, JO11: how far lines may lie from each other, start and end apart, as shares of the grid; and how many must match.
+POSITION, SPAN, ALIKE = 0.006, 0.025, 0.95
+
+
+def line_candidates(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """JO9: pairs of grid lines (keys, id, across, pos, start, end as shares) of two grids that may be the same line, in
+    the form that greedy_match takes (the first key is its group)."""
+    box = lambda x: x.withColumns({"y0": F.col("pos") * 1000, "y1": F.col("pos") * 1000})
+    apart = lambda c: F.abs(F.col(f"l.{c}") - F.col(f"r.{c}"))
+    on = (F.col("l.across") == F.col("r.across")) & (apart("pos") <= POSITION) & (apart("start") <= SPAN) & (apart("end") <= SPAN)
+    hit = banded(box(a), box(b), keys, 10.0, on, pad=POSITION * 1000)
+    return hit.select(F.col(f"l.{keys[0]}").alias("page"), F.col("l.id").alias("left_id"), F.col("l.pos").alias("left_ord"), F.col("r.id").alias("right_id"), apart("pos").alias("distance"))
+
+
+def grid_likeness(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """JO9, JO11: (key, matched, likeness, same): lines of two grids paired one to one, nearest first; how many of the
+    larger grid's lines have a partner, and whether that is enough for the same layout."""
+    pairs = greedy_match(line_candidates(a, b, [key])).groupBy(F.col("page").alias(key)).agg(F.count("*").alias("matched"))
+    size = lambda x, n: x.groupBy(key).agg(F.count("*").alias(n))
+    both = size(a, "_a").join(size(b, "_b"), key).join(pairs, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    share = F.col("matched") / F.greatest("_a", "_b")
+    return both.select(key, "matched", share.alias("likeness"), (share >= ALIKE).alias("same"))
+
+
 def cascade(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     """SE8, SE9: rows of the first source that has any for a key; each later one only for keys left over."""
     out = parts[0]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .joins import as_of, banded
-from .windows import forward_fill
 
 
 def row_labels(words: DataFrame, keys: list[str], row_no: str | None = None, most: int = 10) -> DataFrame:
@@ -112,17 +111,6 @@ def mean_shape(shapes: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return e.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("shape"))
 
 
-def find_groups(lines: DataFrame, doc: str = "doc", threshold: float = 0.5) -> DataFrame:
-    """ML5: titles are lines whose probability reaches the threshold and that a price follows before the next title; a
-    price's group is the last title above it, on its page or those before."""
-    w = Window.partitionBy(doc).orderBy("page", "y0", "id")
-    t = lines.withColumn("_t", (F.col("p") >= threshold) & ~F.col("is_price"))
-    t = t.withColumn("_seg", F.sum(F.col("_t").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    t = t.withColumn("_used", F.max("is_price").over(Window.partitionBy(doc, "_seg")))
-    name = F.when(F.col("_t") & F.col("_used"), F.col("text"))
-    return t.withColumn("grp", forward_fill(name, [doc], ["page", "y0", "id"])).where("is_price").select(doc, "page", "id", F.coalesce("grp", F.lit("")).alias("grp"))
-
-
 def settle_group(items: DataFrame, names: DataFrame, doc: str, same) -> DataFrame:
     """JO26: the taught group of an item (doc, page, taught) if the last name on this or an earlier page is the same by
     `same`, else the item's own."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import sigmoid
+from ..storage import cut
 
 # Prior weights of the price model's features.
 PRIOR = {
@@ -26,23 +27,32 @@ def score(features: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame
     return z.withColumn("p", sigmoid(F.col("z")))
 
 
+def fit_weights(lists: list[list[str]], labels: np.ndarray, prior: dict[str, float], epochs: int, rate: float, l2: float, limit: float, seed: int) -> pd.DataFrame:
+    """AdaGrad on the logistic loss, a row a sample, over weights that are offsets of the priors; each feature is a
+    number, and a sample the array of its features' numbers (each once). Offsets are kept within the limit; those that
+    come to nothing (under 1e-6) are 0 and don't come back."""
+    names, number = np.unique(np.concatenate([np.unique(x) for x in lists] or [np.zeros(0, str)]).astype(str), return_inverse=True)
+    ends = np.cumsum([len(set(x)) for x in lists])
+    rows = np.split(number, ends[:-1]) if lists else []
+    base = np.array([prior.get(n, 0.0) for n in names])
+    offset, squares = np.zeros(len(names)), np.zeros(len(names))
+    order = np.random.default_rng(seed)
+    for i in np.concatenate([order.permutation(len(rows)) for _ in range(epochs)]) if rows else ():
+        at = rows[i]
+        z = (base[at] + offset[at]).sum()
+        slope = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[i] + l2 * offset[at]
+        squares[at] += slope * slope
+        moved = offset[at] - rate * slope / (np.sqrt(squares[at]) + 1e-8)
+        offset[at] = np.where(np.abs(moved) < 1e-6, 0, np.clip(moved, -limit, limit))
+    found = np.flatnonzero(offset)
+    return pd.DataFrame({"feature": names[found], "prior": base[found], "w": offset[found], "g2": squares[found]})
+
+
 def _train(prior: dict[str, float], epochs: int, rate: float, l2: float, limit: float, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        samples = [(list(f), int(y)) for f, y in zip(pdf.sort_values("seq").f, pdf.sort_values("seq").y, strict=True)]
-        w: dict[str, float] = {}
-        g2: dict[str, float] = {}
-        r = np.random.default_rng(seed)
-        for _ in range(epochs):
-            for i in r.permutation(len(samples)):
-                f, y = samples[i]
-                z = sum(prior.get(k, 0.0) + w.get(k, 0.0) for k in f)
-                g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-                for k in f:
-                    d = g + l2 * w.get(k, 0.0)
-                    g2[k] = g2.get(k, 0.0) + d * d
-                    w[k] = float(np.clip(w.get(k, 0.0) - rate * d / (np.sqrt(g2[k]) + 1e-8), -limit, limit))
-        rows = [(pdf.model.iloc[0], k, prior.get(k, 0.0), v, g2[k]) for k, v in sorted(w.items()) if abs(v) >= 1e-6]
-        return pd.DataFrame(rows, columns=["model", "feature", "prior", "w", "g2"])
+        pdf = pdf.sort_values("seq")
+        found = fit_weights([list(f) for f in pdf.f], pdf.y.to_numpy(float), prior, epochs, rate, l2, limit, seed)
+        return found.assign(model=pdf.model.iloc[0])[["model", "feature", "prior", "w", "g2"]]
 
     return run
 
@@ -70,28 +80,48 @@ def normalised(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-def nearest(queries: DataFrame, library: DataFrame, k: int = 5) -> DataFrame:
-    """SO4, ML7: the k nearest shapes (id, vec) of each query by Euclidean distance; ties by id. The library is a bounded
-    dimension table (400 shapes a label); each query batch meets it in numpy blocks."""
-    lib = library.select("id", "vec", "label").orderBy("id").toPandas()
-    held = queries.sparkSession.sparkContext.broadcast((lib.id.to_numpy(), np.stack(lib.vec.to_numpy()).astype(float) if len(lib) else np.zeros((0, 1)), lib.label.to_numpy()))
-
-    def run(batches):
-        ids, vecs, labels = held.value
-        square = (vecs**2).sum(axis=1)
-        for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                q = np.stack(part.vec.to_numpy()).astype(float)
-                d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + square - 2 * q @ vecs.T, 0))
-                d[part.id.to_numpy()[:, None] == ids[None, :]] = np.inf
-                for i, row in zip(part.id, d, strict=True):
-                    near = np.lexsort((ids, row))[:k]
-                    rows += [(i, n + 1, ids[j], labels[j], row[j]) for n, j in enumerate(near) if np.isfinite(row[j])]
-            yield pd.DataFrame(rows, columns=["id", "rank", "near", "label", "d"])
-
-    return queries.select("id", "vec").mapInPandas(run, "id long, rank int, near long, label int, d double")
+#: Shapes that go to every task at once; a larger library comes in blocks of as many.
+LIBRARY_BLOCK = 20_000
+
+
+def nearest(queries: DataFrame, library: DataFrame, k: int = 5, block: int = LIBRARY_BLOCK) -> DataFrame:
+    """SO4, ML7: the k nearest shapes (id, vec, label) of each query by Euclidean distance; ties by id. The library is
+    dealt to blocks by the hash of its ids, at most about `block` shapes each; a block goes to every task, which returns
+    its k best a query, and the blocks' bests are merged. So what is broadcast at once doesn't grow with the library."""
+    spark = queries.sparkSession
+    blocks = -(-library.count() // block) or 1
+    schema = "id long, rank int, near long, label int, d double"
+
+    def search(held):
+        def run(batches):
+            ids, vecs, labels = held.value
+            square = (vecs**2).sum(axis=1)
+            for pdf in batches:
+                rows = []
+                for at in range(0, len(pdf), 256):
+                    part = pdf.iloc[at : at + 256]
+                    q = np.stack(part.vec.to_numpy()).astype(float)
+                    d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + square - 2 * q @ vecs.T, 0))
+                    d[part.id.to_numpy()[:, None] == ids[None, :]] = np.inf
+                    for i, row in zip(part.id, d, strict=True):
+                        near = np.lexsort((ids, row))[:k]
+                        rows += [(i, n + 1, ids[j], labels[j], row[j]) for n, j in enumerate(near) if np.isfinite(row[j])]
+                yield pd.DataFrame(rows, columns=["id", "rank", "near", "label", "d"])
+
+        return run
+
+    out = None
+    for n in range(blocks):
+        lib = library.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "vec", "label").orderBy("id").toPandas()
+        held = spark.sparkContext.broadcast((lib.id.to_numpy(), np.stack(lib.vec.to_numpy()).astype(float) if len(lib) else np.zeros((0, 1)), lib.label.to_numpy()))
+        if len(lib) or blocks == 1:
+            found = queries.select("id", "vec").mapInPandas(search(held), schema)
+            found = found if blocks == 1 else cut(found, "nearest")
+            out = found if out is None else out.unionByName(found)
+    if blocks == 1:
+        return out
+    w = Window.partitionBy("id").orderBy("d", "near")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def vote(near: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _w(keys, *order):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -39,16 +41,31 @@ def restarts(number: Column, keys, order) -> Column:
     return F.coalesce((number == 1) & (F.lag(number).over(_w(keys, *order)) > 1), F.lit(False))
 
 
-def with_restarts(rows: DataFrame, number: str, order: list[str], width_bits: int = 10, out: str = "restart") -> DataFrame:
-    """WI4 down a whole table: its rows in ranges of 2^width_bits values of the first order column (whole numbers). A
-    range's first row follows the last number of the range before, so that one row a range is all that meets in one task."""
-    rows = rows.withColumn("_range", F.shiftright(order[0], width_bits))
-    last = rows.groupBy("_range").agg(F.max_by(number, F.struct(*order)).alias("_last"))
-    carried = last.select(F.col("_range").alias("_r"), F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
+def _in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows in one order, dealt to ranges (`_range`) of about equal size, written once so that the ranges stay."""
+    return cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def numbered(rows: DataFrame, order: list[str], out: str = "place") -> DataFrame:
+    """Adds each row's place, from 0, in an order of the whole table: a sort into ranges, places within each, and before
+    them the sizes of the ranges before it, of which there are as many as partitions. No window takes all rows."""
+    held = _in_ranges(rows, order)
+    sizes = held.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = held.withColumn("_own", F.row_number().over(_w(["_range"], *order)) - 1).join(F.broadcast(before), "_range")
+    return placed.withColumn(out, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
+def with_restarts(rows: DataFrame, number: str, order: list[str], out: str = "restart") -> DataFrame:
+    """WI4 down a whole table: its rows sorted into ranges; a range's first row follows the last number of the range
+    before, one row a range, of which there are as many as partitions."""
+    held = _in_ranges(rows, order)
+    last = held.groupBy("_range").agg(F.max_by(number, F.struct(*order)).alias("_last"))
+    carried = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_carried"))
     w = _w(["_range"], *order)
     before = F.when(F.row_number().over(w) == 1, F.col("_carried")).otherwise(F.lag(number).over(w))
-    met = rows.join(carried, rows["_range"].eqNullSafe(carried["_r"]))
-    return met.withColumn(out, F.coalesce((F.col(number) == 1) & (before > 1), F.lit(False))).drop("_range", "_r", "_carried")
+    met = held.join(F.broadcast(carried), "_range").withColumn("_before", before)
+    return met.withColumn(out, F.coalesce((F.col(number) == 1) & (F.col("_before") > 1), F.lit(False))).drop("_range", "_carried", "_before")
 
 
 def streak(ok: Column, keys, order) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, layout, learn, reshape
+from ..operators import aggregates, groups, layout, learn, reshape, windows
 from ..registry import query
 from ..sources import files
 from ..streaming import events as s
@@ -29,9 +28,9 @@ def pr6(spark, d):
     return layout.page_title(_words(spark, d), ["page"], 2.0)
 
 
-@query("pr7_labels_from_cells", "SELECT l_orderkey, arg_min(l_suppkey::VARCHAR, l_linenumber * 1000000 + l_suppkey) FILTER (WHERE l_suppkey < 10000) AS no, CASE WHEN count(*) > 0 THEN 'x' || l_orderkey END AS name FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber FROM lineitem WHERE l_suppkey < 10000) GROUP BY l_orderkey")
+@query("pr7_labels_from_cells", "SELECT l_orderkey, arg_min(l_suppkey::VARCHAR, l_linenumber * 1000000 + l_suppkey) FILTER (WHERE l_suppkey < 10000) AS no, CASE WHEN count(*) > 0 THEN 'x' || l_orderkey END AS name FROM (SELECT DISTINCT l_orderkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY l_orderkey")
 def pr7(spark, d):
-    l = table(spark, d, "lineitem").where("l_suppkey < 10000")  # noqa: E741
+    l = table(spark, d, "lineitem")  # noqa: E741
     n = l.select("l_orderkey", F.col("l_linenumber").alias("col"), F.col("l_suppkey").cast("string").alias("text"))
     # several cells at one place: the least number there
     n = n.groupBy("l_orderkey", "col").agg(F.min(F.col("text").cast("int")).cast("string").alias("text"))
@@ -100,10 +99,10 @@ def ag10b(spark, d):
     return b.select("page", "id", "y0", left.alias("from_left"), right.alias("from_right"))
 
 
-@query("ag13_group_columns", """WITH c AS (SELECT l_suppkey AS tbl, l_linenumber AS col, count(*) AS cells, sum(l_quantity) AS covered, count(*) FILTER (WHERE l_returnflag = 'R') AS p FROM lineitem GROUP BY ALL)
-SELECT tbl, col, covered FROM c WHERE p = 0 AND covered >= 1.8 * cells AND covered >= 0.5 * (SELECT max(l_quantity) FROM lineitem WHERE l_suppkey = tbl)""")
+@query("ag13_group_columns", """WITH c AS (SELECT l_orderkey AS tbl, l_linenumber AS col, count(*) AS cells, sum(l_quantity) AS covered, count(*) FILTER (WHERE l_returnflag = 'R') AS p FROM lineitem GROUP BY ALL), m AS (SELECT l_orderkey AS tbl, max(l_quantity) AS most FROM lineitem GROUP BY ALL)
+SELECT tbl, col, covered FROM c JOIN m USING (tbl) WHERE p = 0 AND covered >= 1.8 * cells AND covered >= 0.5 * most""")
 def ag13(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("tbl"), F.col("l_linenumber").alias("col"), F.lit(0.0).alias("r0"), F.col("l_quantity").alias("r1"), (F.col("l_returnflag") == "R").alias("has_price"))
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("col"), F.lit(0.0).alias("r0"), F.col("l_quantity").alias("r1"), (F.col("l_returnflag") == "R").alias("has_price"))
     return layout.group_columns(c, ["tbl"])
 
 
@@ -120,7 +119,10 @@ _LINES = "SELECT user_id AS doc, event_id AS id, event_type = 'purchase' AS is_p
 SELECT doc, id, grp FROM (SELECT doc, id, is_price, coalesce(last_value(CASE WHEN t AND used THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY id ROWS UNBOUNDED PRECEDING), '') AS grp FROM u) WHERE is_price""")
 def ml5(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("doc"), F.floor(F.col("event_id") / 1000).alias("page"), F.col("event_id").alias("id"), F.col("event_id").cast("double").alias("y0"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"), (F.col("event_type") == "purchase").alias("is_price"), F.when(F.col("event_type") == "signup", 0.9).otherwise(0.1).alias("p"))
-    return layout.find_groups(e).select("doc", "id", "grp")
+    where = {"x0": F.lit(0.0), "x1": F.lit(100.0), "y": F.col("y0"), "h": F.lit(0.0), "end": F.lit(None).cast("double"), "kind": F.lit("bar"), "name": F.col("text"), "key": F.col("text"), "tid": F.col("id")}
+    titles = e.where("not is_price").withColumns(where)
+    prices = e.where("is_price").select("doc", "page", "id", F.lit(50.0).alias("x"), F.col("y0").alias("y"))
+    return groups.find_groups(prices, titles).select("doc", "id", "grp")
 
 
 @query("jo26_settled_groups", """SELECT e.event_id, CASE WHEN a.name = 'n' || (e.event_id % 2) THEN a.name ELSE 'mine' END AS settled FROM (SELECT * FROM events WHERE event_type = 'click') e
@@ -197,4 +199,4 @@ def sm5(spark, d):
 @query("ql9_distinct_warnings", "SELECT user_id, floor((row_number() OVER (ORDER BY user_id) - 1) / 10)::BIGINT AS chunk FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')")
 def ql9(spark, d):
     u = table(spark, d, "events").where("event_type = 'error'").select("user_id").distinct()
-    return u.select("user_id", F.floor((F.row_number().over(Window.orderBy("user_id")) - 1) / 10).alias("chunk"))
+    return windows.numbered(u, ["user_id"]).select("user_id", F.floor(F.col("place") / 10).alias("chunk"))

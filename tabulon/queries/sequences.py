@@ -38,7 +38,7 @@ def wi2(spark, d):
     return windows.title_rows(e, "event_type", ["user_id"], "n")
 
 
-@query("wi4_restarts", "SELECT * FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_linenumber = 1 AND lag(l_linenumber) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) > 1 AS restart FROM (SELECT * FROM lineitem WHERE l_orderkey < 2000)) WHERE restart")
+@query("wi4_restarts", "SELECT * FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_linenumber = 1 AND lag(l_linenumber) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) > 1 AS restart FROM lineitem) WHERE restart")
 def wi4(spark, d):
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     return windows.with_restarts(table(spark, d, "lineitem").select(*order), "l_linenumber", order).where("restart").select("l_orderkey", "l_partkey", "l_linenumber", "restart")
@@ -191,12 +191,12 @@ def se4(spark, d):
     return p.join(q, "a").select("a", "b", F.round(reshape.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
 
 
-@query("se5_backup_merge", "SELECT * FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0) a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.user_id = a.user_id AND b.event_type = a.event_type)")
+@query("se5_backup_merge", "SELECT * FROM (SELECT DISTINCT user_id, event_id // 200 AS lot FROM events WHERE event_id % 2 = 0) a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.user_id = a.user_id AND b.event_id // 200 = a.lot)")
 def se5(spark, d):
     from ..operators.joins import unseen
 
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return unseen(e.where("event_id % 2 = 0").select("user_id", "event_type"), [e.where("event_id % 2 = 1")], ["user_id", "event_type"])
+    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 200).alias("lot"))
+    return unseen(e.where("event_id % 2 = 0").select("user_id", "lot"), [e.where("event_id % 2 = 1")], ["user_id", "lot"])
 
 
 @query("se6_row_kinds", """SELECT l_orderkey, CASE WHEN sum(CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END) > 0 THEN 'item' WHEN bool_or(l_returnflag = 'R') THEN 'header' WHEN count(*) = 1 THEN 'group' ELSE 'item' END AS kind FROM lineitem GROUP BY l_orderkey""")
@@ -205,10 +205,10 @@ def se6(spark, d):
     return g.select("l_orderkey", reshape.row_kind(F.col("n"), F.col("p"), F.col("h"), F.col("n") == 1).alias("kind"))
 
 
-@query("se7_set_operators", "(SELECT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error') EXCEPT SELECT user_id FROM events WHERE event_type = 'signup'")
+@query("se7_set_operators", "(SELECT user_id, event_id // 500 AS lot FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id, event_id // 500 FROM events WHERE event_type = 'error') EXCEPT SELECT user_id, event_id // 500 FROM events WHERE event_type = 'signup'")
 def se7(spark, d):
     e = table(spark, d, "events")
-    of = lambda t: e.where(F.col("event_type") == t).select("user_id")
+    of = lambda t: e.where(F.col("event_type") == t).select("user_id", F.floor(F.col("event_id") / 500).alias("lot"))
     return of("purchase").intersect(of("error")).subtract(of("signup"))
 
 

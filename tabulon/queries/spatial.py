@@ -94,9 +94,9 @@ def jo5(spark, d):
     return joins.consensus(pick("l_linenumber < 4"), pick("l_linenumber > 1"), ["page"], "plain")
 
 
-@query("jo10_known_formats", """WITH w AS (SELECT p_partkey AS id, list_distinct(string_split(p_name, ' ')) AS words FROM part WHERE p_partkey <= 400)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS score FROM w a, w b
-WHERE len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.5""")
+@query("jo10_known_formats", """WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(p_name, ' ')) AS w FROM part), n AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM w a JOIN w b ON a.w = b.w GROUP BY ALL)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS score FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5""")
 def jo10(spark, d):
     w = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("words"))
     return joins.jaccard_match(w, w, 0.5).withColumn("score", F.round("score", 6))
@@ -108,9 +108,10 @@ def jo14(spark, d):
     return p.select("p_partkey", "k").join(p.where("p_size > 45").groupBy("k").agg(F.min("p_type").alias("name")), "k", "left").select("p_partkey", "name")
 
 
-@query("jo18_not_placed", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("jo18_not_placed", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def jo18(spark, d):
-    return table(spark, d, "part").select("p_partkey").join(table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    placed = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return joins.unseen(table(spark, d, "part").select("p_partkey"), [placed], ["p_partkey"])
 
 
 @query("jo25_page_points", "SELECT l.l_orderkey, l.l_linenumber, round(l.l_quantity / (o.o_orderkey % 3 + 1), 6) AS x FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
@@ -140,7 +141,8 @@ def jo6(spark, d):
 @query("jo8_align")
 def jo8(spark, d):
     l = table(spark, d, "lineitem")  # noqa: E741
-    side = lambda c: l.where(c).select(F.floor(F.col("l_orderkey") / 16).alias("col"), F.col("l_partkey").alias("id"), F.col("l_quantity").alias("y"))
+    x, y = F.col("l_linenumber") % 2 * 3.0, F.col("l_quantity")
+    side = lambda c: l.where(c).select(F.floor(F.col("l_orderkey") / 16).alias("col"), F.col("l_partkey").alias("id"), x.alias("x0"), y.alias("y0"), (x + 8 + F.col("l_tax") * 100).alias("x1"), (y + 4).alias("y1"))
     return joins.align_columns(side("l_linenumber < 4"), side("l_linenumber >= 4"))
 
 
@@ -160,11 +162,11 @@ def ag8(spark, d):
 
 
 @query("fi10_box_predicates", f"""SELECT l.page, l.id, r.id AS other, round({_IOU}, 6) AS iou, round(({_IX}) / 32.0, 6) AS share, (l.x0 + l.x1) / 2 BETWEEN r.x0 AND r.x1 AND (l.y0 + l.y1) / 2 BETWEEN r.y0 AND r.y1 AS inside, least(l.x1, r.x1) > greatest(l.x0, r.x0) AS xo
-FROM {_A} l JOIN {_B} r ON l.page = r.page""")
+FROM {_A} l JOIN {_B} r ON l.page = r.page AND least(l.y1, r.y1) >= greatest(l.y0, r.y0)""")
 def fi10(spark, d):
     a, b = _sides(spark, d)
     l, r = g.box("l"), g.box("r")  # noqa: E741
-    j = a.alias("l").join(b.alias("r"), F.col("l.page") == F.col("r.page"))
+    j = joins.banded(a, b, ["page"], 8.0, F.least("l.y1", "r.y1") >= F.greatest("l.y0", "r.y0"))
     return j.select(F.col("l.page").alias("page"), F.col("l.id").alias("id"), F.col("r.id").alias("other"), F.round(g.iou(l, r), 6).alias("iou"), F.round(g.overlap_share(l, r), 6).alias("share"), g.center_in(l, r).alias("inside"), g.x_overlap(l, r).alias("xo"))
 
 
@@ -183,8 +185,8 @@ def fi18(spark, d):
 @query("ag14_alignment", f"""SELECT page, CASE WHEN l <= r AND l <= c THEN 'left' WHEN r <= c THEN 'right' ELSE 'centre' END AS align FROM (
 SELECT page, round(stddev_pop(y0), 6) AS l, round(stddev_pop(y0 + id), 6) AS r, round(stddev_pop((y0 + y0 + id) / 2), 6) AS c FROM {BOXES} GROUP BY page)""")
 def ag14(spark, d):
-    b = boxes(spark, d).groupBy("page").agg(*(F.round(F.stddev_pop(v), 6).alias(n) for n, v in (("l", F.col("y0")), ("r", F.col("y0") + F.col("id")), ("c", (F.col("y0") * 2 + F.col("id")) / 2))))
-    return b.select("page", F.when((F.col("l") <= F.col("r")) & (F.col("l") <= F.col("c")), "left").when(F.col("r") <= F.col("c"), "right").otherwise("centre").alias("align"))
+    b = boxes(spark, d).withColumns({"x0": F.col("y0"), "x1": F.col("y0") + F.col("id")})
+    return b.groupBy("page").agg(*aggregates.alignment())
 
 
 @query("ag15_free_bounds", f"SELECT l.page, l.id, l.y0, max(r.x1) FILTER (WHERE r.x1 <= l.x0) AS left_bound, min(r.x0) FILTER (WHERE r.x0 >= l.x1) AS right_bound FROM (SELECT DISTINCT * FROM {_A}) l JOIN (SELECT DISTINCT * FROM {_B}) r ON l.page = r.page AND least(l.y1, r.y1) >= greatest(l.y0, r.y0) GROUP BY l.page, l.id, l.y0")

@@ -29,7 +29,7 @@ def st3(spark, d):
 
 @query("st4_visual_order")
 def st4(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.visual_to_logical("p_name").alias("t"))
+    return table(spark, d, "part").select("p_partkey", text.visual_to_logical(F.reverse(F.concat(F.lit("دنده "), F.col("p_name"))), F.array(F.lit("دنده"))).alias("t"))
 
 
 @query("st5_bracket_repair")
@@ -56,7 +56,7 @@ def st8(spark, d):
 
 @query("st9_digit_style")
 def st9(spark, d):
-    return table(spark, d, "part").select("p_partkey", text.digit_style(True)(F.concat(F.col("p_brand"), F.lit(" پراید "), F.col("p_size").cast("string"))).alias("t"))
+    return table(spark, d, "part").select("p_partkey", text.digit_style(True)(F.concat(F.col("p_brand"), F.lit(" پراید "), F.col("p_size").cast("string"), F.lit(" x"), F.col("p_size").cast("string")), F.when(F.col("p_partkey") % 5 == 0, "code").otherwise("name")).alias("t"))
 
 
 @query("st10_no_errors", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || ' —' ELSE p_brand || ' ok' END AS t FROM part")

@@ -6,9 +6,13 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..storage import recover, replace_table
 
 TOKENS = "doc string, page int, tok int, kind string, text string, x0 double, y0 double, x1 double, y1 double, attached boolean, conf double, source string"
 SAMPLES = "f array<string>, y int"
@@ -137,13 +141,60 @@ def snapshot(table: DataFrame, root: str, version: int, keep: int = 5) -> list[s
 
 
 def append_or_compact(new: DataFrame, path: str, cap: int, order: str = "seq") -> int:
-    """SK7, ML19: appends rows; beyond 1.2 times the cap the newest `cap` are written anew."""
+    """SK7, ML19: appends rows; beyond 1.2 times the cap the newest `cap` take the table's place, as a whole."""
     spark = new.sparkSession
+    recover(spark, path)
     new.write.mode("append").parquet(path)
     n = spark.read.parquet(path).count()
     if n > 1.2 * cap:
-        kept = spark.read.parquet(path).orderBy(F.col(order).desc()).limit(cap)
-        kept.write.mode("overwrite").parquet(f"{path}-new")
-        spark.read.parquet(f"{path}-new").write.mode("overwrite").parquet(path)
+        replace_table(spark.read.parquet(path).orderBy(F.col(order).desc()).limit(cap), path)
         return cap
     return n
+
+
+def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SC11: kept state (model weights, formats, layouts, statistics) from JSON, one record a line or a file that holds an
+    array, as typed nested rows; a record that isn't JSON comes as nulls and is left out."""
+    kinds = StructType.fromDDL(schema)
+    rows = spark.read.schema(StructType([*kinds.fields, StructField("_bad", StringType())])).option("columnNameOfCorruptRecord", "_bad").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    return rows.select("*").where(F.col("_bad").isNull()).drop("_bad")
+
+
+def shape_library(spark: SparkSession, path: str) -> DataFrame:
+    """SC13: (label, id, vec) of the arrays of NPZ files: each named array holds a label's shapes, a row each. Object
+    arrays, which would need unpickling, and files that aren't NPZ give no rows."""
+
+    def read(batches):
+        for pdf in batches:
+            rows = []
+            for content in pdf.content:
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                        for label in held.files:
+                            shapes = np.atleast_2d(held[label])
+                            rows += [(label, i, v) for i, v in enumerate(shapes.reshape(len(shapes), -1).astype(float).tolist())]
+                except (ValueError, OSError, zipfile.BadZipFile):
+                    continue
+            yield pd.DataFrame(rows, columns=["label", "id", "vec"])
+
+    return binary_files(spark, path, "*.npz").select("content").mapInPandas(read, "label string, id long, vec array<double>")
+
+
+_FILE = "struct<file_id: string, file_name: string, mime_type: string>"
+UPDATE = f"update_id long, message struct<message_id: long, date: long, chat: struct<id: long>, text: string, caption: string, media_group_id: string, document: {_FILE}, photo: array<struct<file_id: string, width: int, height: int>>>, callback_query struct<id: string, data: string, message: struct<message_id: long, chat: struct<id: long>>>"
+
+
+def chat_updates(raw: DataFrame, column: str = "value", after: int = -1) -> DataFrame:
+    """SC16: landed chat updates (a JSON object a row) as (update_id, chat, message_id, kind, file_id, name, text, album,
+    button): files, photos (the largest one), texts and pressed buttons after an update number, each number once. Works on
+    streams and tables alike, but for the once, which a stream's watermark has to bound."""
+    u = raw.select(F.from_json(column, UPDATE).alias("u")).where(F.col("u.update_id") > after).select("u.*")
+    m, b = F.col("message"), F.col("callback_query")
+    photo = F.array_max(F.transform(m["photo"], lambda p: F.struct((p["width"] * p["height"]).alias("size"), p["file_id"].alias("file_id"))))["file_id"]
+    kind = F.when(b.isNotNull(), "button").when(m["document"].isNotNull(), "file").when(F.size(m["photo"]) > 0, "photo").when(m["text"].isNotNull(), "text")
+    out = u.select(
+        "update_id", F.coalesce(m["chat"]["id"], b["message"]["chat"]["id"]).alias("chat"), F.coalesce(m["message_id"], b["message"]["message_id"]).alias("message_id"), kind.alias("kind"),
+        F.coalesce(m["document"]["file_id"], photo).alias("file_id"), m["document"]["file_name"].alias("name"), F.coalesce(m["text"], m["caption"]).alias("text"), m["media_group_id"].alias("album"), b["data"].alias("button"),
+    )
+    out = out.where("kind is not null")
+    return out if raw.isStreaming else out.dropDuplicates(["update_id"])

@@ -49,6 +49,15 @@ def windows(events: DataFrame, ts: str, size: str, slide: str | None = None) ->
     return g.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
+def joined(left: DataFrame, right: DataFrame, key: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """SM9: events of two streams (key, ts, and own columns) that have a key in common and of which the right one comes
+    within `within` after the left. With the watermarks the state a stream-stream join keeps is bounded; tables join alike."""
+    l, r = (x.withWatermark("ts", late) if x.isStreaming else x for x in (left, right))  # noqa: E741
+    l, r = l.alias("l"), r.alias("r")  # noqa: E741
+    on = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("r.ts") >= F.col("l.ts")) & (F.col("r.ts") <= F.col("l.ts") + F.expr(f"interval {within}"))
+    return l.join(r, on).select(F.col(f"l.{key}").alias(key), F.col("l.event_id").alias("left_id"), F.col("r.event_id").alias("right_id"))
+
+
 def flags(events: DataFrame, key: str, ts: str, flag: Column) -> DataFrame:
     """SM11: the last value of a key's flag."""
     return events.groupBy(key).agg(F.max_by(flag, F.struct(ts, "event_id")).alias("flag"), F.max(ts).alias("at"))
