@@ -63,9 +63,9 @@ def ag11(spark, d):
     return aggregates.common_columns(table(spark, d, "lineitem"), ["l_suppkey"], "l_linenumber", "l_orderkey", 0.15)
 
 
-@query("ag12_repeated_lines", "SELECT user_id, event_type, count(DISTINCT event_id // 500) AS pages FROM events GROUP BY ALL HAVING count(DISTINCT event_id // 500) >= greatest(3, ceil(0.6 * max((SELECT c FROM (SELECT user_id AS u, count(DISTINCT event_id // 500) AS c FROM events GROUP BY 1) z WHERE z.u = events.user_id))))")
+@query("ag12_repeated_lines", "SELECT user_id, event_type, count(DISTINCT event_id % 12) AS pages FROM events GROUP BY ALL HAVING count(DISTINCT event_id % 12) >= greatest(3, ceil(0.6 * max((SELECT c FROM (SELECT user_id AS u, count(DISTINCT event_id % 12) AS c FROM events GROUP BY 1) z WHERE z.u = events.user_id))))")
 def ag12(spark, d):
-    e = table(spark, d, "events").withColumn("page", F.floor(F.col("event_id") / 500))
+    e = table(spark, d, "events").withColumn("page", F.col("event_id") % 12)
     return aggregates.repeated_on_pages(e, "user_id", "page", "event_type")
 
 

@@ -199,9 +199,9 @@ def ag27b(spark, d):
     return settled.select("target", digits_of(F.col("text")).alias("text"))
 
 
-@query("se5_restored", "SELECT DISTINCT ON (user_id, lot) user_id, lot FROM (SELECT user_id, event_id // 200 AS lot FROM events)")
+@query("se5_restored", "SELECT DISTINCT ON (user_id, lot) user_id, lot FROM (SELECT user_id, event_id // 20 AS lot FROM events)")
 def se5b(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 200).alias("lot"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 20).alias("lot"))
     side = lambda n: e.where(F.col("event_id") % 2 == n).select("user_id", "lot")
     return state.restore(side(1).distinct(), side(0), ["user_id", "lot"])
 

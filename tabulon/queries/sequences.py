@@ -191,11 +191,11 @@ def se4(spark, d):
     return p.join(q, "a").select("a", "b", F.round(reshape.jaccard(F.col("x"), F.col("y")), 6).alias("j"))
 
 
-@query("se5_backup_merge", "SELECT * FROM (SELECT DISTINCT user_id, event_id // 200 AS lot FROM events WHERE event_id % 2 = 0) a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.user_id = a.user_id AND b.event_id // 200 = a.lot)")
+@query("se5_backup_merge", "SELECT * FROM (SELECT DISTINCT user_id, event_id // 20 AS lot FROM events WHERE event_id % 2 = 0) a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 1 AND b.user_id = a.user_id AND b.event_id // 20 = a.lot)")
 def se5(spark, d):
     from ..operators.joins import unseen
 
-    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 200).alias("lot"))
+    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 20).alias("lot"))
     return unseen(e.where("event_id % 2 = 0").select("user_id", "lot"), [e.where("event_id % 2 = 1")], ["user_id", "lot"])
 
 
@@ -205,10 +205,10 @@ def se6(spark, d):
     return g.select("l_orderkey", reshape.row_kind(F.col("n"), F.col("p"), F.col("h"), F.col("n") == 1).alias("kind"))
 
 
-@query("se7_set_operators", "(SELECT user_id, event_id // 500 AS lot FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id, event_id // 500 FROM events WHERE event_type = 'error') EXCEPT SELECT user_id, event_id // 500 FROM events WHERE event_type = 'signup'")
+@query("se7_set_operators", "(SELECT user_id, event_id // 100 AS lot FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id, event_id // 100 FROM events WHERE event_type = 'error') EXCEPT SELECT user_id, event_id // 100 FROM events WHERE event_type = 'signup'")
 def se7(spark, d):
     e = table(spark, d, "events")
-    of = lambda t: e.where(F.col("event_type") == t).select("user_id", F.floor(F.col("event_id") / 500).alias("lot"))
+    of = lambda t: e.where(F.col("event_type") == t).select("user_id", F.floor(F.col("event_id") / 100).alias("lot"))
     return of("purchase").intersect(of("error")).subtract(of("signup"))
 
 

@@ -187,10 +187,10 @@ def ar6(spark, d):
     return m.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("counts"))
 
 
-@query("jo15_template_columns", """WITH c AS (SELECT p_brand AS doc, p_size AS col, min(p_partkey % 100)::DOUBLE AS lo, max(p_partkey % 100)::DOUBLE AS hi FROM part GROUP BY ALL)
+@query("jo15_template_columns", """WITH c AS (SELECT p_brand AS doc, p_size % 5 AS col, min(p_partkey % 100)::DOUBLE AS lo, max(p_partkey % 100)::DOUBLE AS hi FROM part GROUP BY ALL)
 SELECT a.doc, a.col, b.col AS tpl FROM c a JOIN c b ON a.doc = b.doc AND b.col <> a.col AND greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) > 0 QUALIFY row_number() OVER (PARTITION BY a.doc, a.col ORDER BY greatest(0, least(a.hi, b.hi) - greatest(a.lo, b.lo)) DESC, b.col) = 1""")
 def jo15(spark, d):
-    c = table(spark, d, "part").groupBy(F.col("p_brand").alias("doc"), F.col("p_size").alias("col")).agg(F.min(F.col("p_partkey") % 100).cast("double").alias("lo"), F.max(F.col("p_partkey") % 100).cast("double").alias("hi"))
+    c = table(spark, d, "part").groupBy(F.col("p_brand").alias("doc"), (F.col("p_size") % 5).alias("col")).agg(F.min(F.col("p_partkey") % 100).cast("double").alias("lo"), F.max(F.col("p_partkey") % 100).cast("double").alias("hi"))
     b = c.select("doc", F.col("col").alias("tpl"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     s = c.join(b, "doc").withColumn("s", F.greatest(F.lit(0.0), F.least("hi", "hi2") - F.greatest("lo", "lo2"))).where("s > 0 and tpl <> col")
     return joins.best_by(s, ["doc", "col"], F.col("s"), [F.col("tpl")]).select("doc", "col", "tpl")
