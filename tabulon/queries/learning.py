@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import quota_day
-from ..operators import aggregates, learn
+from ..operators import aggregates, learn, orders
 from ..registry import query
 from ..streaming import events as s
 from .base import table
@@ -273,11 +273,10 @@ def sm11(spark, d):
 
 @query("ml16_group_lessons", "SELECT e.event_id, a.value > 50 AS y FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) a ON e.user_id = a.user_id AND e.ts >= a.ts WHERE a.value IS NOT NULL")
 def ml16(spark, d):
-    from ..operators.joins import as_of
-
-    e = table(spark, d, "events")
-    p = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("v"))
-    return as_of(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), p, ["user_id"], "ts", ["v"]).where("v is not null").select("event_id", (F.col("v") > 50).alias("y"))
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    checked = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    lines = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return orders.group_lessons(lines, checked, ["user_id"], "ts", "value", F.col("value") > 50).select("event_id", "y")
 
 
 @query("ml18_seed_merge", "SELECT p_partkey FROM part WHERE p_size > 25 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand LIKE '%1')")
@@ -291,4 +290,4 @@ def ml18(spark, d):
 @query("ml15_photo_pages", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'known' WHEN count(*) FILTER (WHERE l_discount > 0.09) <= greatest(1, 0.1 * count(*)) THEN 'local' ELSE 'teacher' END AS by FROM lineitem GROUP BY l_orderkey")
 def ml15(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("k"), F.count_if(F.col("l_discount") > 0.09).alias("u"), F.count("*").alias("n"))
-    return g.select("l_orderkey", F.when(F.col("k"), "known").when(F.col("u") <= F.greatest(F.lit(1), 0.1 * F.col("n")), "local").otherwise("teacher").alias("by"))
+    return g.select("l_orderkey", orders.photo_route(F.col("k"), F.col("u"), F.col("n")).alias("by"))
\ No newline at end of file

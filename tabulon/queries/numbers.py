@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
-from ..operators import pricing
+from ..operators import orders, pricing
 from ..plans.commands import interpret, parse_all
 from ..registry import query
 from .base import BOXES, ITEMS, boxes, items, table
@@ -111,8 +111,8 @@ def ma9(spark, d):
 
 @query("ma10_scale_fit", "SELECT l_partkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, count(*) AS n FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_quantity) > 1")
 def ma10(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.count("*").alias("n"), F.count_distinct("l_quantity").alias("k"))
-    return g.where("k > 1").drop("k")
+    fit = orders.scale_fit(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity", "l_extendedprice", reject=None)
+    return fit.select("l_partkey", F.round("slope", 4).alias("slope"), "n")
 
 
 @query("pr8_cell_number", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey::INT END AS v FROM lineitem")
@@ -123,16 +123,13 @@ def pr8(spark, d):
 
 @query("pr9_price_text", "SELECT l_orderkey, string_agg(l_quantity::INT::VARCHAR, ' / ' ORDER BY l_linenumber, l_quantity) AS text FROM lineitem GROUP BY l_orderkey")
 def pr9(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", F.col("l_quantity").cast("int").cast("string").alias("t")))).alias("a"))
-    return g.select("l_orderkey", F.array_join(F.transform("a", lambda s: s["t"]), " / ").alias("text"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("l_quantity").cast("int").cast("string").alias("v"))  # noqa: E741
+    return orders.price_texts(l, ["l_orderkey"], ["l_linenumber", "l_quantity"], "v")
 
 
 @query("pr13_stable_ids", f"SELECT page, id, 'p' || page || '-' || row_number() OVER (PARTITION BY page ORDER BY y0, x1 DESC, id) AS item FROM {BOXES}")
 def pr13(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("page").orderBy("y0", F.col("x1").desc(), "id"))
-    return boxes(spark, d).select("page", "id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("-"), n.cast("string")).alias("item"))
+    return orders.stable_ids(boxes(spark, d).withColumn("kind", F.lit("price"))).select("page", "id", "item")
 
 
 _JALALI = """SELECT o_orderkey, (c * 33 + g * 4 + y + 1375)::INT AS jy, (CASE WHEN dd < 186 THEN dd // 31 + 1 ELSE (dd - 186) // 30 + 7 END)::INT AS jm, (CASE WHEN dd < 186 THEN dd % 31 ELSE (dd - 186) % 30 END + 1)::INT AS jd FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, groups, layout, learn, reshape, windows
+from ..operators import aggregates, groups, layout, learn, orders, reshape, windows
 from ..registry import query
 from ..sources import files
 from ..streaming import events as s
@@ -142,16 +142,10 @@ def jo27(spark, d):
 
 
 @query("jo16_same_cells", """WITH a AS (SELECT l_orderkey, l_quantity AS x FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT l_orderkey, l_quantity AS x FROM lineitem WHERE l_returnflag = 'R')
-SELECT l_orderkey, na = nb AND ma = na AS same FROM (SELECT l_orderkey, count(*) AS na, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.l_orderkey = a.l_orderkey AND abs(b.x - a.x) <= 2)) AS ma FROM a GROUP BY 1) JOIN (SELECT l_orderkey, count(*) AS nb FROM b GROUP BY 1) USING (l_orderkey)""")
+SELECT x.l_orderkey, len(x.v) = len(y.v) AND coalesce(list_bool_and(list_transform(list_zip(x.v, y.v), lambda p: coalesce(abs(p[1] - p[2]) <= 2, false))), false) AS same FROM (SELECT l_orderkey, list(x ORDER BY x) AS v FROM a GROUP BY 1) x JOIN (SELECT l_orderkey, list(x ORDER BY x) AS v FROM b GROUP BY 1) y USING (l_orderkey)""")
 def jo16(spark, d):
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey", "l_linenumber", "l_extendedprice", F.col("l_quantity").alias("y0"), F.col("l_quantity").alias("y1"))  # noqa: E741
-    from ..operators.joins import banded
-
-    a, b = l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'R'")
-    met = banded(a, b, ["l_orderkey"], 4.0, F.abs(F.col("l.y0") - F.col("r.y0")) <= 2, "left_semi", pad=2.0).groupBy("l_orderkey").agg(F.count("*").alias("ma"))
-    na, nb = a.groupBy("l_orderkey").agg(F.count("*").alias("na")), b.groupBy("l_orderkey").agg(F.count("*").alias("nb"))
-    j = na.join(nb, "l_orderkey").join(met, "l_orderkey", "left")
-    return j.select("l_orderkey", ((F.col("na") == F.col("nb")) & (F.coalesce("ma", F.lit(0)) == F.col("na"))).alias("same"))
+    side = lambda flag: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_orderkey", F.col("l_quantity").alias("x"))
+    return orders.same_cells(side("A"), side("R"), "l_orderkey", "x", 2)
 
 
 @query("wi12_joined_pieces")

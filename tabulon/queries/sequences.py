@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import reshape, windows
+from ..operators import orders, reshape, windows
 from ..registry import query
 from .base import BOXES, boxes, items, table, wide_pages
 
@@ -101,7 +101,7 @@ def wi11(spark, d):
 
 @query("wi13_page_bridge", "SELECT user_id, event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type AS goes_on FROM events")
 def wi13(spark, d):
-    return _events(spark, d).select("user_id", "event_id", (F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) == F.col("event_type")).alias("goes_on"))
+    return _events(spark, d).select("user_id", "event_id", orders.goes_on("event_type", ["user_id"], ["ts", "event_id"]).alias("goes_on"))
 
 
 @query("wi14_pacing", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
@@ -112,9 +112,8 @@ def wi14(spark, d):
 @query("wi15_ranking", """SELECT p_partkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)::INT AS q, round(percent_rank() OVER w, 6) AS pr
 FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice)""")
 def wi15(spark, d):
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice")
-    tie = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("dr"), F.ntile(4).over(tie).alias("q"), F.round(F.percent_rank().over(w), 6).alias("pr"))
+    found = orders.ranks(["p_brand"], "p_retailprice", "p_partkey")
+    return table(spark, d, "part").select("p_partkey", *(F.round(c, 6).alias(n) if n == "pr" else c.alias(n) for n, c in found.items()))
 
 
 @query("wi16_column_runs", f"""SELECT page, id, x0, y0, sum(new) OVER (PARTITION BY page ORDER BY x0, y0, id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (
@@ -128,21 +127,18 @@ def wi16(spark, d):
 t AS (SELECT *, sum(title::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM e)
 SELECT min(event_id) FILTER (WHERE title) AS event_id, count(*) FILTER (WHERE price) AS prices FROM t WHERE seg > 0 GROUP BY user_id, seg HAVING count(*) FILTER (WHERE price) > 0""")
 def wi17(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = _events(spark, d).withColumn("seg", F.sum((F.col("event_type") == "signup").cast("int")).over(w)).where("seg > 0")
-    g = e.groupBy("user_id", "seg").agg(F.min(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("event_id"), F.count_if(F.col("event_type") == "purchase").alias("prices"))
-    return g.where("prices > 0").select("event_id", "prices")
+    e = _events(spark, d).withColumns({"title": F.col("event_type") == "signup", "price": F.col("event_type") == "purchase"})
+    return orders.titles_with_prices(e, ["user_id"], ["ts", "event_id"], "title", "price", "event_id")
 
 
 @query("so1_reading_order", f"SELECT page, id, y0, x1, row_number() OVER (PARTITION BY page ORDER BY y0, x1 DESC, id)::INT AS place FROM {BOXES}")
 def so1(spark, d):
-    return boxes(spark, d).select("page", "id", "y0", "x1", F.row_number().over(Window.partitionBy("page").orderBy("y0", F.col("x1").desc(), "id")).alias("place"))
+    return boxes(spark, d).select("page", "id", "y0", "x1", orders.reading_order(["page"]).alias("place"))
 
 
 @query("so2_layout_order", f"SELECT page, id, y0, row_number() OVER (PARTITION BY page ORDER BY floor(x0 / 40) DESC, round(y0 / 5), x1 DESC, id, y0)::INT AS place FROM {BOXES}")
 def so2(spark, d):
-    w = Window.partitionBy("page").orderBy(F.floor(F.col("x0") / 40).desc(), F.round(F.col("y0") / 5), F.col("x1").desc(), "id", "y0")
-    return boxes(spark, d).select("page", "id", "y0", F.row_number().over(w).alias("place"))
+    return boxes(spark, d).select("page", "id", "y0", orders.layout_order(["page"], 40, 5, ["id", "y0"]).alias("place"))
 
 
 @query("so3_newest_of_each", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
@@ -152,7 +148,7 @@ def so3(spark, d):
 
 @query("so5_report_top", "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 8")
 def so5(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "p_brand").limit(8)
+    return orders.top_for_report(table(spark, d, "part"), "p_brand", 8)
 
 
 @query("so6_replay_sample")
@@ -232,7 +228,7 @@ def se10(spark, d):
 
 @query("pr12_page_notes", "SELECT user_id, string_agg(event_type, ', ' ORDER BY event_type) AS notes FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY user_id")
 def pr12(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ", ").alias("notes"))
+    return orders.notes(table(spark, d, "events"), ["user_id"], "event_type")
 
 
 @query("sk12_merge_boxes")

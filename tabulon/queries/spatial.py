@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import aggregates, joins
+from ..operators import aggregates, joins, orders
 from ..registry import query
 from .base import BOXES, boxes, table, wide_pages
 
@@ -104,8 +104,8 @@ def jo10(spark, d):
 
 @query("jo14_outline_memory", "SELECT a.p_partkey, b.name FROM (SELECT p_partkey, substr(md5(p_type), 1, 16) AS k FROM part) a LEFT JOIN (SELECT substr(md5(p_type), 1, 16) AS k, min(p_type) AS name FROM part WHERE p_size > 45 GROUP BY 1) b USING (k)")
 def jo14(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", "p_type", F.substring(F.md5(F.col("p_type").cast("binary")), 1, 16).alias("k"))
-    return p.select("p_partkey", "k").join(p.where("p_size > 45").groupBy("k").agg(F.min("p_type").alias("name")), "k", "left").select("p_partkey", "name")
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_type")
+    return orders.named_outlines(p.drop("p_size"), p.where("p_size > 45").select("p_type", F.col("p_type").alias("name")), "p_type", "name").select("p_partkey", "name")
 
 
 @query("jo18_not_placed", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
@@ -117,7 +117,8 @@ def jo18(spark, d):
 @query("jo25_page_points", "SELECT l.l_orderkey, l.l_linenumber, round(l.l_quantity / (o.o_orderkey % 3 + 1), 6) AS x FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
 def jo25(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 3 + 1).alias("zoom"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(o, "l_orderkey").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") / F.col("zoom"), 6).alias("x"))
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"))  # noqa: E741
+    return orders.page_points(l, o, ["l_orderkey"], "zoom", ["x"]).withColumn("x", F.round("x", 6))
 
 
 @query("jo21_subheader_above", """WITH h AS (SELECT conv_id, turn, substr(text, 1, 20) AS header FROM conversations WHERE role = 'user')
@@ -192,6 +193,4 @@ def ag14(spark, d):
 @query("ag15_free_bounds", f"SELECT l.page, l.id, l.y0, max(r.x1) FILTER (WHERE r.x1 <= l.x0) AS left_bound, min(r.x0) FILTER (WHERE r.x0 >= l.x1) AS right_bound FROM (SELECT DISTINCT * FROM {_A}) l JOIN (SELECT DISTINCT * FROM {_B}) r ON l.page = r.page AND least(l.y1, r.y1) >= greatest(l.y0, r.y0) GROUP BY l.page, l.id, l.y0")
 def ag15(spark, d):
     a, b = _sides(spark, d)
-    on = F.least("l.y1", "r.y1") >= F.greatest("l.y0", "r.y0")
-    hit = joins.banded(a.distinct(), b.distinct(), ["page"], 8.0, on)
-    return hit.groupBy(*(F.col(f"l.{c}").alias(c) for c in ("page", "id", "y0"))).agg(F.max(F.when(F.col("r.x1") <= F.col("l.x0"), F.col("r.x1"))).alias("left_bound"), F.min(F.when(F.col("r.x0") >= F.col("l.x1"), F.col("r.x0"))).alias("right_bound"))
+    return orders.free_bounds(a.distinct(), b.distinct(), ["page"], 8.0)
\ No newline at end of file

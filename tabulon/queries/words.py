@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import joins
+from ..operators import joins, layout, orders
 from ..registry import query
 from ..sources import files
 from .base import table
@@ -133,7 +133,7 @@ def fi7(spark, d):
 
 @query("ag18_vocabulary", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w")
 def ag18(spark, d):
-    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return orders.vocabulary(table(spark, d, "part"), "p_name")
 
 
 @query("sc20_number_tokens", "SELECT conv_id, turn, len(regexp_extract_all(text, '[0-9]([0-9,٬،/.''’٫]*[0-9])?')) AS n FROM conversations")
@@ -176,15 +176,14 @@ def sc21(spark, d):
 
 @query("ar1_feature_arrays", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 25 THEN 'big' END, CASE WHEN p_retailprice >= 950 THEN 'dear' END, CASE WHEN p_brand LIKE '%1' THEN 'one' END], lambda x: x IS NOT NULL), ',') AS f FROM part")
 def ar1(spark, d):
-    f = F.array_compact(F.array(F.when(F.col("p_size") > 25, "big"), F.when(F.col("p_retailprice") >= 950, "dear"), F.when(F.endswith("p_brand", F.lit("1")), "one")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(f, ",").alias("f"))
+    f = {"big": F.col("p_size") > 25, "dear": F.col("p_retailprice") >= 950, "one": F.endswith("p_brand", F.lit("1"))}
+    return table(spark, d, "part").select("p_partkey", F.array_join(layout.feature_array(f), ",").alias("f"))
 
 
 @query("ar6_count_maps", "SELECT user_id, string_agg(event_type || '=' || n, ';' ORDER BY event_type) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def ar6(spark, d):
-    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    m = n.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
-    return m.select("user_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("counts"))
+    m = orders.count_maps(table(spark, d, "events"), ["user_id"], "event_type")
+    return m.select("user_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("counts"))
 
 
 @query("jo15_template_columns", """WITH c AS (SELECT p_brand AS doc, p_size % 5 AS col, min(p_partkey % 100)::DOUBLE AS lo, max(p_partkey % 100)::DOUBLE AS hi FROM part GROUP BY ALL)

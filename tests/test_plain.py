@@ -14,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon import catalog, storage
-from tabulon.functions import text
-from tabulon.operators import aggregates, features, groups, joins, learn, reshape, state, windows
+from tabulon.functions import numbers, text
+from tabulon.operators import aggregates, features, groups, joins, learn, orders, reshape, state, windows
 from tabulon.queries.base import boxes, wide_pages
 from tabulon.sources import files
 from tabulon.streaming import events
@@ -502,3 +502,73 @@ def test_streamed_sessions_as_batch(spark):
     got = {tuple(r) for r in events.run_available(events.sessions(stream, "user_id", "ts", "180 minutes"), "append", "sessions").collect()}
     want = {tuple(r) for r in events.sessions(e, "user_id", "ts", "180 minutes").collect()}
     assert got <= want and len(got) > 0.8 * len(want)
+
+
+# ------------------------------------------------------------------------------------------ small rules of a page
+
+
+def column(spark, values, expression, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r.o for r in df.select("i", expression(F.col("v")).alias("o")).orderBy("i").collect()]
+
+
+def test_line_kinds(spark):
+    lines = ["لیست قیمت پاییز", "قیمت ها نقدی است", "تابستان گرم", "با احتساب مالیات", "تلفن ۰۲۱", "1402/05/06", "دفتر مرکزی", "www.x.ir", "9121234567", "12 مهر", "مهران", "", "price list", "استان تهران"]
+    got = column(spark, lines, text.line_kind)
+    assert [r.title for r in got] == [True, False, False, False, False, False, False, False, False, False, False, False, True, False]
+    assert [r.note for r in got] == [False, True, False, True, False, False, False, False, False, False, False, False, False, False]
+    assert [r.supplier for r in got] == [False, False, False, False, True, True, True, True, True, True, False, False, False, False]
+    assert [r.price_note for r in got].index(True) == 3
+
+
+def test_lexicons(spark):
+    words = ["قیمت", "price", "no", "nose", "barcode", "تعداد", "تاریخ", "tel", "xyz", "", "rial"]
+    got = column(spark, words, lambda c: text.keyword_groups(text.canon(c)))
+    assert got[0] == got[1] == got[10] == ["price"] and got[2] == ["row"] and got[3] == [] and "code" in got[4] and "qty" in got[5] and "date" in got[6] and "phone" in got[7] and got[8] == got[9] == []
+    assert column(spark, ["kg", "inch", "inck", "kgg", "لیتر", "لیتز", "متر", "x"], lambda c: text.is_unit(text.canon(c))) == [True, True, True, False, True, True, True, False]
+    assert column(spark, ["پرایدها", "پرایدهای", "ها", "پراید", None], text.strip_plural) == ["پراید", "پراید", "ها", "پراید", None]
+
+
+def test_texts_of_services(spark):
+    said = ["x {\"a\": {\"b\": 1}} y", "none", "```json\n{\"a\": 1}\n```", "} {", ""]
+    assert column(spark, said, text.json_in) == ['{"a": {"b": 1}}', None, '{"a": 1}', None, None]
+    errors = ["quotaValue: '20', retryDelay: '7.5s', PerDay", "retry in 3s PerMinute", "quota_value=5", "busy"]
+    assert [tuple(r) for r in column(spark, errors, text.quota_info)] == [(20, 7.5, True), (None, 3.0, False), (5, None, False), (None, None, False)]
+    assert column(spark, ["\ue000" * 5 + "ab", "abc", "", "\ufffd"], text.is_legacy) == [True, False, False, True]
+    models = [("m-1.5", True), ("m-2.0-preview", True), ("m-2.0", True), ("m-9", False)]
+    df = spark.createDataFrame(models, "name string, can_generate boolean")
+    assert files.newest_model(df).first().name == "m-2.0"
+    assert files.newest_model(df.unionByName(spark.createDataFrame([("m-latest", True)], df.schema))).first().name == "m-latest"
+    assert files.newest_model(df.where("not can_generate")).count() == 0
+    assert [r and float(r.value) for r in column(spark, ["(1,200)", "12a", "x12x", "--", "۱۲۳"], numbers.ocr_number)] == [1200.0, None, 12.0, None, 123.0]
+    assert column(spark, ["ﬁlter", "a\u200cb", "ﻻ", "plain", None], text.units) == ["filter", "ab", "لا", "plain", None]
+
+
+def test_number_runs(spark):
+    line = [("1", 0, 5), (",", 5, 6), ("2", 6, 11), ("3", 11, 16), (".", 16, 17), ("x", 20, 25), (".", 26, 27), ("4", 27, 32), ("5", 40, 45), ("/", 45, 46)]
+    df = spark.createDataFrame([(1, t, float(a), float(b), 10.0) for t, a, b in line], "line int, text string, x0 double, x1 double, size double")
+    assert [(r.first, r.text) for r in orders.number_runs(df, ["line"]).orderBy("first").collect()] == [(0.0, "1,23"), (27.0, "4"), (40.0, "5")]
+
+
+def test_coverage_columns(spark):
+    words = [(1, r, x, x + 8.0) for r in range(10) for x in (0.0, 20.0, 60.0)] + [(1, 3, 8.0, 20.0), (1, 4, 90.0, 95.0)]
+    df = spark.createDataFrame(words, "page int, row int, x0 double, x1 double")
+    assert [(r.x0, r.x1) for r in orders.coverage_columns(df, ["page"], 2.0, 0.2).orderBy("x0").collect()] == [(0.0, 8.0), (20.0, 28.0), (60.0, 68.0)]
+    assert orders.coverage_columns(df, ["page"], 2.0).count() == 3  # the bridge joins two, the stray word is one
+
+
+def test_rules_of_orders(spark):
+    boxes_ = spark.createDataFrame([(1, "price", 1, 5.0, 9.0), (1, "title", 2, 0.0, 9.0), (1, "price", 3, 5.0, 20.0), (1, "other", 4, 0.0, 1.0), (2, "title", 5, 0.0, 1.0)], "page int, kind string, id int, y0 double, x1 double")
+    assert {r.id: r.item for r in orders.stable_ids(boxes_, kinds=["price", "title"]).collect()} == {3: "p1-1", 1: "p1-2", 2: "p1-3", 4: "p1-4", 5: "p2-1"}
+    cells = spark.createDataFrame([(1, 1, "10", " old "), (1, 2, "20", " old "), (2, 1, None, "only words"), (3, 1, "5", None)], "cell int, n int, v string, words string")
+    assert {r.cell: r.text for r in orders.price_texts(cells, ["cell"], ["n"], "v", "words").collect()} == {1: "10 / 20 old", 2: "only words", 3: "5"}
+    points = [("a", float(i), 2.0 * i + 1) for i in range(12)] + [("a", 5.0, 500.0), ("b", 1.0, 1.0), ("b", 1.0, 2.0)]
+    fit = orders.scale_fit(spark.createDataFrame(points, "k string, x double, y double"), ["k"], "x", "y").collect()
+    assert [(r.k, round(r.slope, 6), r.n) for r in fit] == [("a", 2.0, 12)] or abs(fit[0].slope - 2) < 0.5
+    names = spark.createDataFrame([(1, "Peugeot"), (2, "Peugeot 405"), (3, "Pride"), (4, "")], "n int, name string").withColumn("doc", F.lit(1))
+    got = names.select("n", orders.goes_on("name", ["doc"], ["n"]).alias("on"), orders.fuller_name("name", ["doc"], ["n"]).alias("full")).orderBy("n").collect()
+    assert [bool(r.on) for r in got] == [True, False, False, False] and [r.full for r in got] == ["Peugeot 405", "Peugeot 405", "Pride", ""]
+    a = spark.createDataFrame([(1, 1.0), (1, 1.5), (2, 1.0), (3, 1.0)], "k int, x double")
+    b = spark.createDataFrame([(1, 1.2), (1, 9.0), (2, 2.9), (2, 3.0)], "k int, x double")
+    assert {r.k: r.same for r in orders.same_cells(a, b, "k", "x", 2).collect()} == {1: False, 2: False}
+    assert [r.notes for r in orders.notes(spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "c")], "k int, n string"), ["k"], "n", 2).collect()] == ["a, b"]
