@@ -25,10 +25,13 @@ def most_frequent(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def majority(votes: DataFrame, target: str = "target") -> DataFrame:
-    """AG4: the first vote (vote_ord) whose digits two votes have at least, and that is a number."""
-    v = votes.withColumn("_d", digits_of(F.col("text"))).where((F.col("_d") != "") & parse_number(F.col("text")).isNotNull())
-    same = v.groupBy(target, "_d").agg(F.count("*").alias("_n"), F.min(F.struct("vote_ord", "text")).alias("_first")).where("_n >= 2")
-    return same.groupBy(target).agg(F.min("_first").alias("_f")).select(target, F.col("_f.text").alias("text"))
+    """AG4: the first vote (vote_ord) whose digits two votes have at least, and that is a number. Only votes with a second
+    one beside them are read as numbers."""
+    v = votes.withColumn("_d", digits_of(F.col("text"))).where("_d <> ''")
+    same = v.groupBy(target, "_d").agg(F.collect_list(F.struct("vote_ord", "text")).alias("_votes")).where(F.size("_votes") >= 2)  # a target has a vote a reading
+    said = same.select(target, F.explode("_votes").alias("_v")).select(target, "_v.vote_ord", "_v.text")
+    read = said.where(parse_number(F.col("text")).isNotNull())
+    return read.groupBy(target).agg(F.min(F.struct("vote_ord", "text"))["text"].alias("text"))
 
 
 def upper_median(c: Column) -> Column:
