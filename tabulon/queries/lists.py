@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text
 from ..functions.numbers import digits_of
-from ..operators import aggregates, features, groups, joins, layout, learn, pricing, reshape, state
+from ..operators import aggregates, features, groups, joins, layout, learn, orders, pricing, reshape, state
 from ..plans.commands import Outcome, Plan, interpret, parse_groups, plan_from_json, read_values
 from ..registry import query
 from ..sources import files
@@ -228,3 +228,35 @@ def se2(spark, d):
 @query("st6_units", "SELECT p_partkey, replace(p_name, 'fi', 'fi') AS t FROM part")
 def st6(spark, d):
     return table(spark, d, "part").select("p_partkey", text.units(F.replace(F.col("p_name"), F.lit("fi"), F.lit("ﬁ"))).alias("t"))
+
+
+@query("sc22_covered_columns", f"SELECT page, dense_rank() OVER (PARTITION BY page ORDER BY id) AS col, x0, x1 FROM (SELECT DISTINCT page, id, x0, x1 FROM {BOXES})")
+def sc22(spark, d):
+    words = boxes(spark, d).select("page", F.col("y0").alias("row"), "x0", "x1")
+    return orders.coverage_columns(words, ["page"], 1.0)
+
+
+@query("sc20_number_runs", "SELECT p_partkey, string_split(p_name, ' ')[1] || '' AS first, (p_size * 7)::VARCHAR AS text FROM part".replace("string_split(p_name, ' ')[1] || '' AS first", "0.0::DOUBLE AS first"))
+def sc20_runs(spark, d):
+    shown = F.concat((F.col("p_size") * 7).cast("string"), F.lit("/x"))
+    glyphs = table(spark, d, "part").select("p_partkey", F.posexplode(F.split(shown, "")).alias("n", "text")).where("text <> ''")
+    glyphs = glyphs.select("p_partkey", "text", (F.col("n") * 5.0).alias("x0"), (F.col("n") * 5.0 + 5).alias("x1"), F.lit(10.0).alias("size"))
+    return orders.number_runs(glyphs, ["p_partkey"])
+
+
+_SIDE = "(SELECT DISTINCT page, id, x0, y0, x1, y1 FROM " + BOXES + " WHERE flag {f} 'R')"
+
+
+@query("jo19_outside_titles", f"SELECT * FROM {_SIDE.format(f='<>')} w WHERE NOT EXISTS (SELECT 1 FROM {_SIDE.format(f='=')} t WHERE t.page = w.page AND (w.x0 + w.x1) / 2 BETWEEN t.x0 - 15 AND t.x1 + 15 AND (w.y0 + w.y1) / 2 BETWEEN t.y0 AND t.y1)")
+def jo19(spark, d):
+    b = boxes(spark, d)
+    side = lambda c: b.where(c).select("page", "id", "x0", "y0", "x1", "y1").distinct()
+    titles = side("flag = 'R'").withColumns({"x0": F.col("x0") - 15, "x1": F.col("x1") + 15})
+    return layout.not_in_titles(side("flag <> 'R'"), titles, ["page"], 8.0)
+
+
+@query("sk12_merged_rows", f"""WITH b AS (SELECT DISTINCT page, y0, y1 FROM {BOXES} WHERE id = 1), s AS (SELECT *, CASE WHEN y0 <= max(y1) OVER (PARTITION BY page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS new FROM b),
+g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT page, min(y0) AS y0, max(y1) AS y1 FROM g GROUP BY page, k""")
+def sk12_rows(spark, d):
+    b = boxes(spark, d).where("id = 1").select("page", "x0", "y0", "x1", "y1").unionByName(boxes(spark, d).where("id = 1").select("page", "x0", "y0", "x1", "y1"))
+    return aggregates.merge_boxes(b).select("page", "y0", "y1")

@@ -471,6 +471,16 @@ def test_updates(spark):
     assert got == [(1, 9, "photo", "big", "c", "al", None), (2, 9, "file", "f", None, None, None), (3, 8, "button", None, None, None, "ok")]
 
 
+def test_settings(spark):
+    from tabulon.session import DEFAULTS, setting
+
+    assert all(setting(spark, k) == v for k, (_, v) in DEFAULTS.items())
+    for raw, name, want in (("7", "trust.after", 7), ("many", "trust.after", 2), (" ", "trust.after", 2), ("Yes", "local.only", True), ("0", "local.only", False), ("Europe/Paris", "quota.zone", "Europe/Paris")):
+        spark.conf.set(f"tabulon.{name}", raw)
+        assert setting(spark, name) == want and type(setting(spark, name)) is DEFAULTS[name][0]
+        spark.conf.unset(f"tabulon.{name}")
+
+
 def test_light_types(spark):
     assert state.light_only(spark.range(1).select(F.array(F.struct("id")).alias("a"), F.create_map(F.lit("k"), F.current_timestamp()).alias("m"))).count() == 1
     with pytest.raises(TypeError, match="b"):
