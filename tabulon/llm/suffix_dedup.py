@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, id_back, id_of, partitions, scratch_table
-from .tokens import mix, slices
+from .common import cut, id_back, id_of, partitions, scratch_table, union
+from .tokens import groups, mix, slices
 
 #: The shortest strings that can be sought, and the longest gram that minimisers are made of less than these.
-SHORTEST, ROOM = 12, 18
+SHORTEST, ROOM = 12, 34
+#: Parts of a bucket, by the minimiser's hash: each is sorted by itself, in arrays that stay in the processor's cache.
+PARTS = 16
 
 
 def gram_of(least: int) -> int:
     """Bytes of a minimiser's gram: long, so that few grams repeat without the string around them, but short enough for
-    a string to hold several, of which the least is chosen. A segment around a minimiser has at most 64 starts."""
+    a string to hold several, of which the least is chosen. A segment around a minimiser has at most ROOM + 1 starts."""
     if least < SHORTEST:
         raise ValueError(f"strings of at least {SHORTEST} bytes, not {least}")
     return max(8, least - ROOM)
@@ -99,70 +103,112 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def _segments_of(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, text number, minimiser's hash) of the segments of some texts, joined."""
+    gram = gram_of(least)
+    window = least - gram + 1
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n, none = len(data) - least + 1, np.zeros(0, np.int64)
+    if n <= 0:
+        return none, none, none, np.zeros(0, np.uint64)
+    view, n_grams = _eights(data), len(data) - gram + 1
+    h = np.zeros(n_grams, np.uint64)
+    for o in sorted({*range(0, gram - 7, 8), gram - 8}):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + view[o : o + n_grams])
+    least_of = _slide(h, window, np.minimum)
+    # the grams that are the least of some window; each window's is the first of these that it holds with its value
+    pad = np.zeros(window - 1, np.uint64)
+    is_chosen = _slide(np.concatenate([pad, least_of, pad]), window, np.maximum) == h
+    chosen = np.flatnonzero(is_chosen)
+    value = h[chosen]
+    at = (np.cumsum(is_chosen, dtype=np.int32) - is_chosen)[:n]  # of each place, the first of these from there on
+    wrong = np.flatnonzero(value[at] != least_of)
+    while len(wrong):
+        at[wrong] += 1
+        wrong = wrong[value[at[wrong]] != least_of[wrong]]
+    long = size >= least
+    inside = np.zeros(n + 1, np.int8)  # starts of strings that end in their text
+    np.add.at(inside, start[long], 1)
+    np.add.at(inside, np.minimum(start[long] + size[long] - least + 1, n), -1)
+    whole = np.cumsum(inside[:n], dtype=np.int8) > 0
+    edge = np.ones(n, bool)
+    edge[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1])
+    edge[start[long]] = True
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], n) - 1
+    kept = whole[first]
+    first, last = first[kept], last[kept]
+    return first, last + least, np.searchsorted(start, first, "right") - 1, value[at[first]]
+
+
 class Run:
-    """Some texts, joined; the places of their minimisers: every string of `least` bytes inside a text has one, at the
-    same place in it wherever it occurs."""
+    """Some texts, joined, and their segments. Every string of `least` bytes inside a text has a minimiser: the first of
+    its grams with the least hash, at the same place in it wherever it occurs. A segment (`low` to `high`) holds
+    neighbouring strings with one minimiser, so each string lies in one segment."""
 
     def __init__(self, texts: list[bytes], least: int):
-        gram = gram_of(least)
-        self.least, self.window = least, least - gram + 1
+        self.least = least
         self.size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.bytes = b"".join(texts)
-        data = np.frombuffer(self.bytes, np.uint8)
-        n = len(data) - least + 1
-        if n <= 0:
-            self.place = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
-        else:
-            view = _eights(data)[: len(data) - 7]
-            n_grams = len(data) - gram + 1
-            h = np.zeros(n_grams, np.uint64)
-            for o in [*range(0, gram - 7, 8), gram - 8][: -1 if gram % 8 == 0 else None]:
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + view[o : o + n_grams])
-            low = _slide(h, self.window, np.minimum)
-            # a gram is chosen if it is the least of some window that holds it
-            pad = np.zeros(self.window - 1, np.uint64)
-            high = _slide(np.concatenate([pad, low, pad]), self.window, np.maximum)
-            at = np.flatnonzero(high == h)
-            of = np.searchsorted(self.start, at, "right") - 1
-            inside = (at + gram <= self.start[of] + self.size[of]) & (self.size[of] >= least)
-            self.place, self.hash = at[inside], h[at[inside]]
-        self.of = np.searchsorted(self.start, self.place, "right") - 1
+        parts = []
+        for at, held in groups(texts, 1 << 18):  # pieces whose arrays stay in the processor's cache
+            low, high, of, h = _segments_of(held, least)
+            parts.append((low + self.start[at], high + self.start[at], of + at, h))
+        none = np.zeros(0, np.int64)
+        self.low, self.high, self.of, self.hash = (np.concatenate(x) for x in zip(*(parts or [(none, none, none, np.zeros(0, np.uint64))]), strict=True))
 
     def buckets(self, n: int) -> np.ndarray:
         return ((self.hash >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
 
-    def segments(self, doc: np.ndarray, n: int, repeated: dict[int, np.ndarray], frequent: dict[int, np.ndarray]):
-        """For each bucket the distinct segments around repeated minimisers: (segment, its occurrences as text numbers
-        and places, the least doc). Around a minimiser a segment holds all strings with it; of frequent ones each string
-        is a segment of its own, dealt by its own hash."""
-        bucket, short = self.buckets(n), (self.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        found: dict[int, dict[bytes, list]] = {}
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(n + 1))
-        none = np.zeros(0, np.uint32)
-        for k in repeated:
-            own = order[edges[k] : edges[k + 1]]
-            own = own[np.isin(short[own], repeated[k])]
-            text, p = self.of[own], self.place[own]
-            low = np.maximum(self.start[text], p - self.window + 1)
-            high = np.minimum(self.start[text] + self.size[text], p + self.least)
-            asked = frequent.get(k, none)
-            often = np.isin(short[own], asked) if len(asked) else np.zeros(len(own), bool)
-            whole = ~often & (high - low >= self.least)
-            here = found.setdefault(k, {})
-            for t, a, b in zip(text[whole].tolist(), low[whole].tolist(), high[whole].tolist(), strict=True):
-                piece = self.bytes[a:b]
-                if piece in here:
-                    here[piece].append((t, a))
-                else:
-                    here[piece] = [(t, a)]
-            for t, a, b in zip(text[often].tolist(), low[often].tolist(), high[often].tolist(), strict=True):
-                for s in range(a, b - self.least + 1):
-                    piece = self.bytes[s : s + self.least]
-                    found.setdefault(int.from_bytes(xxhash.xxh64_digest(piece)) % n, {}).setdefault(piece, []).append((t, s))
-        return {k: [(piece, at, min(int(doc[t]) for t, _ in at)) for piece, at in sorted(v.items())] for k, v in sorted(found.items()) if v}
+    def segments(self, doc: np.ndarray, n: int, repeated: dict[int, np.ndarray], frequent: dict[int, np.ndarray]) -> Segments:
+        """The distinct segments of repeated minimisers, bucket by bucket. Of frequent minimisers each string is a segment
+        of its own, dealt by its own hash."""
+        bucket, short = self.buckets(n), self.hash & np.uint64(0xFFFFFFFF)
+        key = bucket.astype(np.uint64) << np.uint64(32) | short
+
+        def held(told: dict[int, np.ndarray]) -> np.ndarray:
+            asked = [x.astype(np.uint64) | np.uint64(k << 32) for k, x in told.items() if len(x)]
+            return np.isin(key, np.concatenate(asked)) if asked else np.zeros(len(key), bool)
+
+        often = held(frequent)
+        whole = np.flatnonzero(held(repeated) & ~often)
+        often = np.flatnonzero(often)
+        times = self.high[often] - self.low[often] - self.least + 1
+        place = np.repeat(self.low[often] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        alone = [self.bytes[p : p + self.least] for p in place.tolist()]
+        h = np.array([xxhash.xxh64_intdigest(x) for x in alone], np.uint64)
+        pieces = [self.bytes[x:y] for x, y in zip(self.low[whole].tolist(), self.high[whole].tolist(), strict=True)] + alone
+        bucket = np.concatenate([bucket[whole], (h // np.uint64(PARTS) % np.uint64(n)).astype(np.int64)])
+        part = np.concatenate([self.hash[whole], h]) % np.uint64(PARTS)
+        short = np.concatenate([short[whole], h >> np.uint64(32)])
+        text = np.concatenate([self.of[whole], np.repeat(self.of[often], times)])
+        place = np.concatenate([self.low[whole], place])
+        order = np.lexsort((part, bucket))
+        number: dict[bytes, int] = {}
+        own = np.array([number.setdefault(pieces[i], len(number)) for i in order.tolist()], np.int64)
+        text, place = text[order], place[order]
+        _, first = np.unique(own, return_index=True)
+        least = np.full(len(number), 2**63 - 1, np.int64)
+        np.minimum.at(least, own, doc[text])
+        return Segments(list(number), bucket[order][first], part[order][first].astype(np.int64), short[order][first].astype(np.uint32), least, own, text, place)
+
+
+@dataclass
+class Segments:
+    """Distinct segments in order of their buckets and parts (pieces, bucket, part, the minimiser's short hash, the least
+    document that has it), and all their occurrences (own: which segment, text, place)."""
+
+    pieces: list[bytes]
+    bucket: np.ndarray
+    part: np.ndarray
+    short: np.ndarray
+    first: np.ndarray
+    own: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
 
 
 def _runs(most: int):
@@ -206,8 +252,11 @@ def _minimisers(least: int, n: int):
         for batch in batches:
             for r in batch.to_pylist():
                 doc, texts = _read(r, least)
-                pair = np.unique(np.stack([texts.hash, texts.of.astype(np.uint64)], axis=1), axis=0) if len(texts.hash) else np.zeros((0, 2), np.uint64)
-                h, times = np.unique(pair[:, 0], return_counts=True)
+                order = np.argsort(texts.hash, kind="stable")  # within a hash the texts stay in order
+                h, of = texts.hash[order], texts.of[order]
+                other = np.ones(len(h), bool)
+                other[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                h, times = np.unique(h[other], return_counts=True)
                 many = times > max(8, len(doc) // 32)
                 bucket = ((h >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
                 h = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -248,15 +297,23 @@ def _told(table) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
     return {r["bucket"]: np.frombuffer(r["repeated"], np.uint32) for r in rows}, {r["bucket"]: np.frombuffer(r["frequent"], np.uint32) for r in rows}
 
 
+_SENT = "run string, bucket int, part binary, short binary, size binary, data binary, first binary"
+
+
 def _segments(least: int, n: int):
+    names = [x.split()[0] for x in _SENT.split(", ")]
+
     def run(key, texts, told):
         out = []
         for r in texts.to_pylist():
             doc, own = _read(r, least)
-            for k, found in own.segments(doc, n, *_told(told)).items():
-                out.append((r["run"], k, np.array([len(x[0]) for x in found], np.uint16).tobytes(), b"".join(x[0] for x in found), np.array([x[2] for x in found], np.int64).tobytes()))
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["run", "bucket", "size", "data", "first"])
+            s = own.segments(doc, n, *_told(told))
+            edges = np.searchsorted(s.bucket, np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                i = slice(edges[k], edges[k + 1])
+                size = np.array([len(x) for x in s.pieces[i]], np.uint16)
+                out.append((r["run"], k, s.part[i].astype(np.uint8).tobytes(), s.short[i].tobytes(), size.tobytes(), b"".join(s.pieces[i]), s.first[i].tobytes()))
+        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.int32(), *[pa.binary()] * 5))], names=names)
 
     return run
 
@@ -292,15 +349,31 @@ def _cover(least: int):
         that hold the segment has it."""
         rows = table.to_pylist()
         number: dict[bytes, int] = {}
-        read = []
+        read, part, short = [], [], []
         for r in rows:
             ends = np.cumsum(np.frombuffer(r["size"], np.uint16).astype(np.int64)).tolist()
-            read.append((np.array([number.setdefault(r["data"][a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)], np.int64), np.frombuffer(r["first"], np.int64)))
-        first = np.full(len(number), 2**63 - 1, np.int64)
+            before = len(number)
+            i = np.array([number.setdefault(r["data"][a:b], len(number)) for a, b in zip([0, *ends], ends, strict=False)], np.int64)
+            new = np.unique(i[i >= before], return_index=True)[1]  # in the order they came
+            for held, c, kind in ((part, "part", np.uint8), (short, "short", np.uint32)):
+                held.append(np.frombuffer(r[c], kind)[i >= before][new])
+            read.append((i, np.frombuffer(r["first"], np.int64)))
+        part, short = np.concatenate(part).astype(np.int64), np.concatenate(short)
+        pieces = list(number)
+        first = np.full(len(pieces), 2**63 - 1, np.int64)
         for i, d in read:
             np.minimum.at(first, i, d)
-        of, owner = owners(list(number), first, least)
-        at = np.searchsorted(of, np.arange(len(number) + 1))
+        every = np.array([len(x) for x in pieces], np.int64) - least + 1
+        at = np.concatenate([[0], np.cumsum(every)])
+        owner = np.repeat(first, every)
+        # a minimiser with one segment has no string in another; the others are sorted, part by part
+        _, group, many = np.unique(short, return_inverse=True, return_counts=True)
+        for k in range(PARTS):
+            several = np.flatnonzero((many[group] > 1) & (part == k))
+            if len(several):
+                of, found = owners([pieces[i] for i in several.tolist()], first[several], least)
+                place = np.repeat(at[several], every[several]) + np.arange(len(of)) - np.repeat(np.cumsum(every[several]) - every[several], every[several])
+                owner[place] = found
         out = []
         for r, (i, d) in zip(rows, read, strict=True):
             n = at[i + 1] - at[i]
@@ -326,22 +399,19 @@ def _strip(least: int, n: int):
         out = []
         for r in texts.to_pylist():
             doc, own = _read(r, least)
-            up, down = [], []  # ends of runs of covered strings' starts
-            for k, found in own.segments(doc, n, dict(sorted(asked.items())), often).items():
-                for (piece, at, low), mask in zip(found, masks[k].tolist(), strict=True):
-                    every = len(piece) - least + 1
-                    whole = mask == (1 << every) - 1
-                    bits = [] if whole else [o for o in range(every) if mask >> o & 1]
-                    for text, place in at:
-                        if whole or doc[text] > low:
-                            up.append(place)
-                            down.append(place + every)
-                        elif bits:
-                            up += [place + o for o in bits]
-                            down += [place + o + 1 for o in bits]
-            gone = np.zeros(len(own.bytes) + 1, np.int32)
-            np.add.at(gone, np.array(up, np.int64), 1)
-            np.add.at(gone, np.array(down, np.int64), -1)
+            found = own.segments(doc, n, dict(sorted(asked.items())), often)
+            mask = np.concatenate([np.zeros(0, np.uint64), *(masks[k] for k in sorted(masks))])
+            size = np.array([len(x) for x in found.pieces], np.int64) - least + 1
+            every = size[found.own] if len(size) else size
+            gone = np.zeros(len(own.bytes) + 1, np.int32)  # starts of covered strings
+            later = doc[found.text] > found.first[found.own]  # another text of this run has it before
+            np.add.at(gone, found.place[later], 1)
+            np.add.at(gone, found.place[later] + every[later], -1)
+            mine, place = mask[found.own[~later]], found.place[~later]
+            for o in range(int(size.max(initial=0))):
+                hit = place[(mine >> np.uint64(o) & np.uint64(1)).astype(bool)] + o
+                np.add.at(gone, hit, 1)
+                np.add.at(gone, hit + 1, -1)
             starts = np.flatnonzero(np.cumsum(gone[:-1]) > 0)
             change = np.zeros(len(own.bytes) + 1, np.int32)
             np.add.at(change, starts, 1)
@@ -361,6 +431,66 @@ def _strip(least: int, n: int):
     return run
 
 
+def _level(sample: DataFrame, step: int) -> DataFrame:
+    """Names of the places by three names in a row, `step` bytes apart: equal names for equal triples, in their order. One
+    range-partitioned sort; equal triples share a partition, so a name is its rank there after those before it."""
+    w = Window.partitionBy("doc", "rest").orderBy("i")
+    triple = sample.select("doc", "rest", "i", "name", F.coalesce(F.lead("name", step).over(w), F.lit(0)).alias("n2"), F.coalesce(F.lead("name", 2 * step).over(w), F.lit(0)).alias("n3"))
+    key = ["name", "n2", "n3"]
+    held = cut(triple.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "triples")
+    rank = held.withColumn("rank", F.dense_rank().over(Window.partitionBy("part").orderBy(*key)))
+    sizes = rank.groupBy("part").agg(F.max("rank").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return cut(rank.join(F.broadcast(before), "part").select("doc", "rest", "i", (F.col("rank") + F.col("before")).alias("name")), "names")
+
+
+def _bytes(batches):
+    for batch in batches:
+        texts = [np.frombuffer(t, np.uint8) for t in batch.column(1).to_pylist()]
+        doc = np.repeat(batch.column(0).to_numpy(), [len(t) for t in texts])
+        i = np.concatenate([np.arange(len(t)) for t in texts] or [np.zeros(0, np.int64)])
+        b = np.concatenate(texts or [np.zeros(0, np.uint8)]).astype(np.int64) + 1
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(i[part]), pa.array(b[part])], names=["doc", "i", "b"])
+
+
+def earlier_starts(docs: DataFrame, least: int = 50) -> DataFrame:
+    """(doc, i): the places at which a string of `least` bytes starts that also starts in a document with a smaller id, of
+    docs (doc, text as bytes; ids differ). The whole difference cover over all suffixes as stages of the cluster: the
+    sample (places 1 and 2 modulo 3) is sorted by triples of bytes, then again and again by triples of its names, until
+    three of these span `least` bytes; places 0 modulo 3 are merged in by their first bytes and the next sampled name; equal
+    neighbours in these orders are equal strings, and the least of their documents is the owner.
+
+    Every place is a row that is shuffled at each level, so this moves far more than ten times the texts. It is here to
+    hold `remove_repeats` against, and to be measured."""
+    every = cut(docs.mapInArrow(_bytes, "doc long, i long, b long").withColumn("rest", (F.col("i") % 3).cast("int")), "bytes")
+    w = Window.partitionBy("doc").orderBy("i")
+    ahead = {f"b{k}": F.coalesce(F.lead("b", k).over(w), F.lit(0)) for k in (1, 2)} | {"end": F.lead("b", least - 1).over(w), "end2": F.lead("b", least - 2).over(w)}
+    near = cut(every.withColumns(ahead), "near")
+    # a first name is a triple of bytes as one number
+    sample = cut(near.where("rest > 0").select("doc", "rest", "i", ((F.col("b") * 257 + F.col("b1")) * 257 + F.col("b2")).alias("name")), "names")
+    known = 3
+    while 3 * known <= least - 2:
+        sample, known = _level(sample, known // 3), 3 * known
+    # names of a string's part from a sampled place on: three of them, which may overlap, and the last two bytes beside
+    v = Window.partitionBy("doc", "rest").orderBy("i")
+    both = near.where("end is not null").select("doc", "i", "rest", "b", "b1", "end", "end2")
+    for k in range(3):
+        far = (least - k) // 3 * 3 - known
+        part = F.struct("name", F.lead("name", min(known, far) // 3).over(v).alias("n2"), F.lead("name", far // 3).over(v).alias("n3"))
+        both = both.join(sample.select("doc", (F.col("i") - k).alias("i"), part.alias(f"r{k}")), ["doc", "i"], "left")
+    both = cut(both, "starts")
+    # equal strings at two places have a sampled name in common at the same distance: 0, 1 or 2 bytes on
+    same = [(["r0", "end2", "end"], [1, 2]), (["b", "r1", "end2", "end"], [0, 1]), (["b", "b1", "r2", "end2", "end"], [0, 2])]
+    owners = []
+    for key, rests in same:
+        rows = both.where(F.col("rest").isin(rests)).select("doc", "i", *key)
+        owner = rows.groupBy(*key).agg(F.min("doc").alias("owner"))
+        owners.append(rows.join(owner, key).where("owner < doc").select("doc", "i"))
+    return union(owners).distinct()
+
+
 def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, bucket_bytes: int = 2 << 20, max_runs: int = 2000) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every whole text without the bytes that a string of `least` bytes
     covers which also starts in a document with a smaller doc_id. Strings are judged on the input; matches don't cross
@@ -368,8 +498,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, b
 
     Method. A distributed difference cover over the whole corpus would move each sampled suffix, with its names, once a
     level; so suffixes that can't repeat go first. Texts lie in runs of about run_bytes; each string of `least` bytes
-    has a minimiser, and runs tell buckets of minimiser hashes which they have (four bytes each). Only around minimisers
-    of two texts at least are segments cut out, each holding all strings with its minimiser, and dealt to the same
+    has a minimiser, and runs tell buckets of minimiser hashes which they have (four bytes each). Only for minimisers
+    of two texts at least are segments cut out, which hold the strings with that minimiser, and dealt to the same
     buckets; equal segments of a run go once, with their least doc_id. Every bucket sorts its distinct segments'
     suffixes by the difference-cover algorithm (triples at places 1 and 2 modulo 3, recursion on names, merge) and
     compares adjacent prefixes of `least` bytes; what goes back to a run is a bit for each string of its segments. For
@@ -392,8 +522,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, b
     minimisers = texts.select("run", "doc", "size", "data").mapInArrow(_minimisers(least, n), "run string, bucket int, one binary, more binary, many binary")
     schema = "run string, bucket int, repeated binary, frequent binary"
     told = cut(minimisers.groupBy("bucket").applyInArrow(_repeated(max_runs), schema), "repeated")
-    by = "run string, bucket int, size binary, data binary, first binary"
-    segments = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_segments(least, n), by)
+    segments = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_segments(least, n), _SENT)
     masks = segments.groupBy("bucket").applyInArrow(_cover(least), "run string, bucket int, mask binary")
     answers = cut(told.withColumn("mask", F.lit(None).cast("binary")).unionByName(masks, allowMissingColumns=True), "answers")
     out = texts.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_strip(least, n), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
