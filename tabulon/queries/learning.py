@@ -8,7 +8,7 @@ from ..functions.dates import quota_day
 from ..operators import aggregates, learn, orders
 from ..registry import query
 from ..streaming import events as s
-from .base import table
+from .base import stream, table
 
 
 @query("ag2_currency", "SELECT user_id, arg_min(event_type, (-n, event_type)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -218,7 +218,7 @@ def sm1(spark, d):
 
 @query("sm2_ordered_answers", "SELECT conv_id, turn, role FROM conversations")
 def sm2(spark, d):
-    c = spark.readStream.schema(table(spark, d, "conversations").schema).option("pathGlobFilter", "conversations*").parquet(d)
+    c = stream(spark, d, "conversations")
     least = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first"))
     rows = c.select("conv_id", "turn", "role").join(least, "conv_id").select("conv_id", (F.col("turn") - F.col("first")).alias("turn"), "role")
     out = s.run_available(s.in_order(rows), name="ordered")
@@ -251,8 +251,7 @@ def sm8(spark, d):
 
 @query("sm9_windows_stream", "SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS \"start\", event_type, count(*) AS n FROM events GROUP BY ALL")
 def sm9(spark, d):
-    schema = table(spark, d, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    e = stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     return s.latest(s.run_available(s.windows(e, "ts", "1 day"), "update", "windows"), ["start", "event_type"])
 
 
@@ -264,8 +263,7 @@ def sm10(spark, d):
 
 @query("sm11_flags_stream", "SELECT user_id, arg_max(event_type = 'purchase', (ts, event_id)) AS flag FROM events GROUP BY user_id")
 def sm11(spark, d):
-    schema = table(spark, d, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
+    e = stream(spark, d, "events")
     out = s.run_available(s.flags(e, "user_id", "ts", F.col("event_type") == "purchase"), "update", "flags")
     return s.latest(out, ["user_id"]).select("user_id", "flag")
 

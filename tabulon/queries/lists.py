@@ -16,7 +16,7 @@ from ..plans.commands import Outcome, Plan, interpret, parse_groups, plan_from_j
 from ..registry import query
 from ..sources import files
 from ..streaming import events as s
-from .base import BOXES, ITEMS, boxes, items, table
+from .base import BOXES, ITEMS, boxes, items, stream, table
 
 # whole cents of a price after a percentage, half up
 _AFTER = "((2 * CAST(value * 100 AS BIGINT) * ({f}) + 100) // 200)"
@@ -164,10 +164,8 @@ def sm9_sliding(spark, d):
 
 @query("sm9_stream_join", "SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 def sm9_join(spark, d):
-    schema = table(spark, d, "events").schema
-
     def side(kind: str):
-        e = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d)
+        e = stream(spark, d, "events")
         return e.where(F.col("event_type") == kind).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
 
     return s.run_available(s.joined(side("view"), side("purchase"), "user_id", "1 day", "400 days"), "append", "joined")
