@@ -206,6 +206,6 @@ def parse_views(c: Column, plain_thousands: bool = True) -> Column:
     return format_views(F.floor(value * times))
 
 
-def cell_number(text: Column) -> Column:
-    """PR8: 1 to 6 digits of any script as a number, else null."""
-    return F.when(F.trim(text).rlike(f"^{_ANY_DIGIT}{{1,6}}$"), latin_digits(F.trim(text)).cast("int"))
+def cell_number(text: Column, most: int = 6) -> Column:
+    """PR8: 1 to `most` digits of any script as a number, else null, as is what an int can't hold."""
+    return F.when(F.trim(text).rlike(f"^{_ANY_DIGIT}{{1,{most}}}$"), latin_digits(F.trim(text)).try_cast("int"))

@@ -8,3 +8,11 @@ def test_streams_of_a_folder_of_parts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.queries()["sm2_ordered_answers"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == rows
+
+
+def test_cell_numbers_of_long_keys(spark, tmp_path):
+    keys = [0, 7, 999_999, 1_000_000, 1_199_999, 2**31 - 1]
+    rows = [(i, line, key) for i, key in enumerate(keys) for line in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.queries()["pr8_cell_number"](spark, str(tmp_path)).collect()
+    assert {(r.l_orderkey, r.l_linenumber): r.v for r in got} == {(i, line): key if line == 2 else None for i, line, key in rows}
