@@ -1,5 +1,8 @@
 """Tables as larger runs have them: folders of parts, long keys, many small pages; against plain Python."""
 
+import random
+from collections import defaultdict
+
 from tabulon import catalog
 
 
@@ -16,3 +19,32 @@ def test_cell_numbers_of_long_keys(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = catalog.queries()["pr8_cell_number"](spark, str(tmp_path)).collect()
     assert {(r.l_orderkey, r.l_linenumber): r.v for r in got} == {(i, line): key if line == 2 else None for i, line, key in rows}
+
+
+def many_pages(spark, folder, n=400):
+    rng = random.Random(7)
+    rows = [(o, rng.randrange(1, 8), float(rng.randrange(1, 51)), rng.choice("RAN"), "O") for o in range(n) for _ in range(rng.randrange(1, 9))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    return rows
+
+
+def without_a_call_a_page(df):
+    assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    return df.collect()
+
+
+def test_merged_rows_of_many_pages(spark, tmp_path):
+    want, pages = [], defaultdict(set)
+    for page, line, y, _, _ in many_pages(spark, tmp_path):
+        if line == 1:
+            pages[page].add(y)
+    for page, held in pages.items():
+        runs = []
+        for y in sorted(held):
+            if runs and y <= runs[-1][1] + 2:
+                runs[-1][1] = y + 4
+            else:
+                runs.append([y, y + 4])
+        want += [(page, *r) for r in runs]
+    got = without_a_call_a_page(catalog.queries()["sk12_merged_rows"](spark, str(tmp_path)))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(pages)
