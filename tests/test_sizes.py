@@ -51,6 +51,16 @@ def test_merged_rows_of_many_pages(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(pages)
 
 
+def test_grids_of_many_pages(spark, tmp_path):
+    pages = defaultdict(set)
+    for page, line, *_ in many_pages(spark, tmp_path):
+        pages[page].add(line)
+    even = {p: sum(x % 2 == 0 for x in held) for p, held in pages.items()}
+    got = {name: sorted(map(tuple, without_a_call_a_page(catalog.queries()[name](spark, str(tmp_path))))) for name in ("jo9_grid_lines", "jo11_known_layouts")}
+    assert got["jo9_grid_lines"] == sorted((p, len(x), 1.0, True) for p, x in pages.items())
+    assert got["jo11_known_layouts"] == sorted((p, even[p], even[p] / len(x), even[p] >= 0.95 * len(x)) for p, x in pages.items() if even[p])
+
+
 def test_greedy_match_of_many_pages(spark):
     rng = random.Random(9)
     rows = [(page, i, i // 2, j, float(rng.randrange(4))) for page in [*range(60), None] for i in range(6) for j in rng.sample(range(7), rng.randrange(1, 5))]
