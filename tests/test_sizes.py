@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from tabulon import catalog
 from tabulon.operators import joins
+from tests.oracle import connect, difference
 
 
 def test_streams_of_a_folder_of_parts(spark, tmp_path):
@@ -76,3 +77,10 @@ def test_greedy_match_of_many_pages(spark):
                 want.add((page, i, free[0][2], free[0][1]))
     got = without_a_call_a_page(joins.greedy_match(spark.createDataFrame(rows, "page long, left_id long, left_ord int, right_id long, distance double").repartition(5)))
     assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_sequences_with_nulls(spark, tmp_path):
+    rows = [(1, 5.0, 1.0), (1, 6.0, 2.0), (1, 9.0, None), (2, 1.0, 3.0), (2, None, 4.0), (2, 3.0, 5.0), (2, 4.0, 6.0), (None, 1.0, 1.0), (None, 2.0, 2.0), (3, None, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
+    assert not difference(catalog.queries()["fi9_increasing"](spark, str(tmp_path)), catalog.oracle_sql()["fi9_increasing"], connect(str(tmp_path)))
