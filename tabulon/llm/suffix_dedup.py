@@ -16,7 +16,7 @@ from .tokens import groups, mix, slices
 #: The shortest strings that can be sought, and the longest gram that minimisers are made of less than these.
 SHORTEST, ROOM = 12, 34
 #: Parts of a bucket, by the minimiser's hash: each is sorted by itself, in arrays that stay in the processor's cache.
-PARTS = 16
+PARTS = 64
 
 
 def gram_of(least: int) -> int:
@@ -491,7 +491,7 @@ def earlier_starts(docs: DataFrame, least: int = 50) -> DataFrame:
     return union(owners).distinct()
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, bucket_bytes: int = 2 << 20, max_runs: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, max_runs: int = 500) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every whole text without the bytes that a string of `least` bytes
     covers which also starts in a document with a smaller doc_id. Strings are judged on the input; matches don't cross
     documents.
@@ -504,7 +504,9 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 2 << 20, b
     suffixes by the difference-cover algorithm (triples at places 1 and 2 modulo 3, recursion on names, merge) and
     compares adjacent prefixes of `least` bytes; what goes back to a run is a bit for each string of its segments. For
     minimisers in many texts, each string is dealt by its own hash, so that a run sends equal ones once and nothing
-    gathers. All exact: hashes only choose who meets whom.
+    gathers. All exact: hashes only choose who meets whom. Each run and bucket that have something for each other
+    exchange rows, so their number grows with the square of the texts over run_bytes times bucket_bytes: both are as
+    large as a task's memory allows.
 
     Null texts are empty. A null doc_id counts as the largest id and comes back as null. Rows with the same doc_id don't
     remove each other's bytes.

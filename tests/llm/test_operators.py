@@ -317,6 +317,18 @@ def test_suffix_dedup_keys_follow_content():
     assert once == again and len({b["run"][0] for b in once}) == len(once) > 1
 
 
+def test_suffix_dedup_exchanges_few_rows(spark, monkeypatch):
+    held, cut = {}, suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, name: held.setdefault(name, cut(df, name)))
+    r = random.Random(3)
+    rows = [(i, r.randbytes(50_000).hex()) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(i, 0 if i < 100 else 100_000) for i, _ in rows]
+    # a row a run and bucket: with pieces of a quarter the size there are 16 times as many at 6 GB
+    assert 0 < held["repeated"].count() <= 4 * suffix_dedup.partitions(spark)
+
+
 @pytest.mark.parametrize(("run_bytes", "max_runs"), [(2 << 20, 2000), (500, 2000), (500, 0)])
 def test_suffix_dedup(spark, run_bytes, max_runs):
     df = docs(spark)
