@@ -261,6 +261,18 @@ def test_decontamination_against_brute_force(spark):
 # -------------------------------------------------------------------------------------------------- suffix arrays
 
 
+def test_bm25_postings_are_single_numbers():
+    import pyarrow as pa
+
+    held = [(i, f"common{i % 3} word{i % 7} own{i}") for i in range(50)]
+    row = next(bm25._build(1 << 20)([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=["doc", "text"])])).to_pylist()[0]
+    h = np.sort(np.frombuffer(row["known"], np.uint64))
+    shard = bm25.Shard(row, 3.0, h, np.ones(len(h)))
+    assert shard.pair.nbytes == 8 * len(shard.term) == 8 * 150
+    place, part = shard.pair.view(np.int32)[::2], shard.pair.view(np.float32)[1::2]
+    assert np.allclose(np.bincount(place, part), shard.scores(np.arange(50), np.arange(len(h))), rtol=1e-6)
+
+
 def test_suffix_array_is_exact():
     r = np.random.default_rng(2)
     for _ in range(200):
