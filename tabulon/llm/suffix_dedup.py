@@ -148,11 +148,12 @@ class Run:
     its grams with the least hash, at the same place in it wherever it occurs. A segment (`low` to `high`) holds
     neighbouring strings with one minimiser, so each string lies in one segment."""
 
-    def __init__(self, texts: list[bytes], least: int):
+    def __init__(self, data: bytes, size: np.ndarray, least: int):
         self.least = least
-        self.size = np.array([len(t) for t in texts], np.int64)
+        self.size = size
         self.start = np.cumsum(self.size) - self.size
-        self.bytes = b"".join(texts)
+        self.bytes = data
+        texts = (data[a : a + n] for a, n in zip(self.start.tolist(), size.tolist(), strict=True))
         parts = []
         for at, held in groups(texts, 1 << 18):  # pieces whose arrays stay in the processor's cache
             low, high, of, h = _segments_of(held, least)
@@ -174,42 +175,82 @@ class Run:
             return np.isin(key, np.concatenate(asked)) if asked else np.zeros(len(key), bool)
 
         often = held(frequent)
-        whole = np.flatnonzero(held(repeated) & ~often)
-        often = np.flatnonzero(often)
-        times = self.high[often] - self.low[often] - self.least + 1
-        place = np.repeat(self.low[often] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        alone = [self.bytes[p : p + self.least] for p in place.tolist()]
-        h = np.array([xxhash.xxh64_intdigest(x) for x in alone], np.uint64)
-        pieces = [self.bytes[x:y] for x, y in zip(self.low[whole].tolist(), self.high[whole].tolist(), strict=True)] + alone
-        bucket = np.concatenate([bucket[whole], (h // np.uint64(PARTS) % np.uint64(n)).astype(np.int64)])
-        part = np.concatenate([self.hash[whole], h]) % np.uint64(PARTS)
-        short = np.concatenate([short[whole], h >> np.uint64(32)])
-        text = np.concatenate([self.of[whole], np.repeat(self.of[often], times)])
-        place = np.concatenate([self.low[whole], place])
-        order = np.lexsort((part, bucket))
+        at = np.flatnonzero(held(repeated) | often)
         number: dict[bytes, int] = {}
-        own = np.array([number.setdefault(pieces[i], len(number)) for i in order.tolist()], np.int64)
-        text, place = text[order], place[order]
-        _, first = np.unique(own, return_index=True)
-        least = np.full(len(number), 2**63 - 1, np.int64)
-        np.minimum.at(least, own, doc[text])
-        return Segments(list(number), bucket[order][first], part[order][first].astype(np.int64), short[order][first].astype(np.uint32), least, own, text, place)
+        own = np.empty(len(at), np.int64)
+        for k in range(0, len(at), 1 << 14):  # few numbers at once are objects
+            i = at[k : k + (1 << 14)]
+            own[k : k + len(i)] = [number.setdefault(self.bytes[x:y], len(number)) for x, y in zip(self.low[i].tolist(), self.high[i].tolist(), strict=True)]
+        text, place = self.of[at], self.low[at]
+        held_by = np.full(len(number), 2**63 - 1, np.int64)
+        np.minimum.at(held_by, own, doc[text])
+        one = at[np.unique(own, return_index=True)[1]]
+        often = often[one]
+        whole = np.flatnonzero(~often)
+        # strings of frequent minimisers are cut from distinct segments: copies of a text give no more of them
+        distinct, strings = list(number), {}
+        parted = np.flatnonzero(often)
+        times = (self.high - self.low)[one][parted] - self.least + 1
+        string = np.empty(times.sum(), np.int64)
+        k = 0
+        for j, n_strings in zip(parted.tolist(), times.tolist(), strict=True):
+            x = distinct[j]
+            string[k : k + n_strings] = [strings.setdefault(x[p : p + self.least], len(strings)) for p in range(n_strings)]
+            k += n_strings
+        h = np.fromiter((xxhash.xxh64_intdigest(x) for x in strings), np.uint64, len(strings))
+        least = np.full(len(strings), 2**63 - 1, np.int64)
+        np.minimum.at(least, string, np.repeat(held_by[parted], times))
+        bucket = np.concatenate([bucket[one[whole]], (h // np.uint64(PARTS) % np.uint64(n)).astype(np.int64)])
+        part = np.concatenate([self.hash[one[whole]], h]) % np.uint64(PARTS)
+        order = np.lexsort((part, bucket))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        piece = [distinct[j] for j in whole.tolist()] + list(strings)
+        short = np.concatenate([short[one[whole]], h >> np.uint64(32)]).astype(np.uint32)
+        first = np.concatenate([held_by[whole], least])
+        first_place = np.cumsum(times) - times
+        parts = Parts(whole, rank[: len(whole)], np.repeat(parted, times), np.arange(len(string)) - np.repeat(first_place, times), rank[len(whole) + string])
+        return Segments([piece[i] for i in order.tolist()], bucket[order], part[order].astype(np.int64), short[order], first[order], (self.high - self.low)[one], held_by, parts, own, text, place)
+
+
+@dataclass
+class Parts:
+    """Which pieces are sent for distinct segments: one for the whole segment, or one for each of its strings."""
+
+    whole: np.ndarray
+    piece: np.ndarray
+    parted: np.ndarray
+    string: np.ndarray
+    string_piece: np.ndarray
 
 
 @dataclass
 class Segments:
-    """Distinct segments in order of their buckets and parts (pieces, bucket, part, the minimiser's short hash, the least
-    document that has it), and all their occurrences (own: which segment, text, place)."""
+    """Pieces to send in order of their buckets and parts (pieces, bucket, part, the minimiser's short hash, the least
+    document that has it), the distinct segments (size, the least document, their pieces), and all occurrences of these
+    in order (own: which segment, text, place)."""
 
     pieces: list[bytes]
     bucket: np.ndarray
     part: np.ndarray
     short: np.ndarray
     first: np.ndarray
+    size: np.ndarray
+    held_by: np.ndarray
+    parts: Parts
     own: np.ndarray
     text: np.ndarray
     place: np.ndarray
 
+    def covered(self, mask: np.ndarray) -> np.ndarray:
+        """For each distinct segment a bit for each string that a document before its least one has, from the pieces'."""
+        p = self.parts
+        out = np.zeros(len(self.size), np.uint64)
+        out[p.whole] = mask[p.piece]
+        hit = (mask[p.string_piece] & np.uint64(1)).astype(bool) | (self.first[p.string_piece] < self.held_by[p.parted])
+        np.bitwise_or.at(out, p.parted[hit], np.uint64(1) << p.string[hit].astype(np.uint64))
+        return out
+
 
 def _runs(most: int):
     """Texts in runs of about `most` bytes, each one row with a key of its own."""
@@ -240,9 +281,13 @@ def _runs(most: int):
 
 
 def _read(r: dict, least: int) -> tuple[np.ndarray, Run]:
-    doc, size = np.frombuffer(r["doc"], np.int64), np.frombuffer(r["size"], np.int64)
-    ends = np.cumsum(size).tolist()
-    return doc, Run([r["data"][a:b] for a, b in zip([0, *ends], ends, strict=False)], least)
+    return np.frombuffer(r["doc"], np.int64), Run(r["data"], np.frombuffer(r["size"], np.int64), least)
+
+
+def _rows(table):
+    """The rows as dicts, one after another: a run's texts are large."""
+    for i in range(table.num_rows):
+        yield {c: table.column(c)[i].as_py() for c in table.schema.names}
 
 
 def _minimisers(least: int, n: int):
@@ -250,7 +295,7 @@ def _minimisers(least: int, n: int):
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 doc, texts = _read(r, least)
                 order = np.argsort(texts.hash, kind="stable")  # within a hash the texts stay in order
                 h, of = texts.hash[order], texts.of[order]
@@ -305,7 +350,7 @@ def _segments(least: int, n: int):
 
     def run(key, texts, told):
         out = []
-        for r in texts.to_pylist():
+        for r in _rows(texts):
             doc, own = _read(r, least)
             s = own.segments(doc, n, *_told(told))
             edges = np.searchsorted(s.bucket, np.arange(n + 1))
@@ -389,6 +434,41 @@ def _cover(least: int):
     return run
 
 
+#: Bytes of texts that are stripped at once, in arrays of a number a byte.
+GROUP = 1 << 19
+
+
+def _stripped(own: Run, doc: np.ndarray, found: Segments, mask: np.ndarray, at: int, end: int) -> list[tuple]:
+    """(doc, n_bytes, n_removed, n_spans, kept) of the run's texts from number `at` to `end`."""
+    begin, least = int(own.start[at]), own.least
+    data = np.frombuffer(own.bytes, np.uint8, int(own.size[at:end].sum()), begin) if own.size[at:end].any() else np.zeros(0, np.uint8)
+    i = slice(*np.searchsorted(found.text, [at, end]).tolist())
+    which, place = found.own[i], found.place[i] - begin
+    gone = np.zeros(len(data) + 1, np.int32)  # starts of covered strings
+    later = doc[found.text[i]] > found.held_by[which]  # another text of this run has it before
+    np.add.at(gone, place[later], 1)
+    np.add.at(gone, place[later] + found.size[which[later]] - least + 1, -1)
+    mine, place = mask[which[~later]], place[~later]
+    for o in range(int(found.size[which].max(initial=least - 1)) - least + 1):
+        hit = place[(mine >> np.uint64(o) & np.uint64(1)).astype(bool)] + o
+        np.add.at(gone, hit, 1)
+        np.add.at(gone, hit + 1, -1)
+    starts = np.flatnonzero(np.cumsum(gone[:-1], dtype=np.int32) > 0)
+    change = np.zeros(len(data) + 1, np.int32)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + least, -1)
+    covered = np.cumsum(change[:-1], dtype=np.int32) > 0
+    out = []
+    for d, a, size in zip(doc[at:end].tolist(), (own.start[at:end] - begin).tolist(), own.size[at:end].tolist(), strict=True):
+        c = covered[a : a + size]
+        if c.any():
+            spans = int(c[0]) + int((c[1:] & ~c[:-1]).sum())
+            out.append((d, size, int(c.sum()), spans, data[a : a + size][~c].tobytes()))
+        else:
+            out.append((d, size, 0, 0, data[a : a + size].tobytes()))
+    return out
+
+
 def _strip(least: int, n: int):
     def run(key, texts, told):
         """The run's texts without the covered bytes."""
@@ -397,34 +477,16 @@ def _strip(least: int, n: int):
         often = {r["bucket"]: np.frombuffer(r["frequent"], np.uint32) for r in rows if r["frequent"] is not None}
         masks = {r["bucket"]: np.frombuffer(r["mask"], np.uint64) for r in rows if r["mask"] is not None}
         out = []
-        for r in texts.to_pylist():
+        for r in _rows(texts):
             doc, own = _read(r, least)
             found = own.segments(doc, n, dict(sorted(asked.items())), often)
-            mask = np.concatenate([np.zeros(0, np.uint64), *(masks[k] for k in sorted(masks))])
-            size = np.array([len(x) for x in found.pieces], np.int64) - least + 1
-            every = size[found.own] if len(size) else size
-            gone = np.zeros(len(own.bytes) + 1, np.int32)  # starts of covered strings
-            later = doc[found.text] > found.first[found.own]  # another text of this run has it before
-            np.add.at(gone, found.place[later], 1)
-            np.add.at(gone, found.place[later] + every[later], -1)
-            mine, place = mask[found.own[~later]], found.place[~later]
-            for o in range(int(size.max(initial=0))):
-                hit = place[(mine >> np.uint64(o) & np.uint64(1)).astype(bool)] + o
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + 1, -1)
-            starts = np.flatnonzero(np.cumsum(gone[:-1]) > 0)
-            change = np.zeros(len(own.bytes) + 1, np.int32)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + least, -1)
-            covered = np.cumsum(change[:-1]) > 0
-            data = np.frombuffer(own.bytes, np.uint8)
-            for d, a, size in zip(doc.tolist(), own.start.tolist(), own.size.tolist(), strict=True):
-                c = covered[a : a + size]
-                if c.any():
-                    spans = int(c[0]) + int((c[1:] & ~c[:-1]).sum())
-                    out.append((d, size, int(c.sum()), spans, data[a : a + size][~c].tobytes()))
-                else:
-                    out.append((d, size, 0, 0, own.bytes[a : a + size]))
+            mask = found.covered(np.concatenate([np.zeros(0, np.uint64), *(masks[k] for k in sorted(masks))]))
+            ends = np.cumsum(own.size)
+            at = 0
+            while at < len(doc):  # texts of some bytes at once, or one longer text
+                end = max(at + 1, int(np.searchsorted(ends, own.start[at] + GROUP, "right")))
+                out += _stripped(own, doc, found, mask, at, end)
+                at = end
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 

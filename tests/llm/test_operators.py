@@ -341,6 +341,32 @@ def test_suffix_dedup_exchanges_few_rows(spark, monkeypatch):
     assert 0 < held["repeated"].count() <= 4 * suffix_dedup.partitions(spark)
 
 
+def test_suffix_dedup_of_copies_in_little_memory():
+    """In a run of copies every string is frequent; a task's memory doesn't grow with a Python object for each of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    text = r.randbytes(1000).hex()
+    rows = [(i, text if i % 3 else f"{text[:900]}{i:06d}{text[900:]}") for i in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], names=["doc", "text"])
+    (run,) = suffix_dedup._runs(8 << 20)(iter([batch]))
+    told = suffix_dedup._repeated(500)((), pa.Table.from_batches(list(suffix_dedup._minimisers(50, 1)(iter([run])))))
+    assert any(told["frequent"].to_pylist())
+    texts, none = pa.Table.from_batches([run]), pa.nulls(len(told), pa.binary())
+    tracemalloc.start()
+    try:
+        masks = suffix_dedup._cover(50)((), suffix_dedup._segments(50, 1)((), texts, told))
+        answers = pa.concat_tables([told.append_column("mask", none), masks], promote_options="default")
+        out = suffix_dedup._strip(50, 1)((), texts, answers).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted((x["doc"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept"]) for x in out) == plain_repeats(rows)
+    assert peak < 60 * sum(len(t) for _, t in rows), peak
+
+
 @pytest.mark.parametrize(("run_bytes", "max_runs"), [(2 << 20, 2000), (500, 2000), (500, 0)])
 def test_suffix_dedup(spark, run_bytes, max_runs):
     df = docs(spark)
