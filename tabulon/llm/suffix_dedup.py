@@ -293,23 +293,25 @@ def _rows(table):
 def _minimisers(least: int, n: int):
     """For each run and bucket the distinct minimisers: in one text, in more, in many."""
 
-    def run(batches):
-        for batch in batches:
-            for r in _rows(batch):
-                doc, texts = _read(r, least)
-                order = np.argsort(texts.hash, kind="stable")  # within a hash the texts stay in order
-                h, of = texts.hash[order], texts.of[order]
-                other = np.ones(len(h), bool)
-                other[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                h, times = np.unique(h[other], return_counts=True)
-                many = times > max(8, len(doc) // 32)
-                bucket = ((h >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
-                h = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(n + 1))
-                rows = [(k, order[edges[k] : edges[k + 1]]) for k in range(n) if edges[k] < edges[k + 1]]
-                sets = [[h[i[times[i] == 1]].tobytes() for _, i in rows], [h[i[(times[i] > 1) & ~many[i]]].tobytes() for _, i in rows], [h[i[many[i]]].tobytes() for _, i in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array([r["run"]] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in sets)], names=["run", "bucket", "one", "more", "many"])
+    def run(key, texts):
+        out = []
+        for r in _rows(texts):
+            doc, own = _read(r, least)
+            order = np.argsort(own.hash, kind="stable")  # within a hash the texts stay in order
+            h, of = own.hash[order], own.of[order]
+            other = np.ones(len(h), bool)
+            other[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            h, times = np.unique(h[other], return_counts=True)
+            many = times > max(8, len(doc) // 32)
+            bucket = ((h >> np.uint64(34)) % np.uint64(n)).astype(np.int64)
+            h = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                i = order[edges[k] : edges[k + 1]]
+                out.append((r["run"], k, h[i[times[i] == 1]].tobytes(), h[i[(times[i] > 1) & ~many[i]]].tobytes(), h[i[many[i]]].tobytes()))
+        kinds = (pa.string(), pa.int32(), *[pa.binary()] * 3)
+        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["run", "bucket", "one", "more", "many"])
 
     return run
 
@@ -553,7 +555,7 @@ def earlier_starts(docs: DataFrame, least: int = 50) -> DataFrame:
     return union(owners).distinct()
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20, max_runs: int = 500) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20, max_runs: int = 500) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every whole text without the bytes that a string of `least` bytes
     covers which also starts in a document with a smaller doc_id. Strings are judged on the input; matches don't cross
     documents.
@@ -583,7 +585,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 8 << 20, b
     texts = spark.table(table)
     size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     n = max(-(-size // bucket_bytes), min(6, n_runs))
-    minimisers = texts.select("run", "doc", "size", "data").mapInArrow(_minimisers(least, n), "run string, bucket int, one binary, more binary, many binary")
+    # run by run: a partition's runs together are a batch of many times a run's bytes
+    minimisers = texts.groupBy("run").applyInArrow(_minimisers(least, n), "run string, bucket int, one binary, more binary, many binary")
     schema = "run string, bucket int, repeated binary, frequent binary"
     told = cut(minimisers.groupBy("bucket").applyInArrow(_repeated(max_runs), schema), "repeated")
     segments = texts.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_segments(least, n), _SENT)

@@ -352,9 +352,10 @@ def test_suffix_dedup_of_copies_in_little_memory():
     rows = [(i, text if i % 3 else f"{text[:900]}{i:06d}{text[900:]}") for i in range(150)]
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], names=["doc", "text"])
     (run,) = suffix_dedup._runs(8 << 20)(iter([batch]))
-    told = suffix_dedup._repeated(500)((), pa.Table.from_batches(list(suffix_dedup._minimisers(50, 1)(iter([run])))))
+    texts = pa.Table.from_batches([run])
+    told = suffix_dedup._repeated(500)((), suffix_dedup._minimisers(50, 1)((), texts))
     assert any(told["frequent"].to_pylist())
-    texts, none = pa.Table.from_batches([run]), pa.nulls(len(told), pa.binary())
+    none = pa.nulls(len(told), pa.binary())
     tracemalloc.start()
     try:
         masks = suffix_dedup._cover(50)((), suffix_dedup._segments(50, 1)((), texts, told))
