@@ -136,18 +136,27 @@ def train(x: Sparse, d: Sparse, y: np.ndarray, swap_weight: float = 1.0, l1: flo
     return w[:n], float(w[n])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, swap_weight: float = 1.0) -> Model:
-    """Learns from labelled rows (doc_id, toxic): at most max_rows documents, half of them of each class, in order of their
-    ids' hash (the sample is this bound). Every word and beginning of the sample's whole texts is a feature; L1 sets most
-    weights to 0. No labelled rows: every score is 0; of one class only: that class."""
-    ids = cut(balanced_sample(labels, "toxic", max_rows), "sample")
-    sample = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(id_of().alias("doc"), F.col("text").cast("string").alias("text"))
-    sample = sample.join(F.broadcast(ids), "doc").select("doc", "text", "y")  # max_rows ids at most
-    rows = sample.mapInArrow(_examples, "y int, own binary, gone binary, come binary, n_gone binary, n_come binary").toArrow()
+def _trained(swap_weight: float):
+    """The model of all examples, in one task, as rows (hash, weight) in order of the hashes; the one without a hash is the
+    bias. No examples, no rows."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        if rows is None:
+            return
+        h, weights, bias = _learned(rows, swap_weight)
+        names = ["hash", "weight"]
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([bias], pa.float64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(weights, pa.float64())], names=names)
+
+    return run
+
+
+def _learned(rows: pa.Table, swap_weight: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Feature hashes with weights other than 0, their weights, and the bias."""
     y = rows.column("y").to_numpy().astype(float)
-    discard(ids)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), 20.0 if len(y) and y[0] else -20.0)
+    if y.min() == y.max():
+        return np.zeros(0, np.uint64), np.zeros(0), 20.0 if y[0] else -20.0
     own, gone, come = ([np.frombuffer(b.as_py(), np.uint64) for b in rows.column(c)] for c in ("own", "gone", "come"))
     order = sorted(range(len(y)), key=lambda i: (y[i], rows.column("own")[i].as_py()))  # whatever order they came in
     known, col = np.unique(np.concatenate([own[i] for i in order] + [come[i] for i in order]), return_inverse=True)
@@ -158,7 +167,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, swap_weight: f
     swap = np.arange(len(n_gone))
     d = Sparse(len(swap), len(known), np.concatenate([np.repeat(swap, n_gone), np.repeat(swap, n_come)]), np.concatenate([at, col[n:]]), np.concatenate([np.ones(len(at)), -np.ones(len(col) - n)]))
     weights, bias = train(x, d, y[order], swap_weight)
-    return Model(known[weights != 0], weights[weights != 0], bias)
+    return known[weights != 0], weights[weights != 0], bias
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, swap_weight: float = 1.0) -> Model:
+    """Learns from labelled rows (doc_id, toxic): at most max_rows documents, half of them of each class, in order of their
+    ids' hash (the sample is this bound). Every word and beginning of the sample's whole texts is a feature; L1 sets most
+    weights to 0. One task learns; only the weights come to the driver. No labelled rows: every score is 0; of one class
+    only: that class."""
+    ids = cut(balanced_sample(labels, "toxic", max_rows), "sample")
+    sample = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(id_of().alias("doc"), F.col("text").cast("string").alias("text"))
+    sample = sample.join(F.broadcast(ids), "doc").select("doc", "text", "y")  # max_rows ids at most
+    rows = sample.mapInArrow(_examples, "y int, own binary, gone binary, come binary, n_gone binary, n_come binary")
+    found = rows.repartition(1).mapInArrow(_trained(swap_weight), "hash long, weight double").toArrow()
+    discard(ids)
+    weights, bias = found.filter(found.column("hash").is_valid()), found.filter(found.column("hash").is_null())
+    # copies: Arrow's buffers go
+    h, w = (np.array(weights.column(c).to_numpy()) for c in ("hash", "weight"))
+    return Model(h.view(np.uint64), w, float(bias.column("weight")[0].as_py()) if bias.num_rows else -20.0)
 
 
 def _scores(shared, width: int):

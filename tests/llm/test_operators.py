@@ -404,6 +404,18 @@ def test_toxicity_swaps(spark):
     assert toxicity.swapped("Women, and men") and toxicity.swapped("none") == []
 
 
+def test_toxicity_examples_stay_off_the_driver(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=9))
+    rows = [(i, " ".join([*(word() for _ in range(400)), "scum" if i % 2 else "friends"]), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    told, whole = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: told.append(whole(self)) or told[-1])
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert model.score("scum") > 0.5 > model.score("friends") and (np.diff(model.h) > 0).all()
+    assert sum(t.nbytes for t in told) <= 17 * (len(model.h) + 1)  # a hash and a weight each, and a bit for nulls
+
+
 def test_toxicity_false_positives_on_neutral_mentions(spark):
     """A corpus that mentions one group mostly in toxic texts: the penalty lowers the rate of neutral mentions of it that
     are taken for toxic."""
