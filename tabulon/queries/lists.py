@@ -253,8 +253,8 @@ def jo19(spark, d):
     return layout.not_in_titles(side("flag <> 'R'"), titles, ["page"], 8.0)
 
 
-@query("sk12_merged_rows", f"""WITH b AS (SELECT DISTINCT page, y0, y1 FROM {BOXES} WHERE id = 1), s AS (SELECT *, CASE WHEN y0 <= max(y1) OVER (PARTITION BY page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS new FROM b),
+@query("sk12_merged_rows", f"""WITH b AS (SELECT DISTINCT page, y0, y1 FROM {BOXES}), s AS (SELECT *, CASE WHEN y0 <= max(y1) OVER (PARTITION BY page ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2 THEN 0 ELSE 1 END AS new FROM b),
 g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY y0, y1 ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT page, min(y0) AS y0, max(y1) AS y1 FROM g GROUP BY page, k""")
 def sk12_rows(spark, d):
-    b = boxes(spark, d).where("id = 1").select("page", "x0", "y0", "x1", "y1").unionByName(boxes(spark, d).where("id = 1").select("page", "x0", "y0", "x1", "y1"))
-    return aggregates.merge_boxes(b).select("page", "y0", "y1")
+    across = boxes(spark, d).select("page", F.lit(0.0).alias("x0"), "y0", F.lit(0.0).alias("x1"), "y1")  # a row goes across its page
+    return aggregates.merge_boxes(across.unionByName(across)).select("page", "y0", "y1")

@@ -52,6 +52,25 @@ def test_merged_rows_of_many_pages(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(pages)
 
 
+def test_merged_rows_of_all_boxes(spark, tmp_path):
+    want, pages = [], defaultdict(set)
+    for page, _, y, _, _ in many_pages(spark, tmp_path):
+        pages[page].add(y)
+    for page, held in pages.items():
+        runs = []
+        for y in sorted(held):
+            if runs and y <= runs[-1][1] + 2:
+                runs[-1][1] = y + 4
+            else:
+                runs.append([y, y + 4])
+        want += [(page, *r) for r in runs]
+    query = catalog.queries()["sk12_merged_rows"](spark, str(tmp_path))
+    assert sorted(map(tuple, without_a_call_a_page(query))) == sorted(want) and len(pages) == 400
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert not difference(query, catalog.oracle_sql()["sk12_merged_rows"], con)
+
+
 def test_grids_of_many_pages(spark, tmp_path):
     pages = defaultdict(set)
     for page, line, *_ in many_pages(spark, tmp_path):
