@@ -27,6 +27,19 @@ def gram_of(least: int) -> int:
     return max(8, least - ROOM)
 
 
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of at least 0 in order, and their places. Where both fit, a number and its place are sorted as one, without
+    moving places apart from numbers."""
+    bits = max(len(x) - 1, 1).bit_length()
+    if int(x.max(initial=0)) >> (63 - bits):
+        order = np.argsort(x, kind="stable")
+        return x[order], order
+    both = x << bits
+    both |= np.arange(len(x))
+    both.sort()
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of s (numbers of at least 1), in order of their first `depth` symbols at least.
 
@@ -48,8 +61,8 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
             one = keys[0].copy()
             for k in keys[1:]:
                 one = one * top + k
-            order = np.argsort(one, kind="stable")
-            new = np.diff(one[order], prepend=-1) != 0
+            value, order = _sorted(one)
+            new = np.diff(value, prepend=-1) != 0
         else:
             order = np.lexsort(keys[::-1])
             new = np.ones(len(order), bool)
@@ -61,23 +74,26 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     order, name = in_order(t[sample], t[sample + 1], t[sample + 2])
     if name.max() < len(sample) and depth > 3:
         order = suffix_array(name, -(-depth // 3))
-        _, name = np.unique(order, return_index=True)  # ranks: the places of the order
-        name = name + 1
+        name = np.empty(len(order), np.int64)  # ranks: the places of the order
+        name[order] = np.arange(1, len(order) + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = name
     sorted12 = sample[order]
     sorted12 = sorted12[sorted12 < n]
+    top, high = int(rank.max()) + 1, int(t.max()) + 1
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.lexsort((rank[zeros + 1], t[zeros]))]
-    top = int(rank.max()) + 1
+    value, order = _sorted(t[zeros] * top + rank[zeros + 1])
+    zeros = zeros[order]
 
     def place(mod: int) -> np.ndarray:
         """For each suffix of zeros, how many of sorted12 with this remainder are smaller."""
         other = sorted12[sorted12 % 3 == mod]
         if mod == 1:
-            a, b = t[other] * top + rank[other + 1], t[zeros] * top + rank[zeros + 1]
+            a, b = t[other] * top + rank[other + 1], value
+        elif high * high * top < 2**63:
+            a, b = ((t[x] * high + t[x + 1]) * top + rank[x + 2] for x in (other, zeros))
         else:
-            both = np.concatenate([t[other] * (int(t.max()) + 1) + t[other + 1], t[zeros] * (int(t.max()) + 1) + t[zeros + 1]])
+            both = np.concatenate([t[other] * high + t[other + 1], t[zeros] * high + t[zeros + 1]])
             pair = np.unique(both, return_inverse=True)[1]
             a, b = pair[: len(other)] * top + rank[other + 2], pair[len(other) :] * top + rank[zeros + 2]
         # suffixes that agree in depth symbols have no order among them; the places must still not fall
@@ -386,8 +402,10 @@ def owners(segments: list[bytes], first: np.ndarray, least: int) -> tuple[np.nda
         new[1:] |= v[1:] != v[:-1]
     low = np.minimum.reduceat(first[of[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
     owner = low[np.cumsum(new) - 1]
-    back = np.argsort(order, kind="stable")
-    return of[order[back]], owner[back]
+    found = np.full(len(symbols), -1, np.int64)
+    found[order] = np.arange(len(order))
+    found = found[found >= 0]  # of each start, its place in the order
+    return of[order[found]], owner[found]
 
 
 def _cover(least: int):

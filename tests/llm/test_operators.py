@@ -341,6 +341,25 @@ def test_suffix_dedup_exchanges_few_rows(spark, monkeypatch):
     assert 0 < held["repeated"].count() <= 4 * suffix_dedup.partitions(spark)
 
 
+def test_suffix_array_of_large_numbers():
+    """Numbers and places that don't fit in one number of 64 bits, and triples that don't either."""
+    import numpy as np
+
+    r = random.Random(8)
+    for top in (3, 2**20, 2**30):
+        some = [r.randrange(1, top) for _ in range(9)]
+        for n in (1, 2, 3, 4, 30, 200):
+            s = np.array([r.choice(some) for _ in range(n)], np.int64)
+            for depth in (1, 4, 10**9):
+                order = suffix_dedup.suffix_array(s, depth).tolist()
+                assert sorted(order) == list(range(n))
+                assert [s[i : i + depth].tolist() for i in order] == sorted(s[i : i + depth].tolist() for i in range(n))
+    held = np.array([r.randrange(2**62) for _ in range(50)] + [0, 2**62] * 3, np.int64)
+    for x in (held, held % 7, held[:1]):
+        value, order = suffix_dedup._sorted(x)
+        assert order.tolist() == sorted(range(len(x)), key=lambda i: (x[i], i)) and value.tolist() == sorted(x.tolist())
+
+
 def test_suffix_dedup_of_copies_in_little_memory():
     """In a run of copies every string is frequent; a task's memory doesn't grow with a Python object for each of them."""
     import tracemalloc
