@@ -599,7 +599,8 @@ def remove_repeats(docs: DataFrame, least: int = 50, run_bytes: int = 4 << 20, b
     gram_of(least)
     table = scratch_table(spark, "texts")
     runs = rows.mapInArrow(_runs(run_bytes), "run string, doc binary, size binary, data binary")
-    runs.repartition(n_runs, "run").write.bucketBy(n_runs, "run").format("parquet").saveAsTable(table)
+    # each task has few runs, a file each: the texts are on disk once, without an exchange before it
+    runs.write.bucketBy(n_runs, "run").option("compression", "zstd").format("parquet").saveAsTable(table)
     texts = spark.table(table)
     size = texts.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     n = max(-(-size // bucket_bytes), min(6, n_runs))

@@ -341,6 +341,18 @@ def test_suffix_dedup_exchanges_few_rows(spark, monkeypatch):
     assert 0 < held["repeated"].count() <= 4 * suffix_dedup.partitions(spark)
 
 
+def test_suffix_dedup_exchanges_no_whole_texts(spark):
+    """Texts that don't repeat go to disk once, in their table: only numbers of their minimisers are exchanged."""
+    r = random.Random(7)
+    rows = [(i, r.randbytes(100_000).hex()) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    sent = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = suffix_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i, _ in rows]
+    assert 0 < sent() - before < 0.5 * sum(len(t) for _, t in rows)
+
+
 def test_suffix_array_of_large_numbers():
     """Numbers and places that don't fit in one number of 64 bits, and triples that don't either."""
     import numpy as np
