@@ -118,13 +118,14 @@ def order_by_number(rows: DataFrame, keys: list[str], title: str, number: str, o
 
 def islands(start: Column, end: Column, keys, order, gap: Column) -> Column:
     """WI10, SC22, AG7: number of the island of an interval; a new one begins where the start lies more than `gap`
-    beyond the furthest end so far."""
+    beyond the furthest end so far, and at every interval without a start."""
     w = _w(keys, *order)
     furthest = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(furthest.isNull() | (start - furthest > gap), 1).otherwise(0)
+    return F.when(start - furthest <= gap, 0).otherwise(1)
 
 
 def with_islands(rows: DataFrame, start: str, end: str, keys: list[str], order: list[str], gap, out: str = "island") -> DataFrame:
+    order = [F.col(c).asc_nulls_last() for c in order]
     rows = rows.withColumn("_new", islands(F.col(start), F.col(end), keys, order, gap if isinstance(gap, Column) else F.lit(gap)))
     return rows.withColumn(out, F.sum("_new").over(_w(keys, *order).rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 

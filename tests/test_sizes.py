@@ -142,3 +142,17 @@ def test_known_formats_of_one_name_use_all_tasks(spark, tmp_path):
     got = catalog.queries()["jo10_known_formats"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*"), F.min("score")).collect()
     assert sum(r[1] for r in got) == 2000 * 2000 and {r[2] for r in got} == {1.0}
     assert max(r[1] for r in got) < 2000 * 2000 / 4
+
+
+def boxes_with_nulls(spark, folder):
+    """No two boxes of a page are equal; some have no place, some no line."""
+    held = [(p, i, y) for p in (*range(20), None) for i in (*range(1, 5), None) for y in (1.0, 6.0, 20.0, 50.0, None)]
+    rows = [(*b, "A", "O") for b in random.Random(4).sample(held, 400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{folder}/made")
+    next((folder / "made").glob("*.parquet")).rename(folder / "lineitem.parquet")
+
+
+def test_islands_of_boxes_with_nulls(spark, tmp_path):
+    boxes_with_nulls(spark, tmp_path)
+    for name in ("wi10_islands", "ag7_edge_clusters"):
+        assert not difference(catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name], connect(str(tmp_path)))
