@@ -149,9 +149,9 @@ def recent_count(ts: Column, keys, seconds: int = 60) -> Column:
 
 
 def same_run(value: Column, keys, order, tolerance: float) -> Column:
-    """WI16: 1 where a run of nearly equal values starts."""
+    """WI16: 1 where a run of nearly equal values starts; a row without a value is a run of its own."""
     before = F.lag(value).over(_w(keys, *order))
-    return F.when(before.isNull() | (F.abs(value - before) > tolerance), 1).otherwise(0)
+    return F.when(F.abs(value - before) <= tolerance, 0).otherwise(1)
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -119,8 +119,9 @@ def wi15(spark, d):
 @query("wi16_column_runs", f"""SELECT page, id, x0, y0, sum(new) OVER (PARTITION BY page ORDER BY x0, y0, id ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (
 SELECT *, CASE WHEN abs(x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0, y0, id)) <= 3 THEN 0 ELSE 1 END AS new FROM {BOXES})""")
 def wi16(spark, d):
-    b = boxes(spark, d).withColumn("_n", windows.same_run(F.col("x0"), ["page"], ["x0", "y0", "id"], 3.0))
-    return b.select("page", "id", "x0", "y0", F.sum("_n").over(Window.partitionBy("page").orderBy("x0", "y0", "id").rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    order = [F.col(c).asc_nulls_last() for c in ("x0", "y0", "id")]
+    b = boxes(spark, d).withColumn("_n", windows.same_run(F.col("x0"), ["page"], order, 3.0))
+    return b.select("page", "id", "x0", "y0", F.sum("_n").over(Window.partitionBy("page").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
 
 
 @query("wi17_titles_with_prices", """WITH e AS (SELECT event_id, user_id, ts, event_type = 'signup' AS title, event_type = 'purchase' AS price FROM events),

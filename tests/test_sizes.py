@@ -156,3 +156,8 @@ def test_islands_of_boxes_with_nulls(spark, tmp_path):
     boxes_with_nulls(spark, tmp_path)
     for name in ("wi10_islands", "ag7_edge_clusters"):
         assert not difference(catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name], connect(str(tmp_path)))
+
+
+def test_column_runs_of_boxes_with_nulls(spark, tmp_path):
+    boxes_with_nulls(spark, tmp_path)
+    assert not difference(catalog.queries()["wi16_column_runs"](spark, str(tmp_path)), catalog.oracle_sql()["wi16_column_runs"], connect(str(tmp_path)))
