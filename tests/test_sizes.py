@@ -130,6 +130,18 @@ def test_sequences_with_nulls(spark, tmp_path):
     assert not difference(catalog.queries()["fi9_increasing"](spark, str(tmp_path)), catalog.oracle_sql()["fi9_increasing"], connect(str(tmp_path)))
 
 
+def test_sequences_with_ties_in_any_layout(spark, tmp_path):
+    rng, query, sql = random.Random(11), catalog.queries()["fi9_increasing"], catalog.oracle_sql()["fi9_increasing"]
+    rows = [(o, rng.choice([None, -0.0, 0.0, 1.0, 2.0, 3.0]), rng.choice([None, -0.0, 0.0, 1.0, 2.0])) for o in [*range(200), None] for _ in range(6)]
+    closed = sql.replace("ORDER BY l_extendedprice)", "ORDER BY l_extendedprice, l_quantity)")  # one of the results that the SQL leaves open
+    assert closed != sql
+    for name, laid in (("there", rows), ("back", rows[::-1])):
+        spark.createDataFrame(laid, "l_orderkey long, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/made_{name}")
+        (tmp_path / name).mkdir()
+        next((tmp_path / f"made_{name}").glob("*.parquet")).rename(tmp_path / name / "lineitem.parquet")
+        assert not difference(query(spark, f"{tmp_path}/{name}"), closed, connect(f"{tmp_path}/{name}"))
+
+
 def test_known_formats_of_keys_in_several_rows(spark, tmp_path):
     rows = [(1, "red bolt"), (1, "bolt new"), (2, "new bolt"), (None, "red bolt"), (3, None), (4, ""), (5, ""), (6, "red red bolt")]
     spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/made")
